@@ -1,9 +1,11 @@
 """Queries of the pipeline operators and the SQL that checks those that SQL can express."""
 
-from tidemark.llm import records
+from tidemark.llm import bpe, packing, records
 
 QUERIES = {
     "op1_token_records": records.records_query,
+    "op3_min_slack_packing": packing.packing_query,
+    "op6_bpe_transducer": bpe.bpe_query,
 }
 
 ORACLES: dict[str, str] = {}
