@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Texts in one Arrow batch; with very long texts the byte bound below holds instead.
-BATCH_ROWS = 1024
+BATCH_ROWS = 4096
 BATCH_BYTES = 32 << 20
 
 
@@ -56,22 +56,26 @@ def binary_values(column) -> list[bytes]:
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, remembering the ids of white-space-delimited chunks.
+    """Encodes texts with the tokenizers library, remembering the ids of chunks between ASCII white space.
 
     The tokenizer drops white space and none of its pieces crosses it, so the ids of a text are those of its chunks in a row.
-    The memory holds up to ``limit`` chunks and is emptied when full.
+    Arrow splits a batch and numbers its different chunks; the library sees each new one once. The memory holds up to ``limit`` chunks
+    and is emptied when full.
     """
 
     _made: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        # a special token parts chunks that go to the library in one string
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.between = self.tokenizer.token_to_id(self.special[0])
+        self.known: dict[str, bytes] = {}
         self.limit = limit
 
     @classmethod
@@ -80,21 +84,55 @@ class ChunkEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, texts: list[bytes], block: int = 64) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), block):
-            chunks = [x.split() for x in texts[at : at + block]]
-            known = self.known
-            new = list(set().union(*chunks).difference(known))
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set().union(*chunks))
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                for chunk, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-            out += [b"".join([known[c] for c in x]) for x in chunks]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        odd = [c for c in chunks if "<|" in c or len(c) > 10_000]
+        for c in odd:
+            self.known[c] = self._ids(c).tobytes()
+        plain = [c for c in chunks if "<|" not in c and len(c) <= 10_000] if odd else chunks
+        runs = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        mark = f" {self.special[0]} "
+        for k in range(0, len(runs), 50):
+            for run, e in zip(runs[k : k + 50], self.tokenizer.encode_batch_fast([mark.join(r) for r in runs[k : k + 50]], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.between)
+                data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                at = 0
+                for c, end in zip(run, ends, strict=True):
+                    self.known[c] = data[at:end]
+                    at = end + 4
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """Per text of an Arrow string column its ids as little-endian unsigned 32-bit integers; a null text has none."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list[np.ndarray] = []
+        if not len(texts):
+            return out
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // (8 << 20))) + 1).tolist(), len(texts)]
+        for begin, end in zip(cuts, cuts[1:]):
+            split = pc.ascii_split_whitespace(pc.fill_null(texts[begin:end], "").cast(pa.large_string()))
+            chunks = split.flatten().dictionary_encode()
+            index, words = chunks.indices.to_numpy(zero_copy_only=False), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+            new = [w for w in words if w not in self.known]
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = words
+            self._learn(new)
+            parts = [self.known[w] for w in words]
+            pool = np.frombuffer(b"".join(parts), "<u4")
+            lengths = np.array([len(x) >> 2 for x in parts], np.int64)
+            starts = np.cumsum(lengths) - lengths
+            n = lengths[index]
+            ends = np.cumsum(n)
+            flat = pool[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            of = split.offsets.to_numpy() - split.offsets[0].as_py()
+            limits = np.concatenate([[0], ends])[of]
+            out += [flat[a:b] for a, b in zip(limits, limits[1:])]
         return out
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import ChunkEncoder, binary_values, prepare, stored
+from tidemark.llm.common import ChunkEncoder, prepare, stored
 
 Pattern = tuple[int, list[tuple[int, int]]]
 
@@ -156,17 +156,15 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
     A null text counts as empty (one piece with end_id alone); a null id stays null. keep_ids adds the ids (little-endian unsigned 32-bit).
     """
     prepare(df.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer)
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(binary_values(b.column(1))), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity].tobytes()
+                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])

@@ -2,8 +2,9 @@
 
 A record file is a row of frames: length of the payload (unsigned 64-bit), masked checksum of those 8 bytes (unsigned 32-bit), the
 payload, masked checksum of the payload, and one end byte 0x0A. All numbers are little-endian. The checksum is CRC-32, rotated and
-shifted by a constant so that checksums of data that holds checksums stay sound. A payload: one byte that says whether there is an id,
-the id (signed 64-bit), the token ids (unsigned 32-bit). Spark's own writer makes the files, so a lost task is repeated without traces
+shifted by a constant so that checksums of data that holds checksums stay sound. A payload: one byte with the width of a token id in
+bytes (2 where all ids of the record are below 65536, else 4), to which 128 is added if there is a document id; that id (signed 64-bit);
+the token ids. Spark's own writer makes the files, so a lost task is repeated without traces
 and any store that Spark writes to will do; file k holds the k-th range of ids, each in ascending order.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import ChunkEncoder, binary_values, prepare, scratch, text_bytes
+from tidemark.llm.common import ChunkEncoder, prepare, scratch, text_bytes
 
 _HEAD, _SUM, _ID, _ID_SIZE = "<Q", "<I", "<Bq", 9
 END = b"\n"
@@ -38,6 +39,17 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, struct.pack(_SUM, masked(head)), payload, struct.pack(_SUM, masked(payload))))
 
 
+def payload(doc: int | None, ids: np.ndarray) -> bytes:
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return struct.pack(_ID, width | 128 * (doc is not None), doc or 0) + ids.astype(f"<u{width}").tobytes()
+
+
+def content(payload: memoryview | bytes) -> tuple[int | None, np.ndarray]:
+    """Document id and token ids (unsigned 32-bit) of a payload."""
+    kind, doc = struct.unpack_from(_ID, payload)
+    return (doc if kind & 128 else None), np.frombuffer(payload[_ID_SIZE:], f"<u{kind & 127}").astype("<u4")
+
+
 def frames(data: bytes) -> Iterator[tuple[int, int, memoryview]]:
     """(offset, frame length, payload) of each frame; ValueError where a length or checksum is wrong."""
     view, at = memoryview(data), 0
@@ -63,15 +75,13 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     prepare(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shards = max(1, math.ceil(text_bytes(rows) / shard_bytes))
-    end = struct.pack("<I", end_id)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), binary_values(b.column(1))
-            for at in range(0, len(ids), 64):
-                part = encoder.encode(texts[at : at + 64])
-                yield pa.record_batch({"value": pa.array([frame(struct.pack(_ID, i is not None, i or 0) + x + end) for i, x in zip(ids[at : at + 64], part, strict=True)], pa.binary())})
+            ids = b.column(0).to_pylist()
+            found = encoder.encode(b.column(1))
+            for at in range(0, len(ids), 512):
+                yield pa.record_batch({"value": pa.array([frame(payload(i, np.append(x, np.uint32(end_id)))) for i, x in zip(ids[at : at + 512], found[at : at + 512], strict=True)], pa.binary())})
 
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.text(path)
@@ -85,11 +95,10 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 shard, rows, start = int(re.search(r"part-(\d+)", name)[1]), [], 0
-                for k, (at, size, payload) in enumerate(frames(data.as_buffer().to_pybytes())):
-                    known, doc = struct.unpack_from(_ID, payload)
-                    n = (len(payload) - _ID_SIZE) // 4
-                    rows.append((shard, k, at, size, doc if known else None, start, n, zlib.crc32(payload[_ID_SIZE :])))
-                    start += n
+                for k, (at, size, held) in enumerate(frames(data.as_buffer().to_pybytes())):
+                    doc, ids = content(held)
+                    rows.append((shard, k, at, size, doc, start, len(ids), zlib.crc32(ids.tobytes())))
+                    start += len(ids)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in INDEX.split(", ")])
 
@@ -110,9 +119,7 @@ def read_index(spark: SparkSession, index: str) -> DataFrame:
 
 def read_record(data: bytes, offset: int, size: int) -> tuple[int | None, np.ndarray]:
     """One record by its index row, as a shuffled reader fetches it: id and token ids."""
-    _, _, payload = next(frames(bytes(data[offset : offset + size])))
-    known, doc = struct.unpack_from(_ID, payload)
-    return (doc if known else None), np.frombuffer(payload[_ID_SIZE :], "<u4")
+    return content(next(frames(bytes(data[offset : offset + size])))[2])
 
 
 def records_query(spark: SparkSession, sf_dir: str) -> DataFrame:
