@@ -15,11 +15,13 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import binary_values, prepare
+from tidemark.llm.common import prepare
 
 
 def byte_symbols() -> list[str]:
@@ -131,7 +133,9 @@ class Transducer:
             for word in self.words.findall(self.normal(part)):
                 ids = self.known.get(word)
                 if ids is None:
-                    ids = list(self.stable(self._symbols(word.encode("utf-8"))))
+                    data = word.encode("utf-8")
+                    # a word within one window is at its end before anything could be emitted
+                    ids = self.merged([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]) if len(data) < self.window else list(self.stable(self._symbols(data)))
                     if len(word) < 64:
                         if len(self.known) >= self.limit:
                             self.known.clear()
@@ -215,16 +219,17 @@ class Decoder:
 _MADE: dict[str, tuple[Transducer, dict]] = {}
 
 
-def chunk_codec(path: str, limit: int = 300_000):
-    """A function from a chunk without ASCII white space to (ids, text of the plain decoder); it remembers up to limit short chunks."""
+def chunk_codec(path: str, limit: int = 400_000):
+    """A function from a chunk without ASCII white space to (number of ids, ids in decimal, text of the plain decoder), the latter two
+    as bytes; it remembers up to limit short chunks."""
     if path not in _MADE:
         _MADE[path] = (Transducer(path), {})
     model, known = _MADE[path]
 
-    def coded(chunk: bytes) -> tuple[list[int], bytes]:
+    def coded(chunk: str) -> tuple[int, bytes, bytes]:
         found = known.get(chunk)
         if found is None:
-            ids = model.encode(chunk.decode("utf-8", "replace"))
+            ids = model.encode(chunk)
             found = (len(ids), " ".join(map(str, ids)).encode(), Decoder(model, True).text(ids).encode("utf-8"))
             if len(chunk) < 128:
                 if len(known) >= limit:
@@ -238,23 +243,32 @@ def chunk_codec(path: str, limit: int = 300_000):
 def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Per row: id, number of ids, digests of the ids and of the decoded text; with keep, the ids and the decoded text too.
 
-    A null text counts as empty: no ids, an empty decoded text. A null id stays null. White space never joins two words, so a text is
-    worked off chunk by chunk.
+    A null text counts as empty: no ids, an empty decoded text. A null id stays null. White space never joins two words, so the
+    different chunks between white space of a batch are worked off once each.
     """
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = chunk_codec(tokenizer)
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), binary_values(b.column(1)), strict=True):
-                parts = [x for x in map(coded, text.split()) if x[0]]
-                ids, decoded = b" ".join([x[1] for x in parts]), b" ".join([x[2] for x in parts])
-                row = (doc, sum([x[0] for x in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                rows.append((*row, list(map(int, ids.split())), decoded.decode()) if keep else row)
+            if not b.num_rows:
+                continue
+            split = pc.ascii_split_whitespace(pc.fill_null(b.column(1), "").cast(pa.large_string()))
+            chunks = split.flatten().dictionary_encode()
+            found = [coded(w) for w in chunks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+            sizes = np.array([x[0] for x in found], np.int64)
+            ids, decoded = np.empty(len(found), object), np.empty(len(found), object)
+            ids[:], decoded[:] = [x[1] for x in found], [x[2] for x in found]
+            index, rows = chunks.indices.to_numpy(zero_copy_only=False), []
+            limits = split.offsets.to_numpy() - split.offsets[0].as_py()
+            for doc, start, end in zip(b.column(0).to_pylist(), limits, limits[1:]):
+                of = index[start:end]
+                of = of[sizes[of] > 0]
+                numbers, text = b" ".join(ids[of].tolist()), b" ".join(decoded[of].tolist())
+                row = (doc, int(sizes[of].sum()), hashlib.sha256(numbers).hexdigest(), hashlib.sha256(text).hexdigest())
+                rows.append((*row, list(map(int, numbers.split())), text.decode()) if keep else row)
             kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if keep else {})
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
