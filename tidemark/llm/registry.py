@@ -1,11 +1,18 @@
 """Queries of the pipeline operators and the SQL that checks those that SQL can express."""
 
-from tidemark.llm import bpe, packing, records
+from tidemark.llm import boilerplate, bpe, exactdedup, packing, pii, records
 
 QUERIES = {
     "op1_token_records": records.records_query,
     "op3_min_slack_packing": packing.packing_query,
+    "op5_site_line_dedup": boilerplate.boilerplate_query,
     "op6_bpe_transducer": bpe.bpe_query,
+    "op7_checked_pii": pii.pii_query,
+    "op10_stream_exact_dedup": exactdedup.dedup_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_site_line_dedup": boilerplate.SQL,
+    "op7_checked_pii": pii.SQL,
+    "op10_stream_exact_dedup": exactdedup.SQL,
+}
