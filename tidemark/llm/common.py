@@ -168,17 +168,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's words begin (one entry more than texts).
+#: For words of letters: whatever ASCII has besides letters parts words.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
-    With lower, A-Z count as a-z. Long inputs are worked off in runs of about 4 MB of whole texts.
+
+def word_hashes(texts: list[bytes], lower: bool = True, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one entry more than texts).
+
+    Words are runs of bytes that are not parting, as it stands ``[^\\x20\\x09-\\x0D]+``. With lower, A-Z count as a-z. Long inputs are worked off in runs of about 4 MB of whole texts.
     """
     hashes, counts, run, size = [], [], [], 0
     for k, text in enumerate(texts):
         run.append(text)
         size += len(text) + 1
         if size > 4_000_000 or k == len(texts) - 1:
-            h, c = _word_hashes(run, lower)
+            h, c = _word_hashes(run, lower, parting)
             hashes.append(h)
             counts.append(c)
             run, size = [], 0
@@ -186,11 +190,11 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), starts.astype(np.int64)
 
 
-def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(texts: list[bytes], lower: bool, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~parting[data]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(data) + 1)
