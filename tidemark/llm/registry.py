@@ -1,11 +1,12 @@
 """Queries of the pipeline operators and the SQL that checks those that SQL can express."""
 
-from tidemark.llm import boilerplate, bpe, exactdedup, packing, pii, records, telephony, toxicity
+from tidemark.llm import boilerplate, bpe, exactdedup, neardup, packing, pii, records, telephony, toxicity
 
 QUERIES = {
     "op1_token_records": records.records_query,
     "op2_telephony_media": telephony.telephony_query,
     "op3_min_slack_packing": packing.packing_query,
+    "op4_chosen_path_neardup": neardup.neardup_query,
     "op5_site_line_dedup": boilerplate.boilerplate_query,
     "op6_bpe_transducer": bpe.bpe_query,
     "op7_checked_pii": pii.pii_query,
