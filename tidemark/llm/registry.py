@@ -1,6 +1,6 @@
 """Queries of the pipeline operators and the SQL that checks those that SQL can express."""
 
-from tidemark.llm import boilerplate, bpe, exactdedup, neardup, packing, pii, records, telephony, toxicity
+from tidemark.llm import boilerplate, bpe, exactdedup, neardup, ngramlm, packing, pii, records, telephony, toxicity
 
 QUERIES = {
     "op1_token_records": records.records_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_site_line_dedup": boilerplate.boilerplate_query,
     "op6_bpe_transducer": bpe.bpe_query,
     "op7_checked_pii": pii.pii_query,
+    "op8_backoff_lm": ngramlm.lm_query,
     "op9_ordinal_toxicity": toxicity.toxicity_query,
     "op10_stream_exact_dedup": exactdedup.dedup_query,
 }
