@@ -291,6 +291,15 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """df with one document of each component of near_duplicates(). An id stays if a row of it is kept; of repeated rows with one id and
+    one text one stays. Rows with a null id stay. All columns stay as they are."""
+    kept = near_duplicates(df, id_col=id_col, text_col=text_col, **settings).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    there = df.where(F.col(id_col).isNotNull()).join(stored(kept, "kept"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    once = there.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+    return once.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def neardup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> components at 0.8 over pairs of words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)

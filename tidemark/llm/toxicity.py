@@ -196,6 +196,22 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """df without the rows whose severity reaches the model's cut; all columns stay as they are. A null text counts as empty."""
+    spark = df.sparkSession
+    prepare(spark)
+    sent = spark.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            s = m.scores(*features(binary_values(b.column(place)), m.words), b.num_rows)
+            yield b.filter(pa.array(np.round(m.severity(s), 6) < m.cut))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str, sample: int = SAMPLE) -> Model:
     prepare(spark)
     texts, toxic = labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("toxic"), sample, "doc_id", "text")
