@@ -43,8 +43,8 @@ def side_lookup(games: DataFrame, dim: DataFrame, keys: dict[str, Column], value
 def rank_by_week(games: DataFrame, rankings: DataFrame, asof: str, start: str = "start_ts") -> DataFrame:
     """Past games by their week's poll, others by the season's latest; whether both sides are ranked."""
     last = rankings.groupBy("season").agg(F.max("week").alias("__last"))
-    g = games.join(small(last), "season", "left").withColumn("__week", F.when(F.col(start) < F.lit(asof).cast("timestamp"), F.col("week")).otherwise(F.col("__last")))
-    out = side_lookup(g, rankings, {"season": F.col("season"), "week": F.col("__week")}, "rank", "rank").drop("__week", "__last")
+    g = games.join(small(last), "season", "left").withColumn("__poll_week", F.when(F.col(start) < F.lit(asof).cast("timestamp"), F.col("week")).otherwise(F.col("__last")))
+    out = side_lookup(g, rankings, {"season": F.col("season"), "week": F.col("__poll_week")}, "rank", "rank").drop("__poll_week", "__last")
     return out.withColumn("ranked_matchup", F.col("home_rank").isNotNull() & F.col("away_rank").isNotNull())
 
 
