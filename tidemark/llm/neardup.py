@@ -32,7 +32,8 @@ TREES = 4
 #: Sets that a node may have for exhaustive comparison; a class may have for one task.
 NODE, CLASS = 1024, 256
 DEPTH = 8
-PIVOTS, CHUNK = 32, 1024
+#: Pivots of a class in the first round; sets in a block; pivots in a block.
+PIVOTS, CHUNK, PART = 32, 1024, 256
 
 
 def text_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -208,43 +209,91 @@ def _small_classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("class", "rep", "text").repartition("class").sortWithinPartitions("class", "rep").mapInArrow(run, "a long, b long")
 
 
+class Postings:
+    """Which of some sets hold a token."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.keys, self.starts = np.unique(flat[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(flat))
+
+    def linked(self, sets: list[np.ndarray], percent: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in sets, places here) that reach the share, for as many sets at a time as have at most ``most`` postings."""
+        at, n = 0, len(self.sizes)
+        while at < len(sets):
+            end, hits, owners, work = at, [], [], 0
+            while end < len(sets) and (end == at or (work < most and (end - at) * n < most)):
+                place = np.searchsorted(self.keys, sets[end])
+                place = place[place < len(self.keys)] if not len(self.keys) else np.minimum(place, len(self.keys) - 1)
+                place = place[self.keys[place] == sets[end]]
+                length = self.ends[place] - self.starts[place]
+                total = int(length.sum())
+                if total:
+                    index = np.repeat(self.starts[place] - (np.cumsum(length) - length), length) + np.arange(total)
+                    owners.append(self.owner[index])
+                    hits.append(np.full(total, end - at))
+                work += total
+                end += 1
+            if hits:
+                both = np.bincount(np.concatenate(hits) * n + np.concatenate(owners), minlength=(end - at) * n)
+                sizes = np.repeat([len(x) for x in sets[at:end]], n) + np.tile(self.sizes, end - at)
+                found = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes - both)))
+                yield found // n + at, found % n
+            at = end
+
+
 def _against_pivots(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links of sets with the pivots of their block: rows class, chunk, kind (0: pivot), rep, text."""
+    """Confirmed links of sets with the pivots of their block: rows class, chunk, part, kind (0: pivot), rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivots = None, []
+        key, pivots, names, ready = None, [], [], None
         for b in batches:
-            sets = text_sets(binary_values(b.column(4)), width)
-            links = []
-            for c, k, kind, rep, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), sets, strict=True):
-                if (c, k) != key:
-                    key, pivots = (c, k), []
-                if kind == 0:
-                    pivots.append((rep, s))
-                else:
-                    links += [(rep, p) for p, t in pivots if p != rep and linked(s, t, percent)]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            kinds, reps = b.column(3).to_pylist(), b.column(4).to_numpy()
+            sets = text_sets(binary_values(b.column(5)), width)
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at] and kinds[end] == kinds[at]:
+                    end += 1
+                if keys[at] != key:
+                    key, pivots, names, ready = keys[at], [], [], None
+                if kinds[at] == 0:
+                    pivots += sets[at:end]
+                    names += reps[at:end].tolist()
+                elif pivots:
+                    ready = ready or Postings(pivots)
+                    for i, j in ready.linked(sets[at:end], percent):
+                        a, c = reps[at + i], np.array(names)[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c])], names=["a", "b"])
+                at = end
 
-    return rows.select("class", "chunk", "kind", "rep", "text").repartition("class", "chunk").sortWithinPartitions("class", "chunk", "kind").mapInArrow(run, "a long, b long")
+    keys = ["class", "chunk", "part"]
+    return rows.select(*keys, "kind", "rep", "text").repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "a long, b long")
 
 
 def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     """As _small_classes, for classes of any size: rows class, rep, text, size."""
     rows = stored(members.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))), "large-classes")
     state = rows.select("class", F.col("rep").alias("node"), F.col("rep").alias("component"), F.lit(False).alias("met"))
-    links = None
+    links, salts = None, PIVOTS
     while True:
         counts = state.groupBy("class", "component").agg(F.count(F.lit(1)).alias("n"))
         main = stored(counts.groupBy("class").agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("class").alias("of"), F.col("m.component").alias("main")), "main")
         outside = state.join(main, F.col("class") == F.col("of")).where((F.col("component") != F.col("main")) & ~F.col("met"))
-        # one for each of a number of salts: the choice is summed before it is shuffled
-        chosen = outside.groupBy("class", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
-        chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node")), "pivots")
+        # one for each of a number of salts, eight times as many each time: the choice is summed before it is shuffled
+        chosen = outside.groupBy("class", F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
+        part = F.pmod(F.col("salt"), F.lit(max(1, salts // PART))).cast("int")
+        chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node"), part.alias("part")), "pivots")
         if chosen.limit(1).count() == 0:
             break
         pivots = rows.join(chosen, (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        both = pivots.select("class", "chunk", F.lit(0).alias("kind"), "rep", "text").unionByName(rows.select("class", "chunk", F.lit(1).alias("kind"), "rep", "text"))
+        parts = stored(chosen.groupBy("of").agg(F.array_sort(F.collect_set("part")).alias("parts")), "parts")
+        meet = rows.join(parts, F.col("class") == F.col("of")).withColumn("part", F.explode("parts"))
+        both = pivots.select("class", "chunk", "part", F.lit(0).alias("kind"), "rep", "text").unionByName(meet.select("class", "chunk", "part", F.lit(1).alias("kind"), "rep", "text"))
         found = stored(_against_pivots(both, width, percent), "links")
         links = found if links is None else links.unionByName(found)
         now = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
@@ -253,6 +302,7 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
             .select("class", "node", F.coalesce("c", "component").alias("component"), (F.col("met") | F.col("p").isNotNull()).alias("met")),
             "state",
         )
+        salts *= 8
     return state.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
