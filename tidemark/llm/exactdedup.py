@@ -41,6 +41,8 @@ def ingest(spark: SparkSession, path: str, state: str, id_col: str = "doc_id", t
     conf = {
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many partitions with little state each: no room is taken on disk ahead of need
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     }
