@@ -77,8 +77,9 @@ def season_state(date: Column) -> Column:
 
 def poll_date(month_day: Column, season: Column, asof: Column) -> Column:
     """``Jan 13`` within a season; January to March belong to the year after; a date after asof is null."""
-    at = F.try_to_timestamp(F.concat_ws(" ", month_day, season.cast("string")), F.lit("MMM d yyyy"))
-    at = F.when(F.month(at) <= 3, F.add_months(at, 12).cast("timestamp")).otherwise(at).cast("date")
+    month = F.month(F.try_to_timestamp(F.concat(month_day, F.lit(" 2000")), F.lit("MMM d yyyy")))
+    year = season + F.when(month <= 3, 1).otherwise(0)
+    at = F.try_to_timestamp(F.concat_ws(" ", month_day, year.cast("string")), F.lit("MMM d yyyy")).cast("date")
     return F.when(at <= asof.cast("date"), at)
 
 
