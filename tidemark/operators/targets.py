@@ -22,7 +22,7 @@ def gap_targets(df: DataFrame, asof: str, price: str = PRICE, ts: str = TS, star
     hours = F.greatest(hours_between(F.col("event_min_ts"), F.col(ts)), F.lit(0.0))
     out = out.withColumns({"future_min": F.when(over, F.col("event_min")).otherwise(F.col("future_min")), "hours_to_min": F.when(over, hours).otherwise(F.col("hours_to_min"))})
     gap = F.try_divide(F.greatest(price_of(price) - F.col("future_min"), F.lit(0.0)), price_of(price))
-    gap = F.when(price_of(price).isNotNull() & F.col("future_min").isNotNull(), F.least(F.greatest(gap, F.lit(0.0)), F.lit(1.0)))
+    gap = F.when((price_of(price) != 0) & F.col("future_min").isNotNull(), F.least(F.greatest(gap, F.lit(0.0)), F.lit(1.0)))
     return out.withColumns({"gap_pct": gap, "past_min": F.coalesce(F.col(ts) > F.col("event_min_ts"), F.lit(False))})
 
 
