@@ -92,7 +92,7 @@ def score_texts(texts: list[bytes], order: int, keys: np.ndarray, totals: np.nda
         seen = there[k] & (left[k] > 0) & (before > 0)
         score = np.where(seen, left[k] / np.maximum(before, 1), np.where(there[k], BACKOFF * score, score))
         backed = np.where(there[k], ~seen, backed)
-    sums = np.bincount(of, np.log(score), len(texts))
+    sums = np.bincount(of, np.log(score), len(texts)).astype(float)  # of no words at all, bincount makes integers
     return list(zip(words.tolist(), sums.tolist(), np.bincount(of, backed, len(texts)).astype(int).tolist(), strict=True))
 
 
