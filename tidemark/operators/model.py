@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.times import hourly_grid
 from tidemark.operators.evaluate import regression_metrics
+from tidemark.sources.tables import scratch
 
 
 def grid_argmin(events: DataFrame, event: str, start: str, days: int, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -114,8 +115,12 @@ def event_sequences(df: DataFrame, event: str, ts: str, tie: str, features: list
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """Values numbered from 1 in alphabetical order; 0 stands for unknown ones. Numbers over ranges: no single partition sorts all."""
+    """Values numbered from 1 in alphabetical order; 0 stands for unknown ones. Numbers over ranges, which
+    are written once so that both passes see the same ones: no single partition sorts all."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().repartitionByRange("value").withColumn("__p", F.spark_partition_id())
+    path = scratch(df.sparkSession, "vocabulary")
+    values.write.parquet(path)
+    values = df.sparkSession.read.parquet(path)
     counts = values.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     return values.join(F.broadcast(before), "__p").select("value", (F.row_number().over(Window.partitionBy("__p").orderBy("value")) + F.col("__before")).cast("long").alias("index"))

@@ -44,13 +44,19 @@ def prune_by_importance(features: DataFrame, cutoff: float, pinned: list[str]) -
 
 
 def group_time_split(df: DataFrame, share: float, event: str = EVENT, start: str = "start_ts") -> DataFrame:
-    """The last share of events by their earliest start (one at least) are test, events without a start train; ties by id."""
-    events = df.groupBy(event).agg(F.min(start).alias("__start")).where("__start is not null")
-    total = events.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("__n"))
-    # ids and starts of the test events only, found by a limit that each partition applies first
-    n = int(total.first()[0])
-    test = events.orderBy(F.col("__start").desc(), F.col(event).desc()).limit(n).select(F.col(event).alias("__event"))
-    return df.join(test, F.col(event) == F.col("__event"), "left").withColumn("is_test", F.col("__event").isNotNull()).drop("__event")
+    """The last share of events by their earliest start (one at least) are test, events without a start train; ties by id.
+
+    How many events start on later days comes from a count by day, a table of days; only the day in which the split falls is decided by
+    an order of its events. So no task and no driver orders all of them.
+    """
+    events = df.groupBy(event).agg(F.min(start).alias("__start")).where("__start is not null").withColumn("__day", F.to_date("__start"))
+    days = events.groupBy("__day").agg(F.count(F.lit(1)).alias("__n"))
+    days = days.withColumn("__later", F.sum("__n").over(Window.orderBy(F.col("__day").desc())) - F.col("__n"))
+    wanted = events.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("__wanted"))
+    place = F.row_number().over(Window.partitionBy("__day").orderBy(F.col("__start").desc(), F.col(event).desc()))
+    chosen = events.withColumn("__place", place).join(days, "__day").join(F.broadcast(wanted), F.lit(True), "cross")
+    chosen = chosen.where(F.col("__later") + F.col("__place") <= F.col("__wanted")).select(F.col(event).alias("__event"))
+    return df.join(chosen, F.col(event) == F.col("__event"), "left").withColumn("is_test", F.col("__event").isNotNull()).drop("__event")
 
 
 def event_weights(df: DataFrame, price: str = PRICE, event: str = EVENT, floor: float = 10.0, power: float = 1.5) -> DataFrame:
