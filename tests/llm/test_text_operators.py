@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -260,6 +261,30 @@ def test_language_model_edges(spark):
     assert ngramlm.lm_scores(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_against_brute_force(spark, order):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    words = {r.doc_id: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", r.text)] for r in rows}
+    own = {d: Counter(tuple(w[j - k + 1 : j + 1]) for k in range(1, order + 1) for j in range(k - 1, len(w))) for d, w in words.items()}
+    every, n_all = sum(own.values(), Counter()), sum(map(len, words.values()))
+
+    def word_score(d, w, j):
+        weight = 1.0
+        for k in range(min(order, j + 1), 0, -1):
+            g = tuple(w[j - k + 1 : j + 1])
+            left = every[g] - own[d][g]
+            if k == 1:
+                return weight * (left if left > 0 else 0.4) / (n_all - len(w))
+            if left > 0:
+                return weight * left / (every[g[:-1]] - own[d][g[:-1]])
+            weight *= 0.4
+
+    got = {r.doc_id: r for r in ngramlm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet"), order=order, bucket=20_000).collect()}
+    assert len(got) == len(rows)
+    for d, w in words.items():
+        assert got[d].n_words == len(w) and abs(got[d].log_score - sum(np.log(word_score(d, w, j)) for j in range(len(w)))) < 1e-4
+
+
 def test_toxicity_held_out_and_edges(spark):
     rng = np.random.default_rng(2)
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
