@@ -34,9 +34,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet into the shared store and read again: later jobs neither repeat it nor depend on executors that made it."""
+#: Rows of a few numbers that one task can well take; where a table's size is known, it is written by so many tasks.
+TASK_ROWS = 200_000
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """df written as Parquet into the shared store and read again: later jobs neither repeat it nor depend on executors that made it.
+
+    rows: a bound on the rows that df is made from, if it is known; shuffle partitions are merged into as many tasks as these rows need,
+    so that many rounds over a table that is small by now do not each start hundreds of tasks."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

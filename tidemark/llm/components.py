@@ -55,14 +55,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break
-        before = state
+        before, n = state, 2 * state[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the smallest neighbours are written first, so that the join meets two plain shuffles and splits a hot node's edges
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "star")
-        large = stored(both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "star")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "star", rows=n)
+        large = stored(both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges", rows=n)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "star", rows=n)
         small = large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        e = stored(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges", rows=n)
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = nodes.select("component").distinct().select(F.col("component").alias("node"), "component")
     lone = alone.distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))

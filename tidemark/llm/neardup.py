@@ -279,20 +279,21 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     """As _small_classes, for classes of any size: rows class, rep, text, size."""
     rows = stored(members.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))), "large-classes")
     state = rows.select("class", F.col("rep").alias("node"), F.col("rep").alias("component"), F.lit(False).alias("met"))
-    links, salts = None, PIVOTS
+    links, salts, n = None, PIVOTS, rows.count()
     while True:
         counts = state.groupBy("class", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = stored(counts.groupBy("class").agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("class").alias("of"), F.col("m.component").alias("main")), "main")
+        main = stored(counts.groupBy("class").agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("class").alias("of"), F.col("m.component").alias("main")), "main", rows=n)
         outside = state.join(main, F.col("class") == F.col("of")).where((F.col("component") != F.col("main")) & ~F.col("met"))
         # one for each of a number of salts, eight times as many each time: the choice is summed before it is shuffled
         chosen = outside.groupBy("class", F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
-        part = F.pmod(F.col("salt"), F.lit(max(1, salts // PART))).cast("int")
-        chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node"), part.alias("part")), "pivots")
+        chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node")), "pivots", rows=n)
         if chosen.limit(1).count() == 0:
             break
-        pivots = rows.join(chosen, (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        parts = stored(chosen.groupBy("of").agg(F.array_sort(F.collect_set("part")).alias("parts")), "parts")
-        meet = rows.join(parts, F.col("class") == F.col("of")).withColumn("part", F.explode("parts"))
+        parts = stored(chosen.groupBy(F.col("of").alias("for")).agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "parts", rows=n)
+        held = rows.join(parts, F.col("class") == F.col("for"))
+        pivots = held.join(chosen, (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        pivots = pivots.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(8)), F.col("parts")))
+        meet = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         both = pivots.select("class", "chunk", "part", F.lit(0).alias("kind"), "rep", "text").unionByName(meet.select("class", "chunk", "part", F.lit(1).alias("kind"), "rep", "text"))
         found = stored(_against_pivots(both, width, percent), "links")
         links = found if links is None else links.unionByName(found)
@@ -300,7 +301,7 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
         state = stored(
             state.join(now, F.col("node") == F.col("k"), "left").join(chosen.select(F.col("node").alias("p")).distinct(), F.col("node") == F.col("p"), "left")
             .select("class", "node", F.coalesce("c", "component").alias("component"), (F.col("met") | F.col("p").isNotNull()).alias("met")),
-            "state",
+            "state", rows=n,
         )
         salts *= 8
     return state.select(F.col("node").alias("a"), F.col("component").alias("b"))
