@@ -20,7 +20,8 @@ select concat_ws('-', cast(l_orderkey as string), cast(l_partkey as string), cas
        case when l_linestatus = 'F' then l_quantity end as home_points,
        case when l_linestatus = 'F' then round(l_discount * 500) end as away_points,
        p.p_name as venue, l_returnflag = 'R' as neutral_site
-from (select distinct * from {lineitem}) l
+from (select * from (select *, row_number() over (partition by l_orderkey, l_partkey, l_suppkey, l_linenumber
+                    order by l_shipdate, l_quantity, l_extendedprice) as copy from {lineitem}) where copy = 1) l
 join {orders} o on o.o_orderkey = l.l_orderkey
 join {customer} c on c.c_custkey = o.o_custkey
 join {supplier} s on s.s_suppkey = l.l_suppkey
