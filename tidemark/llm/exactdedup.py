@@ -97,12 +97,13 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     several = groups.where("n > 1").select("digest", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
     # texts that stay, fetched by place; then each text of a group against it
     stay = stored(rows.drop("digest").join(several, ["file", "row"]).select(F.col("digest").alias("__digest"), normal(F.col("text")).alias("__text")), "stay")
-    groups = groups.select(F.col("digest").alias("__of"), "first", "n")
-    told = rows.join(groups, F.col("digest") == F.col("__of")).withColumn("is_first", (F.col("first.file") == F.col("file")) & (F.col("first.row") == F.col("row")))
-    alone = told.where("n = 1").withColumn("same", F.lit(True)).drop("text")
-    hits = told.where("n > 1").join(stay, F.col("digest") == F.col("__digest")).withColumn("same", normal(F.col("text")) == F.col("__text")).drop("text", "__text", "__digest")
+    # what is known of a digest, with the text that stays, is one row; so rows meet it in one join, whose hot digests Spark can split
+    groups = groups.select(F.col("digest").alias("__of"), "first", "n").join(stay, F.col("__of") == F.col("__digest"), "left").drop("__digest")
+    told = rows.join(stored(groups, "known"), F.col("digest") == F.col("__of"))
+    told = told.withColumn("is_first", (F.col("first.file") == F.col("file")) & (F.col("first.row") == F.col("row")))
+    told = told.withColumn("same", F.when(F.col("n") > 1, normal(F.col("text")) == F.col("__text")).otherwise(True))
     least = F.when(F.col("first.doc_id") != -(1 << 63), F.col("first.doc_id"))
-    return alone.unionByName(hits).select(
+    return told.select(
         "doc_id",
         F.when(F.col("same"), least).otherwise(F.col("doc_id")).alias("keep_id"),
         F.when(F.col("same"), F.col("n")).otherwise(1).alias("group_size"),
