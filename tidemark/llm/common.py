@@ -74,7 +74,7 @@ class ChunkEncoder:
 
     _made: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,13 +184,13 @@ NOT_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 def word_hashes(texts: list[bytes], lower: bool = True, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and where each text's words begin (one entry more than texts).
 
-    Words are runs of bytes that are not parting, as it stands ``[^\\x20\\x09-\\x0D]+``. With lower, A-Z count as a-z. Long inputs are worked off in runs of about 4 MB of whole texts.
+    Words are runs of bytes that are not parting, as it stands ``[^\\x20\\x09-\\x0D]+``. With lower, A-Z count as a-z. Long inputs are worked off in runs of about 1 MB of whole texts.
     """
     hashes, counts, run, size = [], [], [], 0
     for k, text in enumerate(texts):
         run.append(text)
         size += len(text) + 1
-        if size > 4_000_000 or k == len(texts) - 1:
+        if size > 1_000_000 or k == len(texts) - 1:
             h, c = _word_hashes(run, lower, parting)
             hashes.append(h)
             counts.append(c)
