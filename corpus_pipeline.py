@@ -33,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that more than LINE_RATIO of their source's documents share."""
-    return _measured(boilerplate.line_dedup(docs, "source", ratio=LINE_RATIO), docs.columns)
+    """Documents without the lines that more than LINE_RATIO of their source's different texts share."""
+    return _measured(boilerplate.line_dedup(docs, "source", ratio=LINE_RATIO, max_share=1.0, contents=True), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

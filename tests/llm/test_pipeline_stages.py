@@ -12,3 +12,11 @@ def test_a_line_shared_by_all_sources_goes_from_each(spark):
     lines = [line for r in got for line in r.text.split("\n")]
     assert len(got) == 600 and lines.count("foot") == 0 and lines.count("often") == 24
     assert all(f"own {r.source} {r.doc_id}" in r.text and r.n_chars == len(r.text) for r in got)
+
+
+def test_boilerplate_goes_from_pages_of_any_share_and_copies_are_no_template(spark):
+    texts = [f"menu\nbody {k}\nfoot\nlicence" for k in range(20)] + ["menu\nmenu\nshort", "menu"] + ["a copied page\nof two lines"] * 20
+    rows = [(k, t, None, "a", 1) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert [got[k] for k in range(20)] == [f"body {k}" for k in range(20)] and got[20] == "short" and got[21] == ""
+    assert all(got[k] == texts[k] for k in range(22, 42))

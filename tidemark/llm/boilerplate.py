@@ -25,20 +25,25 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def line_dedup(df: DataFrame, host: str, page: str = "doc_id", text: str = "text", ratio: float = 0.1, min_pages: int = 5, max_share: float = 0.5) -> DataFrame:
+def line_dedup(df: DataFrame, host: str, page: str = "doc_id", text: str = "text", ratio: float = 0.1, min_pages: int = 5, max_share: float = 0.5, contents: bool = False) -> DataFrame:
     """df with boilerplate lines taken out of its text, and the columns n_lines and n_dropped.
 
     A line is boilerplate on a host if at least min_pages pages and more than ratio of all the host's pages hold it. Blank lines are
     neither counted nor dropped. A page on which more than max_share of the lines that are not blank are boilerplate is a copy of other
-    pages rather than a page with a template; it stays as it is, as finding copies is another operator's work.
+    pages rather than a page with a template; it stays as it is, as finding copies is another operator's work. With contents, pages of
+    equal text count once, as a line and among the host's pages, so that copies are no evidence of a template; a max_share of 1 then
+    takes the lines from every page.
     Lines end at ``\\n`` and are compared as they are. Each row is a page, repeated rows too. A null text stays null with 0 lines; an
     empty text has one blank line; a null host is a host of its own; the page id only spreads rows. Columns named n_lines or n_dropped
     are replaced, others stay.
     """
     df = df.drop("n_lines", "n_dropped")
     site = F.coalesce(F.col(host).cast("string"), F.lit("\0"))
-    rows = df.select(site.alias("host"), F.split(F.col(text), "\n", -1).alias("lines"))
-    seen = rows.select("host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: ~_blank(x)), _key))).alias("key"))
+    rows = df.select(site.alias("host"), F.split(F.col(text), "\n", -1).alias("lines"), _key(F.col(text)).alias("content"))
+    of = ["content"] if contents else []
+    seen = rows.select("host", *of, F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: ~_blank(x)), _key))).alias("key"))
+    if contents:
+        seen, rows = seen.distinct(), rows.select("host", "content").distinct()
     often = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     pages = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "pages")
     lists = often.join(pages, "host").where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("keys"))
