@@ -20,3 +20,11 @@ def test_boilerplate_goes_from_pages_of_any_share_and_copies_are_no_template(spa
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert [got[k] for k in range(20)] == [f"body {k}" for k in range(20)] and got[20] == "short" and got[21] == ""
     assert all(got[k] == texts[k] for k in range(22, 42))
+
+
+def test_words_on_either_side_of_a_number_count(spark):
+    far = "x" * 48
+    texts = ["123-45-6789 is my SSN", "ssn 123-45-6789 but 987-65-4321", f"ssn{far}123-45-6789{far}ssn", "ä ssn" + far[3:] + "123-45-6789", "no word 123-45-6789", None]
+    rows = [(k, t, None, "a", 1) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.mask_pii(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert [got[k] for k in range(6)] == ["[SSN] is my SSN", "ssn [SSN] but [SSN]", texts[2], "ä ssn" + far[3:] + "[SSN]", texts[4], None]

@@ -113,12 +113,20 @@ def _ends(sizes: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:int,end:int,score:int>>"
 
 
-def spans(text: Column) -> Column:
-    """All spans of a text that is not null: kind, start and end in code points (end exclusive) and score, by kind and start."""
-    return F.concat(*(_of_kind(text, kind) for kind in KINDS))
+def spans(text: Column, around: bool = False) -> Column:
+    """All spans of a text that is not null: kind, start and end in code points (end exclusive) and score, by kind and start.
 
+    Words nearby are those of the NEAR code points on either side of a span with around; else those of the NEAR before it, back to the
+    last match of its kind."""
+    return F.concat(*(_of_kind(text, kind, around) for kind in KINDS))
 
-def _of_kind(text: Column, kind: str) -> Column:
+
+def _beside(text: Column, start: Column, end: Column) -> Column:
+    """The NEAR code points before start and those from end on."""
+    return F.concat(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))), F.lit("\n"), F.substring(text, end + 1, F.lit(NEAR)))
+
+
+def _of_kind(text: Column, kind: str, around: bool) -> Column:
     pattern = FAST.get(kind) or MORE[kind]
     least = 1 if kind in BASE else LEAST
 
@@ -126,8 +134,8 @@ def _of_kind(text: Column, kind: str) -> Column:
         def with_gaps(gaps: Column) -> Column:
             def with_ends(ends: Column) -> Column:
                 def one(m: Column, i: Column) -> Column:
-                    near = F.lower(F.right(F.get(gaps, i), F.lit(NEAR))).rlike(WORDS[kind])
                     end = F.get(ends, i)
+                    near = F.lower(_beside(text, end - F.length(m), end) if around else F.right(F.get(gaps, i), F.lit(NEAR))).rlike(WORDS[kind])
                     score = F.lit(SCORE[kind]) + F.when(near, BONUS[kind]).otherwise(0)
                     return F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.when(_valid(kind, m), score).otherwise(0).alias("score"))
 
@@ -140,15 +148,15 @@ def _of_kind(text: Column, kind: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
-def find_pii(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", to: str = "spans", around: bool = False) -> DataFrame:
     """df with an array of the spans of its text. A null text counts as empty: no spans. A column of that name is replaced."""
-    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(to, spans(F.col("__text"))).drop("__text")
+    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(to, spans(F.col("__text"), around)).drop("__text")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each span of its text replaced by its kind in square brackets. Of spans that overlap, the one that starts first counts, of
-    these the longest, and reaches to the last end of those that overlap it. A null or empty text stays."""
-    found = find_pii(df, text, "__spans")
+    """df with each span of its text, words on either side counted, replaced by its kind in square brackets. Of spans that overlap, the one
+    that starts first counts, of these the longest, and reaches to the last end of those that overlap it. A null or empty text stays."""
+    found = find_pii(df, text, "__spans", around=True)
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
