@@ -144,8 +144,8 @@ def j4b(v: Views):
 @query("j7_fallback_match")
 def j7(v: Views):
     named = _named(v)
-    games = _tokened(named.where("week % 2 = 0"), "game_id", "day")
-    snaps = named.where("week % 2 = 0 and neutral_site").select(F.concat(F.lit("s"), "game_id").alias("snap"), "day", x.tokens(F.col("home_team")).alias("home_tokens"), x.tokens(F.col("away_name")).alias("away_tokens"))
+    games = _tokened(named, "game_id", "day")
+    snaps = named.select(F.concat(F.lit("s"), "game_id").alias("snap"), "day", x.tokens(F.col("home_team")).alias("home_tokens"), x.tokens(F.col("away_name")).alias("away_tokens"))
     return m.fallback_match(snaps, games, "snap").withColumn("score", F.round("score", 6))
 
 

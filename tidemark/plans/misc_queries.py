@@ -312,49 +312,49 @@ def _train_rows(v: Views):
 @query("m1_gap_model")
 def m1(v: Views):
     rows = _train_rows(v)
-    model = mo.gap_model(["lowest_price", "hours_left", "weekday"], ["event_type"], "gap_log", maxIter=5, maxDepth=3).fit(rows.where("not is_test"))
+    model = mo.gap_model(["lowest_price", "hours_left", "weekday"], ["event_type"], "gap_log").fit(rows.where("not is_test"))
     return model.transform(rows.where("is_test")).select("snap_id", F.round("prediction", 6).alias("prediction"), F.round(ev.gap_to_price(F.col("lowest_price"), F.col("prediction")), 2).alias("predicted_price"))
 
 
 @query("m2_price_model")
 def m2(v: Views):
     train, test = _train_rows(v).randomSplit([0.8, 0.2], 1)
-    model = mo.price_model(["hours_left", "weekday"], ["event_type"], "lowest_price", trees=20, depth=4).fit(train)
+    model = mo.price_model(["hours_left", "weekday"], ["event_type"], "lowest_price").fit(train)
     return model.transform(test).select("snap_id", F.round("prediction", 6).alias("prediction"))
 
 
 @query("m3_score_table")
 def m3(v: Views):
     rows = _train_rows(v)
-    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log", maxIter=3, maxDepth=3).fit(rows.where("not is_test"))
+    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log").fit(rows.where("not is_test"))
     return model.transform(rows).select("snap_id", ev.gap_to_price(F.col("lowest_price"), F.col("prediction")).alias("predicted_min"), ev.clamp_horizon(F.col("hours_left")).alias("horizon"))
 
 
 @query("m4_training_report")
 def m4(v: Views):
     rows = _train_rows(v)
-    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log", maxIter=3, maxDepth=3).fit(rows.where("not is_test"))
+    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log").fit(rows.where("not is_test"))
     return mo.training_report(model.transform(rows.where("is_test")), "gap_log", "prediction")
 
 
 @query("m5_sweep")
 def m5(v: Views):
     rows = _train_rows(v)
-    settings = {f"depth{k}": mo.gap_model(["lowest_price", "hours_left"], [], "gap_log", maxIter=3, maxDepth=k) for k in (2, 3)}
+    settings = {f"depth{k}": mo.gap_model(["lowest_price", "hours_left"], [], "gap_log", maxDepth=k) for k in (2, 3, 4)}
     return mo.sweep(rows.where("not is_test"), rows.where("is_test"), settings, "gap_log")
 
 
 @query("a23_permutation_importance")
 def a23(v: Views):
     rows = _train_rows(v)
-    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log", maxIter=3, maxDepth=3).fit(rows.where("not is_test"))
-    return mo.permutation_importance(model, rows.where("is_test"), ["lowest_price", "hours_left"], "gap_log", "snap_id", 2)
+    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log").fit(rows.where("not is_test"))
+    return mo.permutation_importance(model, rows.where("is_test"), ["lowest_price", "hours_left"], "gap_log", "snap_id")
 
 
 @query("a24_partial_dependence")
 def a24(v: Views):
     rows = _train_rows(v)
-    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log", maxIter=3, maxDepth=3).fit(rows.where("not is_test"))
+    model = mo.gap_model(["lowest_price", "hours_left"], [], "gap_log").fit(rows.where("not is_test"))
     return mo.partial_dependence(model, rows.where("is_test"), "hours_left", [24.0, 168.0, 500.0])
 
 
