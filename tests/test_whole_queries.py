@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidemark.operators import match
 from tidemark.plans import catalog, misc_queries
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,13 @@ def test_models_have_their_default_size(spark, monkeypatch, name):
         assert (learner.getNumTrees(), learner.getMaxDepth()) == (300, 5)
     else:
         assert learner.getMaxIter() == 10 and (name == "m5_sweep" or learner.getMaxDepth() == 4)
+
+
+def test_backfill_cascade_has_a_fuzzy_pass(spark):
+    def rows(key, *of):
+        return spark.createDataFrame([(k, h, a, d, f"{d} 12:00:00", h.split(), a.split()) for k, h, a, d in of], f"{key} string, home_team string, away_team string, day string, start_ts string, home_tokens array<string>, away_tokens array<string>")
+
+    games = rows("game_id", ("g1", "alpha tech", "beta", "2024-09-01"), ("g2", "gamma", "delta", "2024-09-01"), ("g3", "alpha", "beta", "2024-10-01"), ("g4", "gamma", "delta", "2024-09-20"))
+    probes = rows("snap", ("same", "beta", "alpha tech", "2024-09-01"), ("spelt", "alpha", "beta", "2024-09-01"), ("moved", "delta", "gamma", "2024-09-18"), ("none", "x", "y", "2024-09-01"))
+    got = {r.snap: (r.game_id, r.how) for r in match.backfill_cascade(probes, games, "snap", fuzzy=("start_ts", "start_ts")).collect()}
+    assert got == {"same": ("g1", "same day"), "spelt": ("g1", "fuzzy"), "moved": ("g4", "nearest day")}

@@ -92,13 +92,19 @@ def nearest_meeting(probes: DataFrame, games: DataFrame, key: str, sides: tuple[
     return best.select(key, "m.*")
 
 
-def backfill_cascade(probes: DataFrame, games: DataFrame, key: str, home: str = "home_team", away: str = "away_team", date: str = "day", tie: str = "game_id") -> DataFrame:
-    """The same two sides on the same day, whichever way round; for what is left, their nearest meeting. Returns key, tie, how."""
+def backfill_cascade(probes: DataFrame, games: DataFrame, key: str, home: str = "home_team", away: str = "away_team", date: str = "day", tie: str = "game_id", fuzzy: tuple[str, str] | None = None) -> DataFrame:
+    """The same two sides on the same day, whichever way round; for what is left, the day's best fuzzy score; then their nearest
+    meeting. fuzzy has the time columns of probes and games, both of which then need home_tokens and away_tokens; without it there is no
+    fuzzy pass. Returns key, tie, how."""
     x, y = F.least(home, away), F.greatest(home, away)
     g = games.select(x.alias("__x"), y.alias("__y"), F.col(date).alias("__date"), F.col(tie))
     same = probes.select(key, x.alias("x"), y.alias("y"), date).join(g, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")) & (F.col(date) == F.col("__date")))
     same = same.groupBy(key).agg(F.min(tie).alias(tie)).withColumn("how", F.lit("same day"))
     rest = probes.join(same.select(key), key, "left_anti")
+    if fuzzy:
+        scored = fuzzy_match(rest, games, key, date, tie=tie, time=fuzzy)
+        same = same.unionByName(scored.select(key, tie, F.lit("fuzzy").alias("how")))
+        rest = rest.join(scored.select(key), key, "left_anti")
     near = nearest_meeting(rest, games, key, (home, away), date, tie)
     return same.unionByName(near.select(key, F.col(f"matched_{tie}").alias(tie), F.lit("nearest day").alias("how")))
 
