@@ -1,6 +1,9 @@
-"""What the pipeline's stages must take out, on planted cases."""
+"""What the pipeline's stages must take out, on planted cases; what a query must store."""
+
+from pathlib import Path
 
 import corpus_pipeline
+from tidemark.llm import telephony
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,3 +31,20 @@ def test_words_on_either_side_of_a_number_count(spark):
     rows = [(k, t, None, "a", 1) for k, t in enumerate(texts)]
     got = {r.doc_id: r.text for r in corpus_pipeline.mask_pii(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert [got[k] for k in range(6)] == ["[SSN] is my SSN", "ssn [SSN] but [SSN]", texts[2], "ä ssn" + far[3:] + "[SSN]", texts[4], None]
+
+
+def test_telephony_query_stores_its_resampled_sounds(spark, tmp_path):
+    texts = {1: "Hello", 2: None, 3: "wörld " * 400}
+    spark.createDataFrame([(k, t, None, "a", 1) for k, t in texts.items()], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.glob("pcm-*"))
+    got = {r.doc_id: r.feature for r in telephony.telephony_query(spark, str(tmp_path)).collect()}
+    (path,) = set(base.glob("pcm-*")) - before
+    rows = spark.read.parquet(str(path)).collect()
+    assert len(rows) == 3 and set(got) == set(texts)
+    for r in rows:
+        data = telephony.payload((texts[r.doc_id] or "").encode())
+        samples = [telephony.decode([telephony.wav(data, kind)])[0] for kind in (telephony.MULAW, telephony.ALAW, telephony.ADPCM)]
+        for x, kept in zip(samples, (r.pcm_mulaw, r.pcm_alaw, r.pcm_adpcm)):
+            assert telephony.parse(bytes(kept)) == (telephony.PCM, 16000, x.astype("<i2").tobytes())
+        assert got[r.doc_id] == "|".join(map(telephony.describe, samples))

@@ -219,27 +219,48 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(df: DataFrame) -> DataFrame:
-    """What the stored media hold: digests of the payload and of the file, and features of the sound that the payload is as mu-law, as
-    A-law and as ADPCM blocks, each resampled."""
+#: The sounds that a payload is: its bytes as mu-law, as A-law and as ADPCM blocks.
+SOUNDS = {"pcm_mulaw": MULAW, "pcm_alaw": ALAW, "pcm_adpcm": ADPCM}
+FACTS = FEATURES.rpartition(",")[0]
+
+
+def sounds(df: DataFrame) -> DataFrame:
+    """What the media hold: digests of the payload and of the file, and the sounds that the payload is, each decoded, resampled and put
+    into a 16-bit PCM WAV file in a binary column. The rows of a run of payloads leave together, so that few samples are held."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media, rows = binary_values(b.column("media")), []
+            media, ids, sizes = binary_values(b.column("media")), b.column("doc_id"), b.column("n_bytes")
             for s in runs(media):
                 data = [parse(m)[2] for m in media[s]]
-                sounds = [resample(expand(data, kind), RATE, TARGET) for kind in (MULAW, ALAW, ADPCM)]
-                for m, d, *pcm in zip(media[s], data, *sounds, strict=True):
-                    feature = "|".join(map(describe, pcm))
-                    rows.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            if rows:
-                columns = [pa.array(x) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns], names=[x.split()[0] for x in FEATURES.split(", ")])
+                facts = [(len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest()) for m, d in zip(media[s], data, strict=True)]
+                made = [pa.array([wav(x.astype("<i2").tobytes(), PCM, TARGET) for x in resample(expand(data, kind), RATE, TARGET)], pa.binary()) for kind in SOUNDS.values()]
+                there = [c.slice(s.start, s.stop - s.start) for c in (ids, sizes)]
+                yield pa.RecordBatch.from_arrays([*there, *(pa.array(x) for x in zip(*facts, strict=True)), *made], names=[*(x.split()[0] for x in FACTS.split(", ")), *SOUNDS])
+
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, FACTS + "".join(f", {c} binary" for c in SOUNDS))
+
+
+def described(df: DataFrame) -> DataFrame:
+    """The rows of sounds with a feature of the samples in place of the sounds."""
+    prepare(df.sparkSession)
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            feature = ["|".join(describe(np.frombuffer(parse(x.as_py())[2], "<i2")) for x in row) for row in zip(*(b.column(c) for c in SOUNDS), strict=True)]
+            names = [x.split()[0] for x in FACTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(feature, pa.string())], names=[*names, "feature"])
+
+    return df.mapInArrow(run, FEATURES)
+
+
+def media_features(df: DataFrame) -> DataFrame:
+    """What the stored media hold: digests of the payload and of the file, and features of the sounds that the payload is, each resampled."""
+    return described(sounds(df))
 
 
 def telephony_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> stored media -> read back -> features."""
-    return media_features(stored(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
+    """documents -> stored media -> read back -> stored resampled PCM -> read back -> features."""
+    media = stored(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return described(stored(sounds(media), "pcm"))
