@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -25,11 +28,27 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of that many rows while the block runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests on one machine), below a temporary one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a master within one process (tests) gets a temporary folder, which
+    ends with the process; a cluster has to name a folder that all its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -64,17 +83,73 @@ def binary_values(column) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the machine: Python workers outlive tasks and stages, and what one of them holds adds up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run):
+    """run, a function over the Arrow batches of a task, followed by release() however the task ends."""
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over
+
+
+class Remembered:
+    """A mapping of at most ``limit`` entries: when its newer half is full, the older half is forgotten and the newer one becomes it."""
+
+    def __init__(self, limit: int) -> None:
+        self.half, self.newer, self.older = max(1, limit // 2), {}, {}
+
+    def __len__(self) -> int:
+        return len(self.newer) + len(self.older)
+
+    def find(self, keys: list) -> tuple[list, list[int]]:
+        """What is known of each key (else None), and the places of those that are not known."""
+        found = list(map(self.newer.get, keys))
+        gone = [k for k, x in enumerate(found) if x is None]
+        if self.older and gone:
+            again = {}
+            for k in gone:
+                if (x := self.older.get(keys[k])) is not None:
+                    found[k] = again[keys[k]] = x
+            self.add(again)
+            gone = [k for k in gone if found[k] is None]
+        return found, gone
+
+    def add(self, entries: dict) -> None:
+        if len(self.newer) + len(entries) > self.half:
+            self.older, self.newer = self.newer, {}
+        self.newer.update(entries)
+        while len(self.newer) > self.half:  # more than fits came at once
+            self.newer.popitem()
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, remembering the ids of chunks between ASCII white space.
 
-    The tokenizer drops white space and none of its pieces crosses it, so the ids of a text are those of its chunks in a row.
-    Arrow splits a batch and numbers its different chunks; the library sees each new one once. The memory holds up to ``limit`` chunks
-    and is emptied when full.
+    The tokenizer drops white space and none of its pieces crosses it, so the ids of a text are those of its chunks in a row. It
+    lowers letters, and a comma or full stop behind an ASCII letter or digit is a piece of its own; so an ASCII chunk is looked up in
+    lower case and without such an end. Arrow splits a batch and numbers its different chunks; the library sees each one that
+    is not remembered once. ``limit`` chunks are remembered at most.
     """
 
     _made: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,8 +159,13 @@ class ChunkEncoder:
         # a special token parts chunks that go to the library in one string
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.between = self.tokenizer.token_to_id(self.special[0])
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        self.known = Remembered(limit)
+        self.ends = [self._ids(e).tobytes() for e in ",."]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = None  # which ids end a piece
+        if suffix:
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -96,22 +176,51 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
-        odd = [c for c in chunks if "<|" in c or len(c) > 10_000]
-        for c in odd:
-            self.known[c] = self._ids(c).tobytes()
-        plain = [c for c in chunks if "<|" not in c and len(c) <= 10_000] if odd else chunks
-        runs = [plain[k : k + 200] for k in range(0, len(plain), 200)]
-        mark = f" {self.special[0]} "
-        for k in range(0, len(runs), 50):
-            for run, e in zip(runs[k : k + 50], self.tokenizer.encode_batch_fast([mark.join(r) for r in runs[k : k + 50]], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.flatnonzero(ids == self.between)
-                data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                at = 0
-                for c, end in zip(run, ends, strict=True):
-                    self.known[c] = data[at:end]
-                    at = end + 4
+    def _batch(self, runs: list[str]):
+        return (np.array(e.ids, "<u4") for k in range(0, len(runs), 50) for e in self.tokenizer.encode_batch_fast(runs[k : k + 50], add_special_tokens=False))
+
+    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        words, others = [], []
+        for c in chunks:
+            if len(c) > 10_000 or "<|" in c:
+                out[c] = self._ids(c).tobytes()
+            else:
+                (words if self.closes is not None and c.isascii() and c.isalpha() else others).append(c)
+        # letters alone are one piece, whose last token says that it ends; others get a special token between them
+        for group, mark in ((words, " "), (others, f" {self.special[0]} ")):
+            runs = [group[k : k + 200] for k in range(0, len(group), 200)]
+            for run, ids in zip(runs, self._batch([mark.join(r) for r in runs]), strict=True):
+                cuts = 4 * (np.flatnonzero(self.closes[ids]) + 1 if mark == " " else np.flatnonzero(ids == self.between))
+                skip, data = (0, ids.tobytes()) if mark == " " else (4, ids.tobytes())
+                ends = cuts.tolist() if mark == " " else [*cuts.tolist(), len(data)]
+                out.update(zip(run, [data[x:y] for x, y in zip([0, *(x + skip for x in ends[:-1])], ends, strict=True)], strict=True))
+        return out
+
+    def _chunks(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks (an Arrow array of different strings) in a row, and how many each has."""
+        import pyarrow.compute as pc
+
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.if_else(plain, pc.ascii_lower(words), words)
+        ended = pc.and_(plain, pc.match_substring_regex(low, r"[a-z0-9][.,]$"))
+        base = pc.if_else(ended, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
+        names = base.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts, new = self.known.find(names)
+        learned = self._learned([names[k] for k in new])
+        for k in new:
+            parts[k] = learned[names[k]]
+        self.known.add({w: x for w, x in learned.items() if len(w) < 64})
+        parts += self.ends
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        more = ended.to_numpy(zero_copy_only=False)
+        of = base.indices.to_numpy(zero_copy_only=False)
+        end = np.where(pc.ends_with(low, ",").to_numpy(zero_copy_only=False), len(names), len(names) + 1)
+        units = np.stack([of, end], 1)[np.stack([np.ones(len(of), bool), more], 1)]
+        n = sizes[of] + np.where(more, sizes[end], 0)
+        return _gathered(pool, starts[units], sizes[units]), n
 
     def encode(self, texts) -> list[np.ndarray]:
         """Per text of an Arrow string column its ids as little-endian unsigned 32-bit integers; a null text has none."""
@@ -126,25 +235,22 @@ class ChunkEncoder:
         for begin, end in zip(cuts, cuts[1:]):
             split = pc.ascii_split_whitespace(pc.fill_null(texts[begin:end], "").cast(pa.large_string()))
             chunks = split.flatten().dictionary_encode()
-            index, words = chunks.indices.to_numpy(zero_copy_only=False), chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-            new = [w for w in words if w not in self.known]
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = words
-            self._learn(new)
-            parts = [self.known[w] for w in words]
-            pool = np.frombuffer(b"".join(parts), "<u4")
-            lengths = np.array([len(x) >> 2 for x in parts], np.int64)
-            starts = np.cumsum(lengths) - lengths
+            index = chunks.indices.to_numpy(zero_copy_only=False)
+            pool, lengths = self._chunks(chunks.dictionary)
             n = lengths[index]
-            ends = np.cumsum(n)
-            flat = pool[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            flat = _gathered(pool, (np.cumsum(lengths) - lengths)[index], n)
             of = split.offsets.to_numpy() - split.offsets[0].as_py()
-            limits = np.concatenate([[0], ends])[of]
+            limits = np.concatenate([[0], np.cumsum(n)])[of]
             out += [flat[a:b] for a, b in zip(limits, limits[1:])]
         return out
 
 
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at starts and have those sizes, in a row."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 #: A random odd multiplier, its inverse modulo 2**64, and a random 64-bit value for each byte: words hash as polynomials.
 _RNG = np.random.default_rng(20240229)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1

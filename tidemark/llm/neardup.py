@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import binary_values, mix, prepare, shingle_hashes, stored, word_hashes
+from tidemark.llm.common import binary_values, mix, prepare, shingle_hashes, stored, tidy, word_hashes
 from tidemark.llm.components import components, smallest
 
 PLACES = 128
@@ -76,7 +76,7 @@ def sketched(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *sums, pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def _children(node):
@@ -167,7 +167,7 @@ def candidate_edges(reps: DataFrame, share: float, trees: int, node_limit: int,
             yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], names=["a", "b"])
 
     dealt = rows.join(sketch, F.col("rep") == F.col("of")).select("node", "n", "rep", "sketch").repartition("node").sortWithinPartitions("node", "n")
-    edges = dealt.mapInArrow(compare, "a long, b long")
+    edges = dealt.mapInArrow(tidy(compare), "a long, b long")
     for more in dense:
         edges = edges.unionByName(more)
     return edges.where("a <> b")
@@ -206,7 +206,7 @@ def _small_classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
-    return rows.select("class", "rep", "text").repartition("class").sortWithinPartitions("class", "rep").mapInArrow(run, "a long, b long")
+    return rows.select("class", "rep", "text").repartition("class").sortWithinPartitions("class", "rep").mapInArrow(tidy(run), "a long, b long")
 
 
 class Postings:
@@ -272,7 +272,7 @@ def _against_pivots(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 at = end
 
     keys = ["class", "chunk", "part"]
-    return rows.select(*keys, "kind", "rep", "text").repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "a long, b long")
+    return rows.select(*keys, "kind", "rep", "text").repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:

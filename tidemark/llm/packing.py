@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import ChunkEncoder, prepare, stored
+from tidemark.llm.common import ChunkEncoder, prepare, stored, tidy
 
 Pattern = tuple[int, list[tuple[int, int]]]
 
@@ -144,7 +144,7 @@ def pack(df: DataFrame, order: list[str], length: str = "length", capacity: int
     schema = df.select(*names, F.lit(0).cast("long").alias(sequence), F.lit(0).cast("long").alias(offset)).schema
     for f in schema.fields:
         f.nullable = True
-    return ranked.select(*names, "__length", "__rank").mapInArrow(place, schema)
+    return ranked.select(*names, "__length", "__rank").mapInArrow(tidy(place), schema)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -156,6 +156,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
     A null text counts as empty (one piece with end_id alone); a null id stays null. keep_ids adds the ids (little-endian unsigned 32-bit).
     """
     prepare(df.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer)
         for b in batches:
@@ -170,7 +171,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
 
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
+    return rows.mapInArrow(tidy(cut), PIECES + ", ids binary" * keep_ids)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:

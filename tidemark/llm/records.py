@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import ChunkEncoder, prepare, scratch, text_bytes
+from tidemark.llm.common import ChunkEncoder, batches_of, prepare, scratch, text_bytes, tidy
 
 _HEAD, _SUM, _ID, _ID_SIZE = "<Q", "<I", "<Bq", 9
 END = b"\n"
@@ -75,6 +75,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     prepare(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     shards = max(1, math.ceil(text_bytes(rows) / shard_bytes))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer)
         for b in batches:
@@ -84,7 +85,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
                 yield pa.record_batch({"value": pa.array([frame(payload(i, np.append(x, np.uint32(end_id)))) for i, x in zip(ids[at : at + 512], found[at : at + 512], strict=True)], pa.binary())})
 
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.text(path)
+    ordered.mapInArrow(tidy(encode), "value binary").select(F.col("value").cast("string")).write.text(path)
 
 
 def write_index(spark: SparkSession, path: str, index: str) -> None:
@@ -94,7 +95,7 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard, rows, start = int(re.search(r"part-(\d+)", name)[1]), [], 0
+                shard, rows, start = int(re.match(r"part-(\d+)", name.rpartition("/")[2])[1]), [], 0
                 for k, (at, size, held) in enumerate(frames(data.as_buffer().to_pybytes())):
                     doc, ids = content(held)
                     rows.append((shard, k, at, size, doc, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -104,9 +105,8 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     # one file at a time: a batch of them has no bound in memory
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files.mapInArrow(scan, INDEX).write.parquet(index)
-    prepare(spark)
+    with batches_of(spark, 1):
+        files.mapInArrow(tidy(scan), INDEX).write.parquet(index)
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import binary_values, prepare, stored
+from tidemark.llm.common import binary_values, prepare, stored, tidy
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, TARGET, BLOCK = 8000, 16000, 64
@@ -187,7 +187,7 @@ def store_pcm(df: DataFrame, media: str = "media", to: str = "pcm", target: int
             pcm = pa.array([next(made) if known else None for known in there], pa.binary())
             yield pa.RecordBatch.from_arrays([*(pcm if n == to else b.column(n) for n in b.schema.names), *([] if to in b.schema.names else [pcm])], names=[*b.schema.names, *([] if to in b.schema.names else [to])])
 
-    return df.mapInArrow(run, df.withColumn(to, F.lit(None).cast("binary")).schema)
+    return df.mapInArrow(tidy(run), df.withColumn(to, F.lit(None).cast("binary")).schema)
 
 
 def describe(pcm: np.ndarray) -> str:
@@ -216,7 +216,7 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([wav(payload(x), MULAW) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"]
             )
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 #: The sounds that a payload is: its bytes as mu-law, as A-law and as ADPCM blocks.
@@ -239,7 +239,7 @@ def sounds(df: DataFrame) -> DataFrame:
                 there = [c.slice(s.start, s.stop - s.start) for c in (ids, sizes)]
                 yield pa.RecordBatch.from_arrays([*there, *(pa.array(x) for x in zip(*facts, strict=True)), *made], names=[*(x.split()[0] for x in FACTS.split(", ")), *SOUNDS])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, FACTS + "".join(f", {c} binary" for c in SOUNDS))
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), FACTS + "".join(f", {c} binary" for c in SOUNDS))
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def described(df: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in FACTS.split(", ")]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(feature, pa.string())], names=[*names, "feature"])
 
-    return df.mapInArrow(run, FEATURES)
+    return df.mapInArrow(tidy(run), FEATURES)
 
 
 def media_features(df: DataFrame) -> DataFrame:
