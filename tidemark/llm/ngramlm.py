@@ -1,9 +1,12 @@
 """Stupid-backoff language-model scores of documents against the n-gram counts of the whole corpus.
 
-The counts are a table of (n-gram hash, count), partitioned by hash into buckets; documents meet it block by block. A block is one batch of
-documents; for each bucket it has one row with its different n-grams in hash order and how often each occurs, so a frequent n-gram is one
-entry a block, not one a document, and no bucket is heavier than others. Buckets sum the counts and answer each block in the
-order in which it asked; the answers join the block's documents, whose scores are summed.
+Documents are put into blocks, written once as a table (block, docs). From it come the n-grams of each block, a row for each block and
+bucket of hashes with the different n-grams there and how often each occurs: a frequent n-gram is one entry a block, not one a document,
+and no bucket is heavier than others. Grouped by bucket these are summed to counts, and each block is told what stands elsewhere.
+Grouped by block, what it was told joins the table of blocks, and scores are summed per document.
+
+A row holds many n-grams in columns of its own (hashes as compressed differences): as single rows of (hash, block, count) the n-grams of
+order 3 take more than twice as much of shuffle and disk.
 
 A document is scored against all others: its own occurrences are taken off each count. With c the counts left, N the words left, a word
 w behind the words h has c(h w) / c(h) if c(h w) > 0, else 0.4 times the score of w behind h without its first word; down
@@ -14,17 +17,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import binary_values, mix, prepare, stored, text_bytes, word_hashes
-from tidemark.llm.neardup import _groups
+from tidemark.llm.common import binary_values, mix, prepare, stored, text_bytes, tidy, word_hashes
 
 BACKOFF = 0.4
 #: N-grams (with repeats) that a bucket has on average.
-BUCKET = 3_000_000
+BUCKET = 2_000_000
+#: Bytes of text in a block, but for a longer single text; words of history and the word itself.
+BLOCK_BYTES = 4 << 20
+ORDER = 3
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -55,12 +61,6 @@ def distinct(hashes: list[np.ndarray], there: list[np.ndarray]) -> tuple[np.ndar
     return np.unique(np.concatenate([h[t] for h, t in zip(hashes, there, strict=True)]), return_counts=True)
 
 
-def _block(ids: list, texts: list[bytes]) -> int:
-    """A number for a batch of documents, by what it holds."""
-    flat = np.array([(i or 0) * 31 + len(t) for i, t in zip(ids, texts, strict=True)], np.int64).view(np.uint64)
-    return int(mix(flat + np.arange(len(flat), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
-
-
 def _bucket_limits(keys: np.ndarray, buckets: int) -> np.ndarray:
     limits = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]])
@@ -96,7 +96,70 @@ def score_texts(texts: list[bytes], order: int, keys: np.ndarray, totals: np.nda
     return list(zip(words.tolist(), sums.tolist(), np.bincount(of, backed, len(texts)).astype(int).tolist(), strict=True))
 
 
-def lm_scores(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def blocks(df: DataFrame) -> DataFrame:
+    """Rows (block, docs) of a DataFrame of ids and texts: a number and an Arrow stream of a few MB of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum([len(x) for x in binary_values(b.column(1))]) // BLOCK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(b.slice(x, y - x))
+                    # written once: who reads it later finds the same number
+                    yield pa.RecordBatch.from_arrays([pa.array([uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+    return df.mapInArrow(tidy(run), "block long, docs binary")
+
+
+def _docs(data: bytes) -> tuple[pa.Array, list[bytes]]:
+    table = pa.ipc.open_stream(data).read_all()
+    return table.column(0).combine_chunks(), binary_values(table.column(1))
+
+
+def asked(rows: DataFrame, order: int, buckets: int) -> DataFrame:
+    """For each block and bucket: the different n-grams (n of them), how often each occurs there, and the words among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hashes, there, _ = grams(_docs(data)[1], order)
+                keys, counts = distinct(hashes, there)
+                single = np.isin(keys, hashes[0])
+                limits = _bucket_limits(keys, buckets)
+                out = [
+                    (k, block, int(y - x), _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(counts[x:y].astype(np.uint32)), int(counts[x:y][single[x:y]].sum()))
+                    for k, (x, y) in enumerate(zip(limits, limits[1:]))
+                    if y > x
+                ]
+                if out:
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "block", "n", "keys", "counts", "words"])
+
+    return rows.mapInArrow(tidy(run), "bucket int, block long, n long, keys binary, counts binary, words long")
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """For each row of asked: how often its n-grams occur in other blocks."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        sizes = bucket.column("n").to_pylist()
+        keys = np.concatenate([np.cumsum(_unpack(k, n, np.uint64), dtype=np.uint64) for k, n in zip(bucket.column("keys").to_pylist(), sizes, strict=True)])
+        counts = np.concatenate([_unpack(c, n, np.uint32) for c, n in zip(bucket.column("counts").to_pylist(), sizes, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        elsewhere = np.empty(len(keys), np.int64)
+        elsewhere[order] = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))) - counts
+        data = [_pack(x) for x in np.split(elsewhere, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "n": bucket.column("n"), "data": pa.array(data, pa.binary()), "words": bucket.column("words")})
+
+    return rows.groupBy("bucket").applyInArrow(run, "block long, bucket int, n long, data binary, words long")
+
+
+def lm_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_words, log_score (natural logarithm of the product of the words' scores), mean_log_score, n_backoff.
 
     Words are runs without ASCII white space, A-Z in lower case. A null, empty or blank text has 0 words, a log_score of 0 and a null mean. A
@@ -106,85 +169,30 @@ def lm_scores(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: s
     prepare(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(rows) * order / 6 / bucket))
+    # docs are compressed already
+    held = stored(blocks(rows), "blocks", codec="uncompressed")
+    answers = stored(told(asked(held, order, buckets).repartition(buckets, "bucket")), "ngram-counts", codec="uncompressed")
+    n_all = int(answers.agg(F.sum("words")).first()[0] or 0)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), binary_values(b.column(1))
-            hashes, there, _ = grams(texts, order)
-            keys, counts = distinct(hashes, there)
-            single = np.isin(keys, hashes[0]) if len(keys) else np.zeros(0, bool)
-            limits = _bucket_limits(keys, buckets)
-            out, block = [], _block(ids, texts)
-            for k, (x, y) in enumerate(zip(limits, limits[1:])):
-                if y > x:
-                    out.append((k, block, int(y - x), _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(counts[x:y].astype(np.uint32)), int(counts[x:y][single[x:y]].sum())))
-            if out:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "block", "n", "keys", "counts", "words"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches):
-            if not b.num_rows:
-                continue
-            of = b.column(0).to_numpy()
-            ends, at = [*np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)], 0
-            for end in ends:
-                part = b.slice(at, end - at).to_pydict()
-                asked = [np.cumsum(_unpack(k, n, np.uint64), dtype=np.uint64) for k, n in zip(part["keys"], part["n"], strict=True)]
-                counts = np.concatenate([_unpack(c, n, np.uint32) for c, n in zip(part["counts"], part["n"], strict=True)])
-                keys, back = np.unique(np.concatenate(asked), return_inverse=True)
-                totals = np.bincount(back, counts, len(keys)).astype(np.int64)[back]
-                told = [_pack(x) for x in np.split(totals, np.cumsum(part["n"])[:-1])]
+            for data, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, texts = _docs(data)
+                hashes, there, _ = grams(texts, order)
+                keys, counts = distinct(hashes, there)
+                totals = counts + np.concatenate([np.zeros(0, np.int64), *(_unpack(x["data"], x["n"], np.int64) for x in found or [])])
+                words, total, backed = (np.array(x) for x in zip(*score_texts(texts, order, keys, totals, n_all), strict=True))
+                mean = pa.array(np.round(total / np.maximum(words, 1), 9), mask=words == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(1).slice(at, end - at), pa.array([int(of[at])] * (end - at), pa.int32()), b.column(2).slice(at, end - at), pa.array(told, pa.binary()), b.column(5).slice(at, end - at)],
-                    names=["block", "bucket", "n", "data", "words"],
+                    [ids, pa.array(words, pa.int64()), pa.array(np.round(total, 6)), mean, pa.array(backed, pa.int64())], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_backoff"]
                 )
-                at = end
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                block, sink = _block(b.column(0).to_pylist(), binary_values(b.column(1))), pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(b)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([0]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bucket", "n", "data"])
-
-    asked = rows.mapInArrow(ask, "bucket int, block long, n long, keys binary, counts binary, words long").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    told = stored(asked.mapInArrow(answer, "block long, bucket int, n long, data binary, words long"), "ngram-counts")
-    n_all = int(told.agg(F.sum("words")).first()[0] or 0)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches):
-            if not b.num_rows:
-                continue
-            of = b.column(0).to_numpy()
-            ends, at = [*np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)], 0
-            for end in ends:
-                bucket, n, data = (b.column(k).slice(at, end - at).to_pylist() for k in (1, 2, 3))
-                # batches that are equal get equal answers; one of them does
-                first = [k >= 0 and k != before for before, k in zip([-1, *bucket], bucket)]
-                totals = np.concatenate([np.zeros(0, np.int64), *(_unpack(d, m, np.int64) for use, m, d in zip(first, n, data, strict=True) if use)])
-                copies = [d for k, d in zip(bucket, data, strict=True) if k < 0]
-                for d in copies:
-                    docs = pa.ipc.open_stream(d).read_all()
-                    ids, texts = docs.column(0), binary_values(docs.column(1))
-                    hashes, there, _ = grams(texts, order)
-                    keys, _ = distinct(hashes, there)
-                    if len(keys) != len(totals):
-                        raise RuntimeError("a batch of documents was not the same when read again")
-                    found = score_texts(texts, order, keys, totals, n_all)
-                    words, total, backed = (np.array(x) for x in zip(*found, strict=True))
-                    mean = pa.array(np.round(total / np.maximum(words, 1), 9), mask=words == 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.combine_chunks(), pa.array(words, pa.int64()), pa.array(np.round(total, 6)), mean, pa.array(backed, pa.int64())],
-                        names=["doc_id", "n_words", "log_score", "mean_log_score", "n_backoff"],
-                    )
-                at = end
-
-    both = rows.mapInArrow(keep, "block long, bucket int, n long, data binary").unionByName(told.drop("words"))
-    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long")
+    by_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "data"))).alias("told"))
+    # blocks of blank texts have asked nothing
+    both = held.join(by_block, "block", "left").select("docs", "told")
+    return both.mapInArrow(tidy(score), "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long")
 
 
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents scored by a bigram model of all other documents."""
+    """documents scored by a trigram model of all other documents."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
