@@ -2,6 +2,9 @@
 
 One weight a word, shared by all thresholds: P(grade <= k) = logistic(threshold[k] - sum of weights). The expected severity is the sum
 of P(grade > k). It is fitted on a bounded sample of labelled rows, the rows with the smallest hashes of their ids; every text is scored.
+
+One rule counts: a text is toxic if its expected severity reaches the fitted cut. Its grade is 0 below the cut and the likeliest of the
+grades above 0 from it on.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import NOT_LETTERS, binary_values, prepare, word_hashes
+from tidemark.llm.common import NOT_LETTERS, binary_values, prepare, stored, tidy, word_hashes
 
-#: Labelled rows that a fit sees at most. They reach the driver as word hashes.
-SAMPLE = 20_000
+#: Labelled rows that a fit sees at most, and different words (8 bytes each) in all of these. They reach the driver as word hashes.
+SAMPLE, SAMPLE_WORDS = 20_000, 10_000_000
+#: Texts that are scored at a time.
+ROWS = 512
 
 
 @dataclass
@@ -30,7 +35,18 @@ class Model:
         return np.bincount(row, self.weights[column], n) if len(row) else np.zeros(n)
 
     def severity(self, scores: np.ndarray) -> np.ndarray:
-        return _logistic(scores[:, None] - self.thresholds[None, :]).sum(1)
+        return np.round(_logistic(scores[:, None] - self.thresholds[None, :]).sum(1), 6)
+
+    def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Severity and grade of each text."""
+        out = []
+        for at in range(0, len(texts), ROWS):
+            part = binary_values(texts.slice(at, ROWS))
+            s = self.scores(*features(part, self.words), len(part))
+            below = np.concatenate([_logistic(self.thresholds[None, :] - s[:, None]), np.ones((len(s), 1))], 1)
+            severity = self.severity(s)
+            out.append((severity, np.where(severity >= self.cut, 1 + np.diff(below, axis=1).argmax(1), 0)))
+        return np.concatenate([np.zeros(0), *(x[0] for x in out)]), np.concatenate([np.zeros(0, np.int64), *(x[1] for x in out)])
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -48,19 +64,27 @@ def features(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both // max(len(words), 1), both % max(len(words), 1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label, sample: int, id_col: str, text_col: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Word hashes and labels of the sample; rows without an id or a label are left out, of several for one id any one counts."""
-    few = labels.select(F.col(id_col).cast("long").alias("id"), label.cast("int").alias("grade")).where("id is not null and grade is not null").dropDuplicates(["id"])
-    few = few.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").select("id", "grade", "text")
+def labelled(docs: DataFrame, labels: DataFrame, label, sample: int, id_col: str, text_col: str, words: int = SAMPLE_WORDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word hashes and labels of the sample; rows without an id or a label are left out, of several labels of one id the largest counts.
+    The sample ends where its texts would have more than ``words`` different words in all."""
+    few = labels.select(F.col(id_col).cast("long").alias("id"), label.cast("int").alias("grade")).where("id is not null and grade is not null")
+    few = few.groupBy("id").agg(F.max("grade").alias("grade")).withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").select("at", "id", "grade", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, starts = word_hashes(binary_values(b.column(2)), parting=NOT_LETTERS)
-            data = [np.unique(h[x:y]).tobytes() for x, y in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["id", "grade", "words"])
-
-    got = sorted(rows.mapInArrow(hashed, "id long, grade int, words binary").collect())
+            h, starts = word_hashes(binary_values(b.column(3)), parting=NOT_LETTERS)
+            found = [np.unique(h[x:y]) for x, y in zip(starts, starts[1:])]
+            data = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *data], names=["at", "id", "grade", "n", "words"])
+
+    held = stored(rows.mapInArrow(tidy(hashed), "at long, id long, grade int, n long, words binary"), "labelled")
+    sizes = sorted(tuple(r) for r in held.select("at", "id", "n").collect())
+    over = np.flatnonzero(np.cumsum([n for _, _, n in sizes]) > words)
+    if len(over):
+        at, doc, _ = sizes[over[0]]
+        held = held.where((F.col("at") < at) | ((F.col("at") == at) & (F.col("id") < doc)))
+    got = sorted(tuple(r) for r in held.select("id", "grade", "words").collect())
     return [np.frombuffer(r[2], np.uint64) for r in got], np.array([r[1] for r in got], np.int64)
 
 
@@ -92,9 +116,9 @@ def graded(texts: list[np.ndarray], toxic: np.ndarray, times: float = 8.0, least
     return grades
 
 
-def fit(texts: list[np.ndarray], grades: np.ndarray, least: int = 3, rounds: int = 100, decay: float = 1.0, seed: int = 1) -> Model:
+def fit(texts: list[np.ndarray], grades: np.ndarray, least: int = 3, rounds: int = 100, decay: float = 1.0, seed: int = 1, held_back: int = 5) -> Model:
     """Fit on sets of word hashes; words of fewer than least texts, or whose share does not differ
-    between grades above 0 and grade 0 (chi-square below 6.6), are left out. One text in five is held back: of the rounds (limited
+    between grades above 0 and grade 0 (chi-square below 6.6), are left out. One text in held_back (0: none) is held back: of the rounds (limited
     memory BFGS steps), the one with the best likelihood there counts, and the cut is the severity that gives the best F1 there for
     grades above 0.
 
@@ -103,7 +127,7 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, least: int = 3, rounds: int
     levels = int(grades.max(initial=0))
     if len(texts) == 0 or levels == 0 or len(set(grades.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0]), float("inf"))
-    train = np.random.default_rng(seed).permutation(len(texts)) % 5 > 0
+    train = np.random.default_rng(seed).permutation(len(texts)) % held_back > 0 if held_back else np.ones(len(texts), bool)
     words = _telling([texts[i] for i in np.flatnonzero(train)], grades[train] > 0, least)[0]
     words = np.append(words, np.uint64(2**64 - 1))  # the last one stands for whatever is not among them
     place = [np.searchsorted(words, t) for t in texts]
@@ -175,7 +199,8 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, least: int = 3, rounds: int
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, severity (expected grade, rounded to 6 places), grade (the likeliest), toxic (severity reaches the model's cut).
+    """doc_id, severity (expected grade, rounded to 6 places), grade, toxic (severity reaches the model's cut; then, and only then, the grade
+    is above 0).
 
     A null text counts as empty; an empty text has the severity of no words. A null id stays null. Repeated rows each give a row.
     """
@@ -184,32 +209,30 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     sent = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            s = m.scores(*features(binary_values(b.column(1)), m.words), b.num_rows)
-            severity = np.round(m.severity(s), 6)
-            below = np.concatenate([np.zeros((len(s), 1)), _logistic(m.thresholds[None, :] - s[:, None]), np.ones((len(s), 1))], 1)
-            grade = np.diff(below, axis=1).argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity), pa.array(grade.astype(np.int32)), pa.array(severity >= m.cut)], names=["doc_id", "severity", "grade", "toxic"])
+            severity, grade = sent.value.judged(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity), pa.array(grade.astype(np.int32)), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "toxic"])
 
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df without the rows whose severity reaches the model's cut; all columns stay as they are. A null text counts as empty."""
+    """df without the rows whose severity reaches the model's cut; all columns stay as they are, and only the text passes Python. A null
+    text counts as empty."""
     spark = df.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    place = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            s = m.scores(*features(binary_values(b.column(place)), m.words), b.num_rows)
-            yield b.filter(pa.array(np.round(m.severity(s), 6) < m.cut))
+    @F.arrow_udf("boolean")
+    def toxic(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches):
+            for b in batches:
+                yield pa.array(sent.value.judged(b)[1] > 0)
+
+        yield from tidy(run)(texts)
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(~toxic(F.col(text_col).cast("string")))
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str, sample: int = SAMPLE) -> Model:
