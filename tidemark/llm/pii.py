@@ -32,8 +32,9 @@ SCORE = {"email": 90, "ip": 60, "card": 80, "phone": 50, "iban": 85, "ssn": 30}
 BONUS = {"email": 10, "ip": 20, "card": 20, "phone": 30, "iban": 15, "ssn": 40}
 LEAST = 50
 NEAR = 48
+#: Whole words, with or without an s at their end, in lower case.
 WORDS = {
-    "email": "mail|contact|write|kontakt|correo|courriel",
+    "email": "e-?mail|mail|contact|write|kontakt|correo|courriel",
     "ip": "address|server|host|login|adresse",
     "card": "card|credit|visa|karte|carte|tarjeta|payment",
     "phone": "phone|call|tel|mobile|fax|anruf",
@@ -89,92 +90,111 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _ends(sizes: Column) -> Column:
-    """Running sums of an array, by sums over blocks of about the root of its length, so that long arrays stay cheap."""
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int"))
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda s, x: s + x)
+def _running(values: Column, whole, join) -> Column:
+    """whole of the values up to each one (join puts two such results together), by blocks of about the root of the array's length, so
+    that long arrays stay cheap."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
 
     def blocks(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / w).cast("int"))
-        return F.transform(starts, lambda b: total(F.slice(sizes, b * w + 1, w)))
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / w).cast("int"))
+        return F.transform(starts, lambda b: whole(F.slice(values, b * w + 1, w)))
 
     def within(w: Column, before: Column) -> Column:
         of = lambda i: F.floor(i / w).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.size(sizes) - 1), lambda i: F.get(before, of(i)) + total(F.slice(sizes, of(i) * w + 1, i - of(i) * w + 1)))
+        return F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: join(F.get(before, of(i)), whole(F.slice(values, of(i) * w + 1, i - of(i) * w + 1))))
+
+    def prefixed(w: Column, of_blocks: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(0), F.size(of_blocks) - 1), lambda b: whole(F.slice(of_blocks, F.lit(1), b))), lambda before: within(w, before))
+
+    return let(width, lambda w: let(blocks(w), lambda x: prefixed(w, x)))
 
-    def prefixed(w: Column, sums: Column) -> Column:
-        return let(F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda b: total(F.slice(sums, F.lit(1), b))), lambda before: within(w, before))
 
-    return let(width, lambda w: let(blocks(w), lambda sums: prefixed(w, sums)))
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array."""
+    return _running(sizes, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y), lambda s, y: s + y)
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:int>>"
 
 
-def spans(text: Column, around: bool = False) -> Column:
+def spans(text: Column) -> Column:
     """All spans of a text that is not null: kind, start and end in code points (end exclusive) and score, by kind and start.
 
-    Words nearby are those of the NEAR code points on either side of a span with around; else those of the NEAR before it, back to the
-    last match of its kind."""
-    return F.concat(*(_of_kind(text, kind, around) for kind in KINDS))
+    Words nearby are those within the NEAR code points on either side of a span, whatever matches lie between."""
+    return F.concat(*(_of_kind(text, kind) for kind in KINDS))
+
+
+#: From so many spans of a text on, pieces are cut from an array of its code points: counting them from the text's beginning takes time
+#: in proportion to its length for each piece.
+MANY = 64
+
 
+def _cut(text: Column, points: Column, start: Column, n: Column) -> Column:
+    """n code points from start on; points: the text's code points or null."""
+    return F.when(points.isNull(), F.substring(text, start + 1, n)).otherwise(F.array_join(F.slice(points, start + 1, n), ""))
 
-def _beside(text: Column, start: Column, end: Column) -> Column:
-    """The NEAR code points before start and those from end on."""
-    return F.concat(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))), F.lit("\n"), F.substring(text, end + 1, F.lit(NEAR)))
 
+def _points(text: Column, spans: Column) -> Column:
+    return F.when(F.size(spans) > MANY, F.split(text, ""))
 
-def _of_kind(text: Column, kind: str, around: bool) -> Column:
+
+def _beside(text: Column, points: Column, size: Column, start: Column, end: Column) -> Column:
+    """The NEAR code points before start and those from end on; a line end stands for the span and for an end of the text."""
+    before = F.concat(F.when(start <= NEAR, "\n").otherwise(""), _cut(text, points, F.greatest(start - NEAR, F.lit(0)), F.least(start, F.lit(NEAR))))
+    return F.concat(before, F.lit("\n"), _cut(text, points, end, F.lit(NEAR)), F.when(end + NEAR >= size, "\n").otherwise(""))
+
+
+def _near(kind: str) -> str:
+    return f"[^a-z0-9]({WORDS[kind]})s?[^a-z0-9]"
+
+
+def _of_kind(text: Column, kind: str) -> Column:
     pattern = FAST.get(kind) or MORE[kind]
     least = 1 if kind in BASE else LEAST
 
     def placed(matches: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
-            def with_ends(ends: Column) -> Column:
+            def with_ends(ends: Column, points: Column, size: Column) -> Column:
                 def one(m: Column, i: Column) -> Column:
                     end = F.get(ends, i)
-                    near = F.lower(_beside(text, end - F.length(m), end) if around else F.right(F.get(gaps, i), F.lit(NEAR))).rlike(WORDS[kind])
+                    near = F.lower(_beside(text, points, size, end - F.length(m), end)).rlike(_near(kind))
                     score = F.lit(SCORE[kind]) + F.when(near, BONUS[kind]).otherwise(0)
                     return F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.when(_valid(kind, m), score).otherwise(0).alias("score"))
 
                 return F.filter(F.transform(matches, one), lambda s: s["score"] >= least)
 
-            return let(_ends(F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.length(m) + F.length(g))), with_ends)
+            sizes = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.length(m) + F.length(g))
+            return let(_ends(sizes), lambda ends: let(_points(text, matches), lambda points: let(F.length(text), lambda size: with_ends(ends, points, size))))
 
         return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), with_gaps)).otherwise(F.array().cast(_SPAN))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
-def find_pii(df: DataFrame, text: str = "text", to: str = "spans", around: bool = False) -> DataFrame:
-    """df with an array of the spans of its text. A null text counts as empty: no spans. A column of that name is replaced."""
-    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(to, spans(F.col("__text"), around)).drop("__text")
+def find_pii(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+    """df with an array of the spans of its text. A null text counts as empty: no spans. A column of that name is replaced; other columns
+    stay, nulls in them too; each repeated row has its spans; an empty table stays empty."""
+    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(to, spans(F.col("__text"))).drop("__text")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each span of its text, words on either side counted, replaced by its kind in square brackets. Of spans that overlap, the one
-    that starts first counts, of these the longest, and reaches to the last end of those that overlap it. A null or empty text stays."""
-    found = find_pii(df, text, "__spans", around=True)
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    """df with each span of its text replaced by its kind in square brackets. Of spans that overlap, the one that starts first counts, of
+    these the longest, and reaches to the last end of those that overlap it. A null or empty text stays."""
+    found = find_pii(df, text, "__spans")
 
-    def step(state: Column, s: Column) -> Column:
-        last = F.element_at(state, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], -s["back"]).alias("end"), last["kind"].alias("kind"))
-        fresh = F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind"))
-        return F.when((F.size(state) > 0) & (s["start"] < last["end"]), F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(grown))).otherwise(F.concat(state, F.array(fresh)))
+    def masked(spans: Column, reach: Column, points: Column) -> Column:
+        # reach: how far the spans up to each one go; a span that starts there or later is not covered by those before it
+        placed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.when(i > 0, F.get(reach, i - 1)).otherwise(0).alias("from"), s["kind"].alias("kind")))
+        piece = lambda s: F.concat(_cut(F.col(text), points, s["from"], s["start"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        heads = F.transform(F.filter(placed, lambda s: s["start"] >= s["from"]), piece)
+        return F.concat(F.array_join(heads, ""), F.substring(F.col(text), F.element_at(reach, -1) + 1, F.length(text)))
 
-    merged = F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int,kind:string>>"), step)
-    found = found.withColumn("__merged", F.when(F.size("__spans") > 0, merged))
+    def reaching(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: -s["back"])
+        return let(_running(ends, lambda x: F.aggregate(x, F.lit(0), lambda s, y: F.greatest(s, y)), F.greatest), lambda reach: let(_points(F.col(text), spans), lambda points: masked(spans, reach, points)))
 
-    def piece(s: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(F.col("__merged"), i - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(F.col(text), begin + 1, s["start"] - begin), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-
-    tail = F.substring(F.col(text), F.element_at("__merged", -1)["end"] + 1, F.length(text))
-    out = F.concat(F.array_join(F.transform("__merged", piece), ""), tail)
-    return found.withColumn(text, F.when(F.col("__merged").isNotNull(), out).otherwise(F.col(text))).drop("__spans", "__merged")
+    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    return found.withColumn(text, F.when(F.size("__spans") > 0, let(ordered, reaching)).otherwise(F.col(text))).drop("__spans")
 
 
 def _count(kind: str) -> Column:
@@ -216,10 +236,12 @@ def _sql() -> str:
         pattern = BASE.get(kind) or MORE[kind]
         parts.append(f"""
 select doc_id, {k} as k, '{kind}' as kind, gap_end as start, gap_end + length(m) as stop,
-       case when {valid[kind]} then {SCORE[kind]} + case when regexp_matches(lower(right(gap, {NEAR})), '{WORDS[kind]}') then {BONUS[kind]} else 0 end else 0 end as score
-from (select doc_id, unnest(ms) as m, unnest(gs[1:len(ms)]) as gap,
-             unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda q: length(q))), 0))) as gap_end
-      from (select doc_id, regexp_extract_all(text, '{pattern}') as ms, regexp_split_to_array(text, '{pattern}') as gs from d))
+       case when {valid[kind]} then {SCORE[kind]} + case when regexp_matches(lower(near), '{_near(kind)}') then {BONUS[kind]} else 0 end else 0 end as score
+from (select *, case when gap_end <= {NEAR} then chr(10) else '' end || substr(text, greatest(gap_end - {NEAR}, 0) + 1, least(gap_end, {NEAR})) || chr(10) ||
+             substr(text, gap_end + length(m) + 1, {NEAR}) || case when gap_end + length(m) + {NEAR} >= length(text) then chr(10) else '' end as near
+      from (select doc_id, text, unnest(ms) as m,
+             unnest(list_transform(range(1, len(ms) + 1), lambda i: cast(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda q: length(q))), 0) as bigint))) as gap_end
+      from (select doc_id, text, regexp_extract_all(text, '{pattern}') as ms, regexp_split_to_array(text, '{pattern}') as gs from d)))
 """)
     return f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
