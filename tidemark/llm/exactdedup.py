@@ -14,6 +14,15 @@ from tidemark.llm.common import scratch, stored
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Input splits in a micro-batch for each task that can run at a time.
+SPLITS = 4
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it."""
+    digits = size.strip().lower().rstrip("bkmgt")
+    return int(digits) << 10 * "bkmgt".find(size.strip().lower().removeprefix(digits)[:1] or "b")
+
 
 def normal(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as empty."""
@@ -30,14 +39,18 @@ def _located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, path: str, state: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 256 << 20) -> None:
+def ingest(spark: SparkSession, path: str, state: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None) -> None:
     """Take in all files of the folder (or file) path that the stream has not seen yet; state is the stream's folder.
 
     Below state/changed each micro-batch leaves the digests it touched, with their state after it. Rows of a null id are kept in mind
-    with a null identifier, which counts as smaller than any.
+    with a null identifier, which counts as smaller than any. A micro-batch takes batch_bytes of files; by default SPLITS splits for each
+    task that can run at a time, so that the number of batches does not grow with a cluster that grows with its input.
     """
     from uuid import uuid4
 
+    if batch_bytes is None:
+        batch_bytes = SPLITS * spark.sparkContext.defaultParallelism * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
     conf = {
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
