@@ -52,6 +52,40 @@ def test_against_brute_force_with_small_and_large_nodes_and_classes(spark):
         assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
 
 
+def pages(n, body=250, own=45, copies=0):
+    """n pages of one template, at a similarity of about 0.7, and copies of every tenth with another word."""
+    out = []
+    for k in range(n):
+        t = [f"t{i}" for i in range(body)] + [f"own{k}x{i}" for i in range(own)]
+        out += [" ".join(t)] + [" ".join([*t[:-1], f"c{c}"]) for c in range(copies if k % 10 == 0 else 0)]
+    return out
+
+
+def test_classes_are_cut_finer_without_losing_links(spark, monkeypatch):
+    for name, value in {"PIVOTS": 2, "CHUNK": 16, "PART": 4}.items():
+        monkeypatch.setattr(neardup, name, value)
+    texts = corpus(7) + pages(60, 60, 12, copies=2) + pages(30, 20, 1)
+    want = brute(list(enumerate(texts)), 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), width=2, class_limit=4).collect()}
+    assert got == want
+
+
+def test_template_pages_do_not_meet_each_other(spark, monkeypatch):
+    sent, whole = [], neardup._against_pivots
+
+    def counted(rows, *more):
+        sent.append(rows.count())
+        return whole(rows, *more)
+
+    monkeypatch.setattr(neardup, "_against_pivots", counted)
+    totals = []
+    for n in (400, 800):
+        sent.clear()
+        assert all(r.kept for r in neardup.near_duplicates(docs(spark, pages(n)), width=2).collect())
+        totals.append(sum(sent))
+    assert 0 < totals[1] <= 2.1 * totals[0]
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     rows = [(4, "a b c d", None, None, None), (4, "a b c d", None, None, None), (2, "a b c d", None, None, None), (None, "a b c d", None, None, None), (9, "x", None, None, None), (9, "y z", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)

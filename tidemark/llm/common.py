@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Texts in one Arrow batch; with very long texts the byte bound below holds instead.
 BATCH_ROWS = 4096
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -168,10 +168,14 @@ class ChunkEncoder:
             self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     @classmethod
-    def of(cls, path: str) -> ChunkEncoder:
+    def of(cls, path: str, limit: int = 400_000) -> ChunkEncoder:
+        """The encoder that this worker has for path, from now on with that limit."""
         if path not in cls._made:
             cls._made[path] = cls(path)
-        return cls._made[path]
+        made = cls._made[path]
+        if made.known.half != max(1, limit // 2):
+            made.known = Remembered(limit)
+        return made
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")

@@ -9,9 +9,10 @@ it becomes one candidate class unseen, as does one that is still large at the la
 with probability below 1e-6; pairs that they pass, and large nodes, join candidate classes, which are only a first cut.
 
 Links are then confirmed on full sets. A class of few sets is one task's work. In a larger one, blocks of its sets meet a few pivots at
-a time: sets that link to pivots join, and sets outside the class's largest component become pivots in turn until every one of them has
-met all others; within that component no pair can add a link between components. So no link among candidates is lost, and no
-group's pairs are all made.
+a time: sets that link to pivots join. If sets are left outside the class's largest component after two rounds, the class is cut finer by
+the sets' rarest shingles, of which linked sets share one, and only then sets outside the largest component become pivots in turn until
+every one of them has met all others; within that component no pair can add a link between components. So no link among candidates
+is lost, and pages of one template that are not linked do not meet each other.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ NODE, CLASS = 1024, 256
 DEPTH = 8
 #: Pivots of a class in the first round; sets in a block; pivots in a block.
 PIVOTS, CHUNK, PART = 32, 1024, 256
+#: A shingle in this share of a block's sets comes behind others in the order that cuts classes finer.
+SHARED = 0.1
+#: Up to so many sets in classes (8 bytes each) are sent to all tasks that read texts.
+BROADCAST_SETS = 1_000_000
 
 
 def text_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -275,20 +280,26 @@ def _against_pivots(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select(*keys, "kind", "rep", "text").repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(tidy(run), "a long, b long")
 
 
-def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """As _small_classes, for classes of any size: rows class, rep, text, size."""
-    rows = stored(members.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))), "large-classes")
-    state = rows.select("class", F.col("rep").alias("node"), F.col("rep").alias("component"), F.lit(False).alias("met"))
-    links, salts, n = None, PIVOTS, rows.count()
+def _chunked(members: DataFrame) -> DataFrame:
+    """members (class, rep, text, size) with the number of blocks of their class and their own block."""
+    return members.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+
+
+def _met(rows: DataFrame, state: DataFrame, width: int, percent: int, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rounds in which sets meet pivots: state (class, node, component, met) after so many rounds, or after all that are needed, and the
+    sets (class, node) that are outside the largest component of their class and have not met all others."""
+    links, salts, n = None, PIVOTS, state.count()
     while True:
         counts = state.groupBy("class", "component").agg(F.count(F.lit(1)).alias("n"))
         main = stored(counts.groupBy("class").agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("class").alias("of"), F.col("m.component").alias("main")), "main", rows=n)
         outside = state.join(main, F.col("class") == F.col("of")).where((F.col("component") != F.col("main")) & ~F.col("met"))
+        if rounds == 0:
+            return state, outside.select("class", "node")
         # one for each of a number of salts, eight times as many each time: the choice is summed before it is shuffled
         chosen = outside.groupBy("class", F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
         chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node")), "pivots", rows=n)
         if chosen.limit(1).count() == 0:
-            break
+            return state, chosen.withColumnRenamed("of", "class")
         parts = stored(chosen.groupBy(F.col("of").alias("for")).agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "parts", rows=n)
         held = rows.join(parts, F.col("class") == F.col("for"))
         pivots = held.join(chosen, (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -296,7 +307,8 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
         meet = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         both = pivots.select("class", "chunk", "part", F.lit(0).alias("kind"), "rep", "text").unionByName(meet.select("class", "chunk", "part", F.lit(1).alias("kind"), "rep", "text"))
         found = stored(_against_pivots(both, width, percent), "links")
-        links = found if links is None else links.unionByName(found)
+        # what was one component stays one
+        links = (links if links is not None else state.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(found)
         now = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
         state = stored(
             state.join(now, F.col("node") == F.col("k"), "left").join(chosen.select(F.col("node").alias("p")).distinct(), F.col("node") == F.col("p"), "left")
@@ -304,7 +316,111 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
             "state", rows=n,
         )
         salts *= 8
-    return state.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        rounds = rounds and rounds - 1
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, np.ndarray | None, np.ndarray, list[np.ndarray]]]:
+    """Rows class, chunk, frequent, rep, text in that order, as runs of one block: key, frequent, reps, sets."""
+    for b in batches:
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        sets, reps, at = text_sets(binary_values(b.column(4)), width), b.column(3).to_pylist(), 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at] and (reps[end] is None) == (reps[at] is None):
+                end += 1
+            frequent = None if reps[at] is not None else np.array(b.column(2)[at].as_py(), np.int64).view(np.uint64)
+            yield keys[at], frequent, reps[at:end], sets[at:end]
+            at = end
+
+
+def _frequent(rows: DataFrame, width: int) -> DataFrame:
+    """Shingles that a class's sets share, rarest first: those in a tenth of a block's sets. So there are at most about ten times as many
+    as a mean set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tokens, counts, size = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+        def out() -> pa.RecordBatch:
+            keep = counts >= max(2, size * SHARED)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * int(keep.sum()), pa.int64()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=["class", "token", "n"])
+
+        for k, _, _, sets in _by_block(batches, width):
+            if key is not None and k != key:
+                yield out()
+                tokens, counts, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+            key, size = k, size + len(sets)
+            flat = np.concatenate([tokens, *sets])
+            tokens, back = np.unique(flat, return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, np.ones(len(flat) - len(counts), np.int64)])).astype(np.int64)
+        if key is not None:
+            yield out()
+
+    blocks = rows.select("class", "chunk", F.lit(None).cast("array<long>").alias("frequent"), "rep", "text").repartition("class", "chunk").sortWithinPartitions("class", "chunk")
+    found = blocks.mapInArrow(tidy(run), "class long, token long, n long").groupBy("class", "token").agg(F.sum("n").alias("n"))
+    return found.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x")).select(F.col("class").alias("of"), F.col("x.token").alias("frequent"))
+
+
+def _prefixes(rows: DataFrame, frequent: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (class, token, rep, low): the first shingles of each set in an order with rare ones first. Of two sets that reach the share, the
+    smaller one has a shingle among its first with low that is among the first of the larger one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, known = None, np.zeros(0, np.uint64)
+        for key, told, reps, sets in _by_block(batches, width):
+            if key != before:
+                before, known = key, np.zeros(0, np.uint64)
+            if told is not None:
+                order = np.argsort(told)
+                known, rank = told[order], order + 1
+                continue
+            out = []
+            for rep, x in zip(reps, sets, strict=True):
+                place = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    place = np.where(known[at] == x, rank[at], 0)
+                first = x[np.argsort(place, kind="stable")]
+                n = len(x)
+                probe, low = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                out += [(key[0], t, rep, i < low) for i, t in enumerate(first[:probe].view(np.int64).tolist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.bool_()], strict=True)], names=["class", "token", "rep", "low"])
+
+    none = F.lit(None).cast("array<long>")
+    lists = rows.select("class", "chunk").distinct().join(frequent, F.col("class") == F.col("of")).select("class", "chunk", "frequent", F.lit(None).cast("long").alias("rep"), F.lit("").alias("text"))
+    both = lists.unionByName(rows.select("class", "chunk", none.alias("frequent"), "rep", "text")).repartition("class", "chunk").sortWithinPartitions("class", "chunk", F.asc_nulls_first("rep"))
+    return both.mapInArrow(tidy(run), "class long, token long, rep long, low boolean")
+
+
+def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """As _small_classes, for classes of any size: rows class, rep, text, size.
+
+    After two rounds of pivots copies are together. Where many sets stay outside (as pages of one template do), classes are cut finer before
+    more texts move: sets stay together only if one of the rarest shingles of the smaller one is among those of the larger one, which holds
+    for every link. What is left meets in rounds as before.
+    """
+    rows = stored(_chunked(members), "large-classes")
+    state = rows.select("class", F.col("rep").alias("node"), F.col("rep").alias("component"), F.lit(False).alias("met"))
+    state, outside = _met(rows, state, width, percent, 2)
+    outside = stored(outside, "outside")
+    edges = state.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    open_ = outside.select(F.col("class").alias("of")).distinct()
+    if open_.limit(1).count() == 0:
+        return edges
+    rows = rows.join(open_, F.col("class") == F.col("of"), "left_semi")
+    firsts = stored(_prefixes(rows, _frequent(rows, width), width, percent), "first-shingles")
+    marked = firsts.join(outside.select(F.col("class").alias("of"), "node"), (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node")), "left")
+    held = marked.groupBy("class", "token").agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("low"), F.max(F.col("node").isNotNull()).alias("out"), F.min("rep").alias("leader"))
+    held = stored(held.where("n > 1 and low and out").select(F.col("class").alias("of"), F.col("token").alias("t"), "leader"), "shared-shingles")
+    together = firsts.join(held, (F.col("class") == F.col("of")) & (F.col("token") == F.col("t"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
+    finer = stored(components(stored(together, "finer-edges")).select("node", F.col("component").alias("finer")), "finer")
+    sizes = finer.groupBy("finer").agg(F.count(F.lit(1)).alias("n"))
+    moved = finer.join(sizes, "finer").select("finer", F.col("node").alias("k"), "n")
+    rows = rows.join(moved, F.col("rep") == F.col("k")).select(F.col("finer").alias("class"), "rep", "text", F.col("n").alias("size"))
+    rows = stored(_chunked(rows), "finer-classes")
+    again = state.drop("class").join(finer.withColumnRenamed("node", "k"), F.col("node") == F.col("k")).select(F.col("finer").alias("class"), "node", "component", "met")
+    again, _ = _met(rows, stored(again, "state"), width, percent, None)
+    return edges.unionByName(again.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def near_duplicates(
@@ -329,7 +445,9 @@ def near_duplicates(
     sizes = stored(classes.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "class-sizes").withColumnRenamed("component", "class")
     members = classes.select(F.col("node").alias("rep"), F.col("component").alias("of")).join(sizes, F.col("of") == F.col("class")).drop("of")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = stored(members.join(texts, F.col("rep") == F.col("id")).select("class", "rep", "text", "size"), "members")
+    # texts of other sets stay where they are
+    members = F.broadcast(members) if classes.count() <= BROADCAST_SETS else members
+    members = stored(texts.join(members, F.col("rep") == F.col("id")).select("class", "rep", "text", "size"), "members")
     links = _small_classes(members.where(F.col("size") <= class_limit), width, percent)
     large = members.where(F.col("size") > class_limit)
     if large.limit(1).count():
