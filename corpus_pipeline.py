@@ -15,6 +15,8 @@ from tidemark.llm.common import stored
 
 #: The pipeline ends with token ids of this vocabulary (a path of the tokenizer package), each document ending with this id.
 VOCABULARY, END_ID, SEQUENCE = "word_bpe_49k.json", 1, 4096
+#: Chunks whose ids a worker keeps in mind: the workers of all stages live side by side in an executor's memory.
+REMEMBERED = 60_000
 #: A line on more than this share of a source's pages is boilerplate: shared lines stand on about a tenth of every source's pages, and
 #: chance must not decide on which sources they go (on 500 pages half the share is more than five standard deviations below it).
 LINE_RATIO = 0.05
@@ -51,7 +53,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids and their places in sequences."""
     import public_tokenizers
 
-    return packing.packed_documents(docs, public_tokenizers.path(VOCABULARY), END_ID, SEQUENCE)
+    return packing.packed_documents(docs, public_tokenizers.path(VOCABULARY), END_ID, SEQUENCE, REMEMBERED)
 
 
 STAGES = [
