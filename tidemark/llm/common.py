@@ -138,6 +138,10 @@ class Remembered:
             self.newer.popitem()
 
 
+#: Bytes of text whose chunks are numbered at a time.
+SLICE = 4 << 20
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, remembering the ids of chunks between ASCII white space.
 
@@ -235,7 +239,7 @@ class ChunkEncoder:
         if not len(texts):
             return out
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        cuts = [0, *(np.flatnonzero(np.diff(sizes // (8 << 20))) + 1).tolist(), len(texts)]
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), len(texts)]
         for begin, end in zip(cuts, cuts[1:]):
             split = pc.ascii_split_whitespace(pc.fill_null(texts[begin:end], "").cast(pa.large_string()))
             chunks = split.flatten().dictionary_encode()

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import NOT_LETTERS, binary_values, prepare, stored, tidy, word_hashes
+from tidemark.llm.common import NOT_LETTERS, binary_values, prepare, release, stored, tidy, word_hashes
 
 #: Labelled rows that a fit sees at most, and different words (8 bytes each) in all of these. They reach the driver as word hashes.
 SAMPLE, SAMPLE_WORDS = 20_000, 10_000_000
@@ -84,14 +84,24 @@ def labelled(docs: DataFrame, labels: DataFrame, label, sample: int, id_col: str
     if len(over):
         at, doc, _ = sizes[over[0]]
         held = held.where((F.col("at") < at) | ((F.col("at") == at) & (F.col("id") < doc)))
-    got = sorted(tuple(r) for r in held.select("id", "grade", "words").collect())
-    return [np.frombuffer(r[2], np.uint64) for r in got], np.array([r[1] for r in got], np.int64)
+    got = held.select("id", "grade", "words").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("words")], got.column("grade").to_numpy().astype(np.int64)
+
+
+def _counted(texts: list[np.ndarray], run: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """The different words and how many texts have each; a run of texts at a time, so that the driver holds little beside the sample."""
+    words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(texts), run):
+        more, m = np.unique(np.concatenate(texts[at : at + run]), return_counts=True)
+        both, back = np.unique(np.concatenate([words, more]), return_inverse=True)
+        words, n = both, np.bincount(back, np.concatenate([n, m]), len(both)).astype(np.int64)
+    return words, n
 
 
 def _telling(texts: list[np.ndarray], toxic: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Words whose share of texts differs between toxic texts and others, and for each how many times larger it is in toxic ones."""
-    words, n = np.unique(np.concatenate(texts), return_counts=True)
-    inside, k = np.unique(np.concatenate([t for t, x in zip(texts, toxic, strict=True) if x]), return_counts=True)
+    words, n = _counted(texts)
+    inside, k = _counted([t for t, x in zip(texts, toxic, strict=True) if x])
     bad = np.zeros(len(words))
     bad[np.searchsorted(words, inside)] = k
     share, every = toxic.mean(), len(texts)
@@ -130,8 +140,7 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, least: int = 3, rounds: int
     train = np.random.default_rng(seed).permutation(len(texts)) % held_back > 0 if held_back else np.ones(len(texts), bool)
     words = _telling([texts[i] for i in np.flatnonzero(train)], grades[train] > 0, least)[0]
     words = np.append(words, np.uint64(2**64 - 1))  # the last one stands for whatever is not among them
-    place = [np.searchsorted(words, t) for t in texts]
-    place = [p[words[p] == t] for p, t in zip(place, texts, strict=True)]
+    place = [p[words[p] == t].astype(np.int32) for t in texts for p in (np.searchsorted(words, t),)]
     row, column = np.repeat(np.arange(len(texts)), [len(p) for p in place]), np.concatenate(place).astype(np.int64)
     inside = train[row]
     r, c = row[inside], column[inside]
@@ -238,7 +247,10 @@ def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str, sample: int = SAMPLE) -> Model:
     prepare(spark)
     texts, toxic = labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("toxic"), sample, "doc_id", "text")
-    return fit(texts, graded(texts, toxic > 0))
+    try:
+        return fit(texts, graded(texts, toxic > 0))
+    finally:
+        release()
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
