@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.match import small
 
 
 def team_games(games: DataFrame, keys: list[str], home: str = "home_team", away: str = "away_team", home_points: str = "home_points", away_points: str = "away_points") -> DataFrame:
@@ -36,14 +35,14 @@ def side_lookup(games: DataFrame, dim: DataFrame, keys: dict[str, Column], value
         cond = F.col(team) == F.col("__team")
         for k, c in keys.items():
             cond = cond & (c == F.col(f"__{k}"))
-        games = games.join(small(d), cond, "left").drop("__team", *(f"__{k}" for k in keys))
+        games = games.join(d, cond, "left").drop("__team", *(f"__{k}" for k in keys))
     return games
 
 
 def rank_by_week(games: DataFrame, rankings: DataFrame, asof: str, start: str = "start_ts") -> DataFrame:
     """Past games by their week's poll, others by the season's latest; whether both sides are ranked."""
     last = rankings.groupBy("season").agg(F.max("week").alias("__last"))
-    g = games.join(small(last), "season", "left").withColumn("__poll_week", F.when(F.col(start) < F.lit(asof).cast("timestamp"), F.col("week")).otherwise(F.col("__last")))
+    g = games.join(last, "season", "left").withColumn("__poll_week", F.when(F.col(start) < F.lit(asof).cast("timestamp"), F.col("week")).otherwise(F.col("__last")))
     out = side_lookup(g, rankings, {"season": F.col("season"), "week": F.col("__poll_week")}, "rank", "rank").drop("__poll_week", "__last")
     return out.withColumn("ranked_matchup", F.col("home_rank").isNotNull() & F.col("away_rank").isNotNull())
 
@@ -73,9 +72,9 @@ def capacity_cascade(games: DataFrame, venues: DataFrame, exact, loose, venue: s
     steps = [unique_by(venues, exact(F.col(venue)), "capacity"), unique_by(venues, loose(F.col(venue)), "capacity")]
     keys, out = [exact(F.col(venue)), loose(F.col(venue))], games
     for i, (step, key) in enumerate(zip(steps, keys, strict=True)):
-        out = out.join(small(step.select(F.col("__key").alias(f"__k{i}"), F.col("__value").alias(f"__c{i}"))), key == F.col(f"__k{i}"), "left")
+        out = out.join(step.select(F.col("__key").alias(f"__k{i}"), F.col("__value").alias(f"__c{i}")), key == F.col(f"__k{i}"), "left")
     largest = venues.groupBy(F.col(school).alias("__school")).agg(F.max("capacity").alias("__c2"))
-    out = out.join(small(largest), (F.col(home) == F.col("__school")) & ~F.col(neutral), "left")
+    out = out.join(largest, (F.col(home) == F.col("__school")) & ~F.col(neutral), "left")
     return out.withColumn("capacity", F.coalesce("__c0", "__c1", "__c2")).drop("__k0", "__k1", "__c0", "__c1", "__c2", "__school")
 
 
@@ -92,14 +91,14 @@ def fix_conferences(games: DataFrame, usual: DataFrame, overrides: DataFrame | N
     out = games
     for side, conf in ((home, home_conf), (away, away_conf)):
         u = usual.select(F.col("team").alias("__team"), F.col("conf").alias("__conf"))
-        out = out.join(small(u), F.col(side) == F.col("__team"), "left").withColumn(conf, F.coalesce("__conf", F.col(conf))).drop("__team", "__conf")
+        out = out.join(u, F.col(side) == F.col("__team"), "left").withColumn(conf, F.coalesce("__conf", F.col(conf))).drop("__team", "__conf")
     return out.withColumn("conference_game", F.coalesce(F.col(home_conf) == F.col(away_conf), F.lit(False)))
 
 
 def mark_rivalry(games: DataFrame, pairs: DataFrame, home: str = "home_team", away: str = "away_team") -> DataFrame:
     """Whether the two sides, in either order, are a pair of (team, rival)."""
     p = pairs.select(F.least("team", "rival").alias("__x"), F.greatest("team", "rival").alias("__y")).distinct()
-    out = games.join(small(p), (F.least(home, away) == F.col("__x")) & (F.greatest(home, away) == F.col("__y")), "left")
+    out = games.join(p, (F.least(home, away) == F.col("__x")) & (F.greatest(home, away) == F.col("__y")), "left")
     return out.withColumn("rivalry", F.col("__x").isNotNull()).drop("__x", "__y")
 
 

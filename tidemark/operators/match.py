@@ -11,20 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: A dimension of this many rows or fewer may be broadcast; how many it has is counted.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small, else as it is: then the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def canonical(df: DataFrame, name: str, aliases: DataFrame, to: str | None = None) -> DataFrame:
     """Aliases (alias, canonical) looked up by lower-case trimmed name, once; a name without alias is only trimmed."""
     to = to or name
     keyed = aliases.select(F.lower(F.trim("alias")).alias("__alias"), F.col("canonical").alias("__canonical")).groupBy("__alias").agg(F.min("__canonical").alias("__canonical"))
-    return df.join(small(keyed), F.lower(F.trim(F.col(name))) == F.col("__alias"), "left").withColumn(to, F.coalesce("__canonical", F.trim(F.col(name)))).drop("__alias", "__canonical")
+    return df.join(keyed, F.lower(F.trim(F.col(name))) == F.col("__alias"), "left").withColumn(to, F.coalesce("__canonical", F.trim(F.col(name)))).drop("__alias", "__canonical")
 
 
 def both_ways(games: DataFrame, home: str, away: str, swapped: list[tuple[str, str]]) -> DataFrame:
@@ -71,25 +62,55 @@ def fuzzy_score(direct: Column, flipped: Column, minutes: Column, weight: float
 
 
 def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least: float = 0.35, tie: str = "game_id", time: tuple[str, str] = ("start_ts", "start_ts")) -> DataFrame:
-    """The game of the same block with the best score of at least least. Both have block and the token arrays home_tokens and
-    away_tokens. Returns key, tie, score, flipped."""
-    g = games.select(F.col(block).alias("__block"), F.col(tie).alias("__tie"), F.col("home_tokens").alias("__h"), F.col("away_tokens").alias("__a"), F.col(time[1]).alias("__t"))
-    rows = snaps.select(key, block, "home_tokens", "away_tokens", F.col(time[0]).alias("__s")).join(g, F.col(block) == F.col("__block"))
-    direct = (jaccard(F.col("home_tokens"), F.col("__h")) + jaccard(F.col("away_tokens"), F.col("__a"))) / 2
-    flipped = (jaccard(F.col("home_tokens"), F.col("__a")) + jaccard(F.col("away_tokens"), F.col("__h"))) / 2
-    minutes = (F.unix_micros(F.col("__s").cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp"))) / F.lit(6e7)
-    rows = rows.select(key, F.col("__tie").alias(tie), F.round(fuzzy_score(direct, flipped, minutes), 9).alias("score"), (flipped > direct).alias("flipped")).where(F.col("score") >= least)
+    """The game of the same block with the best score of at least least. Both have block and home_tokens and away_tokens, arrays of
+    different words. Returns key, tie, score, flipped.
+
+    Nearness in time alone gives 0.15 at most, so a score of at least 0.2 needs a shared word: candidates are found by an equi-join on block
+    and word, and their similarities follow from how many words they share and have.
+    """
+    if least < 0.2:
+        raise ValueError("candidates need a shared word")
+
+    def words(df: DataFrame, name: str, to: str, time: str) -> DataFrame:
+        of_side = lambda side: F.transform(f"{side}_tokens", lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
+        sides = F.concat(of_side("home"), of_side("away"))
+        rows = df.select(F.col(block).alias(f"{to}_block"), F.col(name).alias(to), F.col(time).alias(f"{to}_ts"), F.size("home_tokens").alias(f"{to}_home"), F.size("away_tokens").alias(f"{to}_away"), F.explode(sides).alias("__w"))
+        return rows.select(*[c for c in rows.columns if c != "__w"], F.col("__w.side").alias(f"{to}_side"), F.col("__w.word").alias(f"{to}_word"))
+
+    rows = words(snaps, key, "__s", time[0]).join(words(games, tie, "__g", time[1]), (F.col("__s_block") == F.col("__g_block")) & (F.col("__s_word") == F.col("__g_word")))
+    sides = [(a, b) for a in ("home", "away") for b in ("home", "away")]
+    shared = [F.count(F.when((F.col("__s_side") == a) & (F.col("__g_side") == b), 1)).alias(f"__{a}_{b}") for a, b in sides]
+    rows = rows.groupBy("__s", "__g", "__s_ts", "__g_ts", "__s_home", "__s_away", "__g_home", "__g_away").agg(*shared)
+    alike = {(a, b): F.col(f"__{a}_{b}") / (F.col(f"__s_{a}") + F.col(f"__g_{b}") - F.col(f"__{a}_{b}")) for a, b in sides}
+    of = lambda x, y: (F.coalesce(alike[x], F.lit(0.0)) + F.coalesce(alike[y], F.lit(0.0))) / 2
+    direct, flipped = of(("home", "home"), ("away", "away")), of(("home", "away"), ("away", "home"))
+    minutes = (F.unix_micros(F.col("__s_ts").cast("timestamp")) - F.unix_micros(F.col("__g_ts").cast("timestamp"))) / F.lit(6e7)
+    rows = rows.select(F.col("__s").alias(key), F.col("__g").alias(tie), F.round(fuzzy_score(direct, flipped, minutes), 9).alias("score"), (flipped > direct).alias("flipped")).where(F.col("score") >= least)
     return rows.groupBy(key).agg(F.min_by(F.struct(tie, "score", "flipped"), F.struct(-F.col("score"), F.col(tie))).alias("m")).select(key, "m.*")
 
 
 def nearest_meeting(probes: DataFrame, games: DataFrame, key: str, sides: tuple[str, str], date: str, tie: str = "game_id", least_date: int = 9999) -> DataFrame:
-    """Of the games of the same two sides, whichever way, the one nearest in days; an unknown date counts as 9999 days off."""
-    pair = F.array_sort(F.array(*sides))
-    g = games.select(pair.alias("__pair"), F.col(date).alias("__date"), F.col(tie).alias("__tie")).withColumnRenamed("__tie", f"matched_{tie}")
-    rows = probes.withColumn("__of", pair).join(g, F.col("__of") == F.col("__pair"))
-    days = F.coalesce(F.abs(F.datediff(date, "__date")), F.lit(least_date))
-    best = rows.groupBy(key).agg(F.min(F.struct(days.alias("days_off"), F.col(f"matched_{tie}"))).alias("m"))
-    return best.select(key, "m.*")
+    """Of the games of the same two sides, whichever way, the one nearest in days; an unknown date counts as 9999 days off.
+
+    Each pair and day is one point, of games and probes alike, so a pair has no more points than there are days; each point looks to the
+    last game before and the first one after it.
+    """
+    pair, match = F.array_sort(F.array(*sides)), f"matched_{tie}"
+    g = games.select(pair.alias("__pair"), F.col(date).cast("date").alias("__date"), F.col(tie)).groupBy("__pair", "__date").agg(F.min(tie).alias("__tie"))
+    rows = probes.select(key, pair.alias("__pair"), F.col(date).cast("date").alias("__date"))
+    points = rows.select("__pair", "__date").distinct().withColumn("__tie", F.lit(None).cast(g.schema["__tie"].dataType)).unionByName(g).where("__date is not null")
+    points = points.groupBy("__pair", "__date").agg(F.min("__tie").alias("__tie"))
+    game = F.when(F.col("__tie").isNotNull(), F.struct(F.col("__date").alias("d"), F.col("__tie").alias("t")))
+    w = Window.partitionBy("__pair").orderBy("__date")
+    points = points.withColumns({"__b": F.last(game, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__a": F.first(game, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    off = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.datediff("__date", f"{c}.d")).alias("days_off"), F.col(f"{c}.t").alias(match)))
+    known = points.select("__pair", "__date", F.least(off("__b"), off("__a")).alias("__near"))
+    # a probe or a game without a date
+    every = g.groupBy("__pair").agg(F.min("__tie").alias("__any"), F.min(F.when(F.col("__date").isNull(), F.col("__tie"))).alias("__undated"))
+    rows = rows.join(known, ["__pair", "__date"], "left").join(every, "__pair")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(least_date).alias("days_off"), F.col(c).alias(match)))
+    best = F.when(F.col("__date").isNull(), far("__any")).otherwise(F.least(F.col("__near"), far("__undated")))
+    return rows.select(key, best.alias("m")).groupBy(key).agg(F.min("m").alias("m")).select(key, "m.*")
 
 
 def backfill_cascade(probes: DataFrame, games: DataFrame, key: str, home: str = "home_team", away: str = "away_team", date: str = "day", tie: str = "game_id", fuzzy: tuple[str, str] | None = None) -> DataFrame:
@@ -112,13 +133,15 @@ def backfill_cascade(probes: DataFrame, games: DataFrame, key: str, home: str =
 def as_of(probes: DataFrame, known: DataFrame, by: list[str], ts: str, value: str, probe_key: str) -> DataFrame:
     """For each probe the last value that is not null at or before its time; known points of the same time count.
 
-    Both sides are ordered in one pass over their union: no range join."""
-    rows = probes.select(*by, ts, F.lit(1).alias("__probe"), F.col(probe_key).alias("__key"), F.lit(None).cast(known.schema[value].dataType).alias("__v")).unionByName(
-        known.where(F.col(value).isNotNull()).groupBy(*by, ts).agg(F.min(value).alias("__v")).select(*by, ts, F.lit(0).alias("__probe"), F.lit(None).cast(probes.schema[probe_key].dataType).alias("__key"), "__v")
-    )
-    w = Window.partitionBy(*by).orderBy(ts, "__probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__probe = 1")
-    return found.select(F.col("__key").alias(probe_key), *by, ts, value)
+    Each group and time is one point, of probes and known values alike, and points are ordered: no range join, and no more rows in a group
+    than there are different times.
+    """
+    given = known.where(F.col(value).isNotNull()).groupBy(*by, ts).agg(F.min(value).alias("__v"))
+    points = probes.select(*by, ts).distinct().withColumn("__v", F.lit(None).cast(given.schema["__v"].dataType)).unionByName(given).groupBy(*by, ts).agg(F.min("__v").alias("__v"))
+    w = Window.partitionBy(*by).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = points.select(*(F.col(c).alias(f"__{c}") for c in [*by, ts]), F.last("__v", ignorenulls=True).over(w).alias(value))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, ts]]
+    return probes.select(probe_key, *by, ts).join(found, same, "left").select(probe_key, *by, ts, value)
 
 
 def token_subset(names: DataFrame, targets: DataFrame, name: str, target: str, tokens) -> DataFrame:

@@ -49,10 +49,9 @@ _GT = "g as (select *, cast(start_ts as date) as day from {games})"
 
 
 def _probes(v: Views):
-    """Observations of games: every event row names two sides and a day, half of them the other way round, some with a home rank."""
-    g = v.games.where(F.pmod(F.hash("game_id"), F.lit(1)) == 0)
+    """Observations of games: each names two sides and a day, half of them the other way round."""
     odd = F.col("week") % 2 == 1
-    return g.select(F.concat(F.lit("s"), "game_id").alias("snap"), F.to_date("start_ts").alias("day"), F.when(odd, F.col("away_team")).otherwise(F.col("home_team")).alias("home"), F.when(odd, F.col("home_team")).otherwise(F.col("away_team")).alias("away"), "week")
+    return v.games.select(F.concat(F.lit("s"), "game_id").alias("snap"), F.to_date("start_ts").alias("day"), F.when(odd, F.col("away_team")).otherwise(F.col("home_team")).alias("home"), F.when(odd, F.col("home_team")).otherwise(F.col("away_team")).alias("away"), "week")
 
 
 _PROBE = "pr as (select 's' || game_id as snap, cast(start_ts as date) as day, case when week % 2 = 1 then away_team else home_team end as home, case when week % 2 = 1 then home_team else away_team end as away, week from {games})"
@@ -96,7 +95,7 @@ gn as (select g.*, h.f as home_name, a.f as away_name, cast(start_ts as date) as
 
 @query("j5_fuzzy_match", f"""
 with {_NAMED}, gt as (select game_id, day, start_ts, {_toks('home_name')} as h, {_toks('away_name')} as a from gn),
-s as (select game_id as snap, day, start_ts + interval 30 minute as ts, {_toks('away_team')} as h, {_toks('home_name')} as a from gn where week % 10 = 0),
+s as (select game_id as snap, day, start_ts + interval 30 minute as ts, {_toks('away_team')} as h, {_toks('home_name')} as a from gn),
 c as (select snap, gt.game_id, ({_jac('s.h', 'gt.h')} + {_jac('s.a', 'gt.a')}) / 2 as d, ({_jac('s.h', 'gt.a')} + {_jac('s.a', 'gt.h')}) / 2 as f, abs(epoch_us(ts) - epoch_us(start_ts)) / 6e7 as mins from s join gt on gt.day = s.day),
 k as (select snap, game_id, round(0.85 * greatest(d, f) + 0.15 * exp(-mins / 60), 9) as score, f > d as flipped from c),
 r as (select *, row_number() over (partition by snap order by score desc, game_id) as n from k where score >= 0.35)
@@ -104,7 +103,7 @@ select snap, game_id, round(score, 6) as score, flipped from r where n = 1""")
 def j5(v: Views):
     named = _named(v)
     games = _tokened(named, "game_id", "day", "start_ts")
-    snaps = named.where("week % 10 = 0").select(F.col("game_id").alias("snap"), "day", (F.col("start_ts") + F.expr("interval 30 minutes")).alias("start_ts"), x.tokens(F.col("away_team")).alias("home_tokens"), x.tokens(F.col("home_name")).alias("away_tokens"))
+    snaps = named.select(F.col("game_id").alias("snap"), "day", (F.col("start_ts") + F.expr("interval 30 minutes")).alias("start_ts"), x.tokens(F.col("away_team")).alias("home_tokens"), x.tokens(F.col("home_name")).alias("away_tokens"))
     return m.fuzzy_match(snaps, games, "snap", "day").withColumn("score", F.round("score", 6))
 
 
@@ -126,10 +125,10 @@ def j6(v: Views):
     return m.nearest_meeting(probes, v.games.withColumn("day", F.to_date("start_ts")), "probe", ("home_team", "away_team"), "day")
 
 
-@query("j4_week_backfill", f"with {_GT}, pr2 as (select 's' || game_id as snap, day, away_team as h, home_team as a from g where week % 2 = 0), c as (select snap, week, row_number() over (partition by snap order by abs(datediff('day', g.day, pr2.day)), game_id) as n from pr2 join g on least(h, a) = least(home_team, away_team) and greatest(h, a) = greatest(home_team, away_team)) select snap, week from c where n = 1")
+@query("j4_week_backfill", f"with {_GT}, pr2 as (select 's' || game_id as snap, day, away_team as h, home_team as a from g), c as (select snap, week, row_number() over (partition by snap order by abs(datediff('day', g.day, pr2.day)), game_id) as n from pr2 join g on least(h, a) = least(home_team, away_team) and greatest(h, a) = greatest(home_team, away_team)) select snap, week from c where n = 1")
 def j4(v: Views):
     games = v.games.withColumn("day", F.to_date("start_ts"))
-    probes = games.where("week % 2 = 0").select(F.concat(F.lit("s"), "game_id").alias("snap"), "day", F.col("away_team").alias("home_team"), F.col("home_team").alias("away_team"))
+    probes = games.select(F.concat(F.lit("s"), "game_id").alias("snap"), "day", F.col("away_team").alias("home_team"), F.col("home_team").alias("away_team"))
     found = m.nearest_meeting(probes, games, "snap", ("home_team", "away_team"), "day")
     return found.join(games.select(F.col("game_id").alias("matched_game_id"), "week"), "matched_game_id").select("snap", "week")
 
@@ -285,14 +284,20 @@ def j24(v: Views):
 # filters
 
 
-@query("p1_postseason", "select page_id, regexp_matches(lower(title), '(^|[^a-z0-9_])(bowl|playoff|first round|quarterfinal|semifinal|final|championship|cfp)([^a-z0-9_]|$)') as post from {page_meta}")
+@query("p1_postseason", "select page_id, regexp_matches(lower(title || case page_id % 3 when 0 then ' Bowl' when 1 then ' bowling' else '' end), '(^|[^a-z0-9_])(bowl|playoff|first round|quarterfinal|semifinal|final|championship|cfp)([^a-z0-9_]|$)') as post from {page_meta}")
 def p1(v: Views):
-    return v.page_meta.select("page_id", p.is_postseason(F.col("title")).alias("post"))
+    title = F.concat("title", F.when(F.col("page_id") % 3 == 0, " Bowl").when(F.col("page_id") % 3 == 1, " bowling").otherwise(""))
+    return v.page_meta.select("page_id", p.is_postseason(title).alias("post"))
 
 
-@query("p2_undecided", "select c_custkey from {customer} where not (trim(c_name) = '' or lower(c_mktsegment) like '%tbd%' or lower(c_mktsegment) like '%tba%')")
+_SIDES = "c as (select c_custkey, case when c_custkey % 7 = 0 then ' ' else c_name end as name, case c_custkey % 5 when 0 then 'Winner TBD' when 1 then 'tba' else c_mktsegment end as other from {customer})"
+
+
+@query("p2_undecided", f"with {_SIDES} select c_custkey from c where not (trim(name) = '' or lower(other) like '%tbd%' or lower(other) like '%tba%')")
 def p2(v: Views):
-    return v.customer.where(~p.undecided(F.col("c_name"), F.col("c_mktsegment"))).select("c_custkey")
+    rest = F.col("c_custkey") % 5
+    name, other = F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")), F.when(rest == 0, "Winner TBD").when(rest == 1, "tba").otherwise(F.col("c_mktsegment"))
+    return v.customer.where(~p.undecided(name, other)).select("c_custkey")
 
 
 @query("p3_season", "select game_id from {games} where season is null or season = 1995 or week > 50")
@@ -325,6 +330,11 @@ def p8(v: Views):
     return p.future_or_all(v.games, "start_ts", "1998-01-01 00:00:00").select("game_id")
 
 
+@query("p8b_future_or_all_of_the_past", "select game_id from {games}")
+def p8b(v: Views):
+    return p.future_or_all(v.games, "start_ts", "2050-01-01 00:00:00").select("game_id")
+
+
 @query("p9_usable", "select snap_id from {snapshots} where lowest_price is not null and epoch_us(start_ts) > epoch_us(snapshot_ts)")
 def p9(v: Views):
     return p.usable(v.snapshots.withColumn("hours", tm.hours_between(F.col("start_ts"), F.col("snapshot_ts"))), "lowest_price", "hours").select("snap_id")

@@ -108,10 +108,15 @@ def f11(v: Views):
     return v.snapshots.select("snap_id", tm.placeholder_time(raw).alias("placeholder"))
 
 
-@query("f12_eastern", "select snap_id, epoch_us(snapshot_ts - interval 5 hour) as us, strftime(snapshot_ts - interval 5 hour, '%Y-%m-%d') as day, strftime(snapshot_ts - interval 5 hour, '%A') as name from {snapshots}")
+#: The year's days on which clocks change at 2 in the morning: the second Sunday of March and the first of November.
+_EAST = "e as (select snap_id, t, t - case when t >= timestamp '2024-03-10 07:00:00' and t < timestamp '2024-11-03 06:00:00' then interval 4 hour else interval 5 hour end as e from (select snap_id, snapshot_ts + to_days(cast(snap_id % 330 as integer)) as t from {snapshots}))"
+
+
+@query("f12_eastern", f"with {_EAST} select snap_id, epoch_us(e) as us, strftime(e, '%Y-%m-%d') as day, strftime(e, '%A') as name from e where t < timestamp '2025-01-01 00:00:00'")
 def f12(v: Views):
-    e = tm.eastern(F.col("snapshot_ts"))
-    return v.snapshots.select("snap_id", micros(e).alias("us"), F.date_format(e, "yyyy-MM-dd").alias("day"), F.date_format(e, "EEEE").alias("name"))
+    rows = v.snapshots.withColumn("t", F.col("snapshot_ts") + F.make_interval(days=(F.col("snap_id") % 330).cast("int"))).where("t < timestamp '2025-01-01 00:00:00'")
+    e = tm.eastern(F.col("t"))
+    return rows.select("snap_id", micros(e).alias("us"), F.date_format(e, "yyyy-MM-dd").alias("day"), F.date_format(e, "EEEE").alias("name"))
 
 
 @query("f13_horizon", "select snap_id, round((epoch_us(start_ts) - epoch_us(snapshot_ts)) / 3.6e9, 6) as hours, cast(datediff('day', cast(snapshot_ts as date), cast(start_ts as date)) as int) as days, cast(hour(start_ts) as int) as kickoff_hour, cast(isodow(start_ts) - 1 as int) as weekday, round(hour(snapshot_ts) + minute(snapshot_ts) / 60.0, 6) as collected_hour from {snapshots}")
@@ -182,10 +187,107 @@ def s7(v: Views):
     return io.harmonize(v.customer, names, {"venue": "string"}).select(*names)
 
 
-@query("s11_page_metrics", "select page_id, cast(replace(nullif(regexp_extract(html, '([0-9][0-9,]*) tickets', 1), ''), ',', '') as double) as tickets, length(html)::int as n from {pages}")
+_SAID = "p as (select page_id, html || case when page_id % 3 = 0 then '<p>There are ' || (page_id % 7) || ',250 tickets still available</p>' else '' end as html from {pages})"
+
+
+@query("s11_page_metrics", f"with {_SAID} select page_id, case when page_id % 3 = 0 then cast((page_id % 7) * 1000 + 250 as double) end as tickets, length(html)::int as n from p")
 def s11(v: Views):
-    html = F.col("html")
-    return v.pages.select("page_id", ex.number_after(html, r"([0-9][0-9,]*) tickets").alias("tickets"), F.length("html").alias("n"))
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<p>There are "), (F.col("page_id") % 7).cast("string"), F.lit(",250 tickets still available</p>"))).otherwise("")
+    pages = v.pages.withColumn("html", F.concat("html", more))
+    return pages.select("page_id", ex.number_after(F.col("html"), ex.AVAILABLE).alias("tickets"), F.length("html").alias("n"))
+
+
+def _ld(v: Views):
+    """A page of each part: one event with one offer, one with a list of offers, a list of two blocks of which one is an event, or text
+    that is no JSON."""
+    event = lambda *more: F.struct(F.lit("SportsEvent").alias("@type"), F.col("p_name").alias("name"), F.lit("2024-09-01").alias("startDate"), F.concat(F.lit("/e/"), F.col("p_partkey").cast("string")).alias("url"), *more)
+    high = (F.col("p_retailprice") + F.col("p_size")).alias("highPrice")
+    one = event(F.struct(F.col("p_retailprice").alias("lowPrice"), high, F.lit("/o").alias("url")).alias("offers"))
+    two = event(F.array(F.struct(F.col("p_retailprice").alias("price"), F.lit(None).cast("double").alias("highPrice")), F.struct((F.col("p_retailprice") / 2).alias("price"), high)).alias("offers"))
+    kind = F.col("p_partkey") % 4
+    other = F.to_json(F.struct(F.lit("Place").alias("@type"), F.lit("hall").alias("name")))
+    text = F.when(kind == 0, F.to_json(one)).when(kind == 1, F.to_json(two)).when(kind == 2, F.concat(F.lit("["), other, F.lit(","), F.to_json(one), F.lit("]"))).otherwise("{broken")
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), text, F.lit("</script><SCRIPT type='application/ld+json'>"), other, F.lit("</SCRIPT></html>"))
+    return v.part.select(F.col("p_partkey").alias("page"), html.alias("html"))
+
+
+_BLOCKS = """
+b as (select p_partkey as page, 0 as no, 'SportsEvent' as kind, p_name as name from {part} where p_partkey % 4 < 2
+      union all select p_partkey, 0, 'Place', 'hall' from {part} where p_partkey % 4 = 2 union all select p_partkey, 1, 'SportsEvent', p_name from {part} where p_partkey % 4 = 2
+      union all select p_partkey, 10000, 'Place', 'hall' from {part})
+"""
+_OFFERS = """
+o as (select p_partkey as page, case when p_partkey % 4 = 2 then 1 else 0 end as no, p_name as title, case when p_partkey % 4 = 1 then p_retailprice / 2 else p_retailprice end as low,
+             p_retailprice + p_size as high, case when p_partkey % 4 = 1 then '/e/' || p_partkey else '/o' end as url from {part} where p_partkey % 4 < 3)
+"""
+
+
+@query("s9_json_blocks", f"with {_BLOCKS} select page, cast(no as int) as block_no, kind, name from b")
+def s9(v: Views):
+    get = lambda path: F.try_variant_get("block", path, "string")
+    return ex.json_blocks(_ld(v)).select("page", F.col("block_no").cast("int").alias("block_no"), get("$['@type']").alias("kind"), get("$.name").alias("name"))
+
+
+@query("s10_offer_rows", f"with {_OFFERS} select page, cast(no as int) as block_no, title, '2024-09-01' as start, round(low, 4) as low_price, round(high, 4) as high_price, url as offer_url from o")
+def s10(v: Views):
+    out = ex.offer_rows(ex.json_blocks(_ld(v)), ["page"])
+    return out.withColumns({"block_no": F.col("block_no").cast("int"), "low_price": F.round("low_price", 4), "high_price": F.round("high_price", 4)})
+
+
+@query("s13_event_summary", f"with {_OFFERS} select page, round(low, 4) as low_price, round(high, 4) as high_price, round(case when page % 3 = 0 then 77 else (low + high) / 2 end, 4) as average_price, case when page % 3 = 0 then 5.0 end as listing_count from o")
+def s13(v: Views):
+    offers = ex.offer_rows(ex.json_blocks(_ld(v)), ["page"])
+    said = F.col("page") % 3 == 0
+    out = ex.event_summary(offers, "page", "block_no", F.when(said, 77.0), F.when(said, 5.0))
+    return out.withColumns({c: F.round(c, 4) for c in ("low_price", "high_price", "average_price")})
+
+
+@query("s2_json_tables", "select p_partkey, p_name, 'array' as kind from {part} union all select p_partkey, p_name, 'lines' from {part}")
+def s2(v: Views):
+    rows = v.part.select("p_partkey", "p_name")
+    lines, arrays = io.scratch(v.spark, "json-lines"), io.scratch(v.spark, "json-arrays")
+    rows.write.json(lines)
+    several = rows.groupBy(F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).alias("value"))
+    several.select("value").write.option("maxRecordsPerFile", 1).text(arrays)
+    read = lambda path, kind: io.read_json_table(v.spark, path, "p_partkey long, p_name string").withColumn("kind", F.lit(kind))
+    return read(arrays, "array").unionByName(read(lines, "lines"))
+
+
+_FILES = "f as (select distinct 'data/' || case when (p_partkey + p_size) % 3 > 0 then '/archive/' else '' end || 'games_' || p_brand || '_' || (1990 + p_partkey % 40) || '.csv' as path, 1990 + p_partkey % 40 as y from {part})"
+
+
+@query("s3_best_file_per_year", f"with {_FILES} select cast(y as int) as season_year, arg_min(path, (contains(path, '/archive/'), path)) as path from f group by y")
+def s3(v: Views):
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("data/"), F.when((key + F.col("p_size")) % 3 > 0, "/archive/").otherwise(""), F.lit("games_"), F.col("p_brand"), F.lit("_"), (1990 + key % 40).cast("string"), F.lit(".csv"))
+    return io.best_file_per_year(v.part.select(path.alias("path")).distinct())
+
+
+@query("s8_flatten_rankings", "select season, week, poll, rank, team as school, cast(case when rank < 3 then rank * 10 else 0 end as int) as first_place_votes from {rankings} where rank <> 7")
+def s8(v: Views):
+    rank = F.struct(F.when(F.col("rank") != 7, F.col("rank")).alias("rank"), F.when(F.col("rank") % 2 == 0, F.col("team")).alias("school"), F.col("team"), F.when(F.col("rank") < 3, F.col("rank") * 10).alias("firstPlaceVotes"))
+    polls = v.rankings.groupBy("season", "week", "poll").agg(F.collect_list(rank).alias("ranks"))
+    weeks = polls.groupBy("season", "week").agg(F.collect_list(F.struct("poll", "ranks")).alias("polls"))
+    return ex.flatten_rankings(weeks.groupBy("season").agg(F.collect_list(F.struct("season", "week", "polls")).alias("weeks")).select("weeks"))
+
+
+@query("s17_clean_stadiums", "select p_brand as school, trim(p_name) as stadium, cast(case when p_partkey % 9 > 0 then p_size * 1000 end as int) as capacity, p_type as city, cast(null as varchar) as state from {part}")
+def s17(v: Views):
+    raw = v.part.select(
+        F.concat("p_brand", F.lit("[a]")).alias("Home team"), F.concat(F.lit(" "), "p_name", F.lit("[12] ")).alias("Stadium name"),
+        F.when(F.col("p_partkey") % 9 > 0, F.concat(F.col("p_size").cast("string"), F.lit(",000[3]"))).otherwise("unknown").alias("Capacity (max)"), F.col("p_type").alias("City"),
+    )
+    return ex.clean_stadiums(raw)
+
+
+@query("s18_clean_rankings", "select cast(s_suppkey as int) as rank, s_name as school, cast(case when s_suppkey % 2 = 0 then s_suppkey % 50 else 0 end as int) as first_place_votes from {supplier} where s_suppkey % 5 > 0 and s_suppkey > 0 order by s_suppkey, s_name limit 25")
+def s18(v: Views):
+    key = F.col("s_suppkey")
+    raw = v.supplier.where(key > 0).select(
+        F.when(key % 5 > 0, F.concat(key.cast("string"), F.lit("."))).otherwise("NR").alias("rank"),
+        F.concat("s_name", F.when(key % 2 == 0, F.concat(F.lit(" ("), (key % 50).cast("string"), F.lit(")"))).otherwise("[b]")).alias("team"),
+    )
+    return ex.clean_rankings(raw)
 
 
 @query("s12_first_offer_metrics", "select snap_id, case when row_number() over (partition by event_key order by snapshot_ts, snap_id) = 1 then 7 end as listing_count from {snapshots}")
@@ -206,10 +308,10 @@ def s15(v: Views):
     return out.select("offer_id", "lowest_price", micros(F.col("collected_at")).alias("collected_us"))
 
 
-@query("s16_kickoff_rows", "select g.game_id, p.p_retailprice as lowest_price, true as is_kickoff_snapshot from {games} g left join (select p_name, min(p_retailprice) as p_retailprice from {part} group by p_name) p on p.p_name = g.venue where g.season = 1995")
+@query("s16_kickoff_rows", "select g.game_id, p.p_retailprice as lowest_price, true as is_kickoff_snapshot from {games} g left join (select p_name, min(p_retailprice) as p_retailprice from {part} group by p_name) p on p.p_name = g.venue")
 def s16(v: Views):
     prices = v.part.groupBy(F.col("p_name").alias("venue")).agg(F.min("p_retailprice").alias("lowest_price"))
-    return ex.kickoff_rows(v.games.where("season = 1995"), prices, "venue").select("game_id", "lowest_price", "is_kickoff_snapshot")
+    return ex.kickoff_rows(v.games, prices, "venue").select("game_id", "lowest_price", "is_kickoff_snapshot")
 
 
 @query("s19_write_atomic")
