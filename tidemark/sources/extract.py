@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import url_title
@@ -85,9 +87,9 @@ def flatten_rankings(df: DataFrame) -> DataFrame:
 
 
 def clean_stadiums(df: DataFrame) -> DataFrame:
-    """Columns found by part of their name, footnotes off, the first whole number as capacity."""
+    """Columns found by a word of their name, footnotes off, the first whole number as capacity."""
     def like(part: str) -> Column:
-        found = next((c for c in df.columns if part in c.lower()), None)
+        found = next((c for c in df.columns if part in re.split("[^a-z]+", c.lower())), None)
         return F.trim(F.regexp_replace(F.col(f"`{found}`").cast("string"), r"\[.*?\]", "")) if found else F.lit(None).cast("string")
 
     capacity = F.regexp_extract(F.replace(like("capacity"), F.lit(","), F.lit("")), r"(\d+)", 1).try_cast("int")
