@@ -29,15 +29,22 @@ def prepare(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of that many rows while the block runs."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session while the block runs."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of that many rows while the block runs."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -66,7 +73,9 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = Non
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1))
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    # nothing executes df again, so what it shuffled can go
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,6 +31,8 @@ BUCKET = 2_000_000
 #: Bytes of text in a block, but for a longer single text; words of history and the word itself.
 BLOCK_BYTES = 4 << 20
 ORDER = 3
+#: N-grams are counted in so many passes, each over a part of the buckets, so that disk holds the n-grams of one part at a time.
+PASSES = 2
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -119,8 +121,8 @@ def _docs(data: bytes) -> tuple[pa.Array, list[bytes]]:
     return table.column(0).combine_chunks(), binary_values(table.column(1))
 
 
-def asked(rows: DataFrame, order: int, buckets: int) -> DataFrame:
-    """For each block and bucket: the different n-grams (n of them), how often each occurs there, and the words among them."""
+def asked(rows: DataFrame, order: int, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """For each block and each parts-th bucket: the different n-grams (n of them), how often each occurs there, and the words among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +134,7 @@ def asked(rows: DataFrame, order: int, buckets: int) -> DataFrame:
                 out = [
                     (k, block, int(y - x), _pack(np.diff(keys[x:y], prepend=np.uint64(0))), _pack(counts[x:y].astype(np.uint32)), int(counts[x:y][single[x:y]].sum()))
                     for k, (x, y) in enumerate(zip(limits, limits[1:]))
-                    if y > x
+                    if y > x and k % parts == part
                 ]
                 if out:
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
@@ -171,7 +173,10 @@ def lm_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_co
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(rows) * order / 6 / bucket))
     # docs are compressed already
     held = stored(blocks(rows), "blocks", codec="uncompressed")
-    answers = stored(told(asked(held, order, buckets).repartition(buckets, "bucket")), "ngram-counts", codec="uncompressed")
+    answers = None
+    for part in range(PASSES):
+        found = stored(told(asked(held, order, buckets, part, PASSES).repartition(max(1, buckets // PASSES), "bucket")), "ngram-counts", codec="uncompressed")
+        answers = found if answers is None else answers.unionByName(found)
     n_all = int(answers.agg(F.sum("words")).first()[0] or 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
