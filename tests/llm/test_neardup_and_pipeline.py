@@ -62,7 +62,7 @@ def pages(n, body=250, own=45, copies=0):
 
 
 def test_classes_are_cut_finer_without_losing_links(spark, monkeypatch):
-    for name, value in {"PIVOTS": 2, "CHUNK": 16, "PART": 4}.items():
+    for name, value in {"PIVOTS": 2, "CHUNK": 16, "PART": 4, "FINER": 3}.items():
         monkeypatch.setattr(neardup, name, value)
     texts = corpus(7) + pages(60, 60, 12, copies=2) + pages(30, 20, 1)
     want = brute(list(enumerate(texts)), 2)
@@ -78,6 +78,7 @@ def test_template_pages_do_not_meet_each_other(spark, monkeypatch):
         return whole(rows, *more)
 
     monkeypatch.setattr(neardup, "_against_pivots", counted)
+    monkeypatch.setattr(neardup, "FINER", 100)
     totals = []
     for n in (400, 800):
         sent.clear()

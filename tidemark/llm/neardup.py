@@ -37,6 +37,8 @@ DEPTH = 8
 PIVOTS, CHUNK, PART = 32, 1024, 256
 #: A shingle in this share of a block's sets comes behind others in the order that cuts classes finer.
 SHARED = 0.1
+#: Up to so many sets outside its largest component a class needs few more rounds; with more it is cut finer first.
+FINER = 1024
 #: Up to so many sets in classes (8 bytes each) are sent to all tasks that read texts.
 BROADCAST_SETS = 1_000_000
 
@@ -285,10 +287,10 @@ def _chunked(members: DataFrame) -> DataFrame:
     return members.withColumn("chunks", F.ceil(F.col("size") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
 
 
-def _met(rows: DataFrame, state: DataFrame, width: int, percent: int, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+def _met(rows: DataFrame, state: DataFrame, width: int, percent: int, rounds: int | None, salts: int) -> tuple[DataFrame, DataFrame]:
     """Rounds in which sets meet pivots: state (class, node, component, met) after so many rounds, or after all that are needed, and the
     sets (class, node) that are outside the largest component of their class and have not met all others."""
-    links, salts, n = None, PIVOTS, state.count()
+    links, n = None, state.count()
     while True:
         counts = state.groupBy("class", "component").agg(F.count(F.lit(1)).alias("n"))
         main = stored(counts.groupBy("class").agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("class").alias("of"), F.col("m.component").alias("main")), "main", rows=n)
@@ -395,18 +397,25 @@ def _prefixes(rows: DataFrame, frequent: DataFrame, width: int, percent: int) ->
 def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     """As _small_classes, for classes of any size: rows class, rep, text, size.
 
-    After two rounds of pivots copies are together. Where many sets stay outside (as pages of one template do), classes are cut finer before
+    After two rounds of pivots copies are together. Where more than FINER sets of a class stay outside (as pages of one template do), classes are cut finer before
     more texts move: sets stay together only if one of the rarest shingles of the smaller one is among those of the larger one, which holds
     for every link. What is left meets in rounds as before.
     """
     rows = stored(_chunked(members), "large-classes")
     state = rows.select("class", F.col("rep").alias("node"), F.col("rep").alias("component"), F.lit(False).alias("met"))
-    state, outside = _met(rows, state, width, percent, 2)
+    state, outside = _met(rows, state, width, percent, 2, PIVOTS)
     outside = stored(outside, "outside")
-    edges = state.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    open_ = outside.select(F.col("class").alias("of")).distinct()
-    if open_.limit(1).count() == 0:
+    open_ = stored(outside.groupBy(F.col("class").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FINER).select("of"), "many-outside")
+    finer_ones = open_.limit(1).count() > 0
+    # where few are outside, rounds go on
+    few = (rows.join(open_, F.col("class") == F.col("of"), "left_anti"), state.join(open_, F.col("class") == F.col("of"), "left_anti")) if finer_ones else (rows, state)
+    done, _ = _met(*few, width, percent, None, 64 * PIVOTS)
+    edges = done.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not finer_ones:
         return edges
+    state = state.join(open_, F.col("class") == F.col("of"), "left_semi")
+    outside = outside.join(open_, F.col("class") == F.col("of"), "left_semi")
+    edges = edges.unionByName(state.select(F.col("node").alias("a"), F.col("component").alias("b")))
     rows = rows.join(open_, F.col("class") == F.col("of"), "left_semi")
     firsts = stored(_prefixes(rows, _frequent(rows, width), width, percent), "first-shingles")
     marked = firsts.join(outside.select(F.col("class").alias("of"), "node"), (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node")), "left")
@@ -419,7 +428,7 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     rows = rows.join(moved, F.col("rep") == F.col("k")).select(F.col("finer").alias("class"), "rep", "text", F.col("n").alias("size"))
     rows = stored(_chunked(rows), "finer-classes")
     again = state.drop("class").join(finer.withColumnRenamed("node", "k"), F.col("node") == F.col("k")).select(F.col("finer").alias("class"), "node", "component", "met")
-    again, _ = _met(rows, stored(again, "state"), width, percent, None)
+    again, _ = _met(rows, stored(again, "state"), width, percent, None, PIVOTS)
     return edges.unionByName(again.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
