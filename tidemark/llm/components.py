@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import stored
 
+#: Edges (16 bytes each) that one task contracts at once; more go in rounds over all tasks.
+ONE_TASK = 50_000
+
 
 def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0 to n - 1 the smallest node that edges a-b lead to."""
@@ -40,11 +43,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[label[out]])], names=["u", "v"])
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task as stars around their components' smallest nodes."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        yield from _forest(iter(pa.Table.from_batches(rows).combine_chunks().to_batches()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for each node of edges, whose two first columns are nodes (long, not null).
 
     An edge from a node to itself gives that node a component. Rounds alternate: every node hangs its larger neighbours, then its smaller
-    ones and itself, below the smallest; the number of rounds grows with the logarithm of the longest path. No edges, no rows.
+    ones and itself, below the smallest; the number of rounds grows with the logarithm of the longest path. Edges that are ONE_TASK at
+    most (16 bytes each), at first or after some rounds, are one task's work. No edges, no rows.
     """
     a, b = edges.columns[:2]
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
@@ -55,6 +66,9 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break
+        if state[0] <= ONE_TASK:
+            e = stored(e.coalesce(1).mapInArrow(_contracted, "u long, v long"), "edges")
+            break
         before, n = state, 2 * state[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the smallest neighbours are written first, so that the join meets two plain shuffles and splits a hot node's edges

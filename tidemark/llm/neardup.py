@@ -297,8 +297,10 @@ def _met(rows: DataFrame, state: DataFrame, width: int, percent: int, rounds: in
         outside = state.join(main, F.col("class") == F.col("of")).where((F.col("component") != F.col("main")) & ~F.col("met"))
         if rounds == 0:
             return state, outside.select("class", "node")
-        # one for each of a number of salts, eight times as many each time: the choice is summed before it is shuffled
-        chosen = outside.groupBy("class", F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)).alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
+        # one for each of a number of salts, eight times as many each time: the choice is summed before it is shuffled; all where they are no more
+        left = outside.groupBy(F.col("class").alias("in")).agg(F.count(F.lit(1)).alias("left"))
+        salt = F.when(F.col("left") <= salts, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)))
+        chosen = outside.select("class", "node").join(left, F.col("class") == F.col("in")).groupBy("class", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
         chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node")), "pivots", rows=n)
         if chosen.limit(1).count() == 0:
             return state, chosen.withColumnRenamed("of", "class")
