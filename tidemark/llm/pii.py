@@ -117,11 +117,12 @@ def _ends(sizes: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:int,end:int,score:int>>"
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, whole: bool = True) -> Column:
     """All spans of a text that is not null: kind, start and end in code points (end exclusive) and score, by kind and start.
 
-    Words nearby are those within the NEAR code points on either side of a span, whatever matches lie between."""
-    return F.concat(*(_of_kind(text, kind) for kind in KINDS))
+    Words nearby are those within the NEAR code points on either side of a span, whatever matches lie between: whole words, or also longer
+    ones that begin with such a word."""
+    return F.concat(*(_of_kind(text, kind, whole) for kind in KINDS))
 
 
 #: From so many spans of a text on, pieces are cut from an array of its code points: counting them from the text's beginning takes time
@@ -138,9 +139,10 @@ def _points(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > MANY, F.split(text, ""))
 
 
-def _beside(text: Column, points: Column, size: Column, start: Column, end: Column) -> Column:
-    """The NEAR code points before start and those from end on; a line end stands for the span and for an end of the text."""
-    before = F.concat(F.when(start <= NEAR, "\n").otherwise(""), _cut(text, points, F.greatest(start - NEAR, F.lit(0)), F.least(start, F.lit(NEAR))))
+def _beside(text: Column, points: Column, size: Column, start: Column, end: Column, more: int) -> Column:
+    """The NEAR code points before start, with as many more ahead of them, and those from end on; a line end stands for the span and for an
+    end of the text."""
+    before = F.concat(F.when(start <= NEAR, "\n").otherwise(""), _cut(text, points, F.greatest(start - NEAR - more, F.lit(0)), F.least(start, F.lit(NEAR + more))))
     return F.concat(before, F.lit("\n"), _cut(text, points, end, F.lit(NEAR)), F.when(end + NEAR >= size, "\n").otherwise(""))
 
 
@@ -148,8 +150,10 @@ def _near(kind: str) -> str:
     return f"[^a-z0-9]({WORDS[kind]})s?[^a-z0-9]"
 
 
-def _of_kind(text: Column, kind: str) -> Column:
+def _of_kind(text: Column, kind: str, whole: bool) -> Column:
     pattern = FAST.get(kind) or MORE[kind]
+    # one code point more tells whether a word begins at the first of those that are near
+    words, more = (_near(kind), 0) if whole else (f"[^a-z0-9]({WORDS[kind]})", 1)
     least = 1 if kind in BASE else LEAST
 
     def placed(matches: Column) -> Column:
@@ -157,7 +161,7 @@ def _of_kind(text: Column, kind: str) -> Column:
             def with_ends(ends: Column, points: Column, size: Column) -> Column:
                 def one(m: Column, i: Column) -> Column:
                     end = F.get(ends, i)
-                    near = F.lower(_beside(text, points, size, end - F.length(m), end)).rlike(_near(kind))
+                    near = F.lower(_beside(text, points, size, end - F.length(m), end, more)).rlike(words)
                     score = F.lit(SCORE[kind]) + F.when(near, BONUS[kind]).otherwise(0)
                     return F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.when(_valid(kind, m), score).otherwise(0).alias("score"))
 
@@ -171,16 +175,17 @@ def _of_kind(text: Column, kind: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
-def find_pii(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+def find_pii(df: DataFrame, text: str = "text", to: str = "spans", whole: bool = True) -> DataFrame:
     """df with an array of the spans of its text. A null text counts as empty: no spans. A column of that name is replaced; other columns
-    stay, nulls in them too; each repeated row has its spans; an empty table stays empty."""
-    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(to, spans(F.col("__text"))).drop("__text")
+    stay, nulls in them too; each repeated row has its spans; an empty table stays empty. whole: words nearby count as whole words only."""
+    return df.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(to, spans(F.col("__text"), whole)).drop("__text")
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with each span of its text replaced by its kind in square brackets. Of spans that overlap, the one that starts first counts, of
-    these the longest, and reaches to the last end of those that overlap it. A null or empty text stays."""
-    found = find_pii(df, text, "__spans")
+    these the longest, and reaches to the last end of those that overlap it. A null or empty text stays. Longer words that begin with a
+    context word count too, as a number that is missed would stay readable."""
+    found = find_pii(df, text, "__spans", whole=False)
 
     def masked(spans: Column, reach: Column, points: Column) -> Column:
         # reach: how far the spans up to each one go; a span that starts there or later is not covered by those before it
