@@ -1,6 +1,6 @@
 """Queries of the pipeline operators and the SQL that checks those that SQL can express."""
 
-from tidemark.llm import alignment, boilerplate, bpe, exactdedup, hardneg, neardup, ngramlm, packing, pii, records, telephony, toxicity
+from tidemark.llm import alignment, boilerplate, bpe, exactdedup, hardneg, neardup, ngramlm, packing, pii, records, repeats, telephony, toxicity
 
 QUERIES = {
     "op1_token_records": records.records_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_backoff_lm": ngramlm.lm_query,
     "op9_ordinal_toxicity": toxicity.toxicity_query,
     "op10_stream_exact_dedup": exactdedup.dedup_query,
+    "op11_suffix_index_repeats": repeats.repeats_query,
     "op12_lockstep_alignment": alignment.alignment_query,
     "op13_residue_hard_negatives": hardneg.hard_negatives_query,
 }
