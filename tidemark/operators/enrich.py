@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.match import unique_containment
 
 
 def team_games(games: DataFrame, keys: list[str], home: str = "home_team", away: str = "away_team", home_points: str = "home_points", away_points: str = "away_points") -> DataFrame:
@@ -66,16 +67,34 @@ def unique_by(dim: DataFrame, key: Column, value: str) -> DataFrame:
     return dim.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias("__value")).where("__n = 1 and __key <> ''").drop("__n")
 
 
-def capacity_cascade(games: DataFrame, venues: DataFrame, exact, loose, venue: str = "venue", school: str = "school", home: str = "home_team", neutral: str = "neutral_site") -> DataFrame:
-    """A venue's capacity by its key if that is unique, else by its loose key, else, where the site is not neutral, the home
-    side's largest. exact and loose make keys of a column."""
-    steps = [unique_by(venues, exact(F.col(venue)), "capacity"), unique_by(venues, loose(F.col(venue)), "capacity")]
-    keys, out = [exact(F.col(venue)), loose(F.col(venue))], games
-    for i, (step, key) in enumerate(zip(steps, keys, strict=True)):
-        out = out.join(step.select(F.col("__key").alias(f"__k{i}"), F.col("__value").alias(f"__c{i}")), key == F.col(f"__k{i}"), "left")
-    largest = venues.groupBy(F.col(school).alias("__school")).agg(F.max("capacity").alias("__c2"))
-    out = out.join(largest, (F.col(home) == F.col("__school")) & ~F.col(neutral), "left")
-    return out.withColumn("capacity", F.coalesce("__c0", "__c1", "__c2")).drop("__k0", "__k1", "__c0", "__c1", "__c2", "__school")
+def capacity_cascade(
+    games: DataFrame, venues: DataFrame, exact, loose, alternates: DataFrame | None = None, venue: str = "venue", school: str = "school", home: str = "home_team", away: str = "away_team",
+    neutral: str = "neutral_site",
+) -> DataFrame:
+    """A venue's capacity by its key if that is unique, else by its loose key, else of the one venue whose words contain or are
+    contained in the loose key's, else from the table of alternates by key and loose key, else, where the site is not neutral, the home
+    side's largest, else the away side's. exact and loose make keys of a column; ``capacity_from`` tells which step it was, from 1 to 7.
+    """
+    words = lambda key: F.array_remove(F.split(key, " "), "")
+    names = games.select(F.col(venue).alias("__venue")).distinct().withColumns({"__exact": exact(F.col("__venue")), "__loose": loose(F.col("__venue"))}).withColumn("__words", F.array_sort(F.array_distinct(words(F.col("__loose")))))
+    tables = [venues, *([alternates] if alternates is not None else [])]
+    found = {}
+    for t, table in enumerate(tables):
+        for make, key in ((exact, "__exact"), (loose, "__loose")):
+            step = len(found) + 1 + (t > 0 and len(found) == 2)
+            known = unique_by(table, make(F.col(venue)), "capacity").select(F.col("__key").alias(key), F.col("__value").alias(f"__c{step}"))
+            names, found[step] = names.join(known, key, "left"), f"__c{step}"
+        if t == 0:
+            subset = unique_containment(names.select("__words"), table.select(words(exact(F.col(venue))).alias("__words"), "capacity"), "__words", "capacity")
+            names, found[3] = names.join(subset.withColumnRenamed("capacity", "__c3"), "__words", "left"), "__c3"
+    largest = venues.where(F.col(school).isNotNull()).groupBy(F.col(school).alias("__school")).agg(F.max("capacity").alias("__most"))
+    out = games.join(names.select("__venue", *found.values()), F.col(venue).eqNullSafe(F.col("__venue")), "left").drop("__venue")
+    for step, side in ((6, home), (7, away)):
+        out = out.join(largest.select(F.col("__school").alias(f"__s{step}"), F.col("__most").alias(f"__c{step}")), (F.col(side) == F.col(f"__s{step}")) & ~F.col(neutral), "left").drop(f"__s{step}")
+        found[step] = f"__c{step}"
+    steps = [found[k] for k in sorted(found)]
+    which = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(int(c[3:]))) for c in steps))
+    return out.withColumns({"capacity": F.coalesce(*steps), "capacity_from": which}).drop(*steps)
 
 
 def usual_conference(games: DataFrame, home: str = "home_team", away: str = "away_team", home_conf: str = "home_conf", away_conf: str = "away_conf") -> DataFrame:

@@ -6,11 +6,11 @@ aggregate over its candidates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.sources.tables import stored
+
+
 def canonical(df: DataFrame, name: str, aliases: DataFrame, to: str | None = None) -> DataFrame:
     """Aliases (alias, canonical) looked up by lower-case trimmed name, once; a name without alias is only trimmed."""
     to = to or name
@@ -61,32 +61,87 @@ def fuzzy_score(direct: Column, flipped: Column, minutes: Column, weight: float
     return F.lit(weight) * F.greatest(direct, flipped) + F.lit(1 - weight) * F.coalesce(F.exp(-F.abs(minutes) / 60), F.lit(0.0))
 
 
+#: What nearness in time adds to a score at most, in units of the names' similarity.
+TIME_SHARE = 0.15 / 0.85
+
+
+def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of different word sets with a Jaccard similarity of at least ``least``: a, b, alike. Both inputs have one array column ``words``.
+
+    Prefix filtering: with all words in one order, rare ones first, sets that similar share a word among their first
+    size - ceil(least * size) + 1, so candidates come from an equi-join on those words alone."""
+    a, b = (df.select(F.array_sort(F.array_distinct("words")).alias("words")).where(F.size("words") > 0).distinct() for df in (a, b))
+    count = a.unionByName(b).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(df: DataFrame, to: str) -> DataFrame:
+        ranked = df.select("words", F.explode("words").alias("w")).join(count, "w").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("order"))
+        first = F.size("words") - F.ceil(F.lit(least) * F.size("words") - 1e-9) + 1
+        return ranked.select(F.col("words").alias(to), F.explode(F.slice("order", 1, first.cast("int"))).alias("o")).select(to, F.col("o.w").alias("w"))
+
+    pairs = prefixes(a, "a").join(prefixes(b, "b"), "w").select("a", "b").distinct()
+    return pairs.withColumn("alike", jaccard(F.col("a"), F.col("b"))).where(F.col("alike") >= least - 1e-12)
+
+
+def similar_matchups(snaps: DataFrame, games: DataFrame, least: float) -> DataFrame:
+    """Different pairs of sides whose mean similarity, the better of both ways, is at least ``least``: s_home, s_away, g_home, g_away,
+    alike, flipped. Both inputs have home_tokens and away_tokens. A mean that high needs one side that similar."""
+    s = stored(snaps.select(F.col("home_tokens").alias("s_home"), F.col("away_tokens").alias("s_away")).distinct(), "matchups")
+    g = stored(games.select(F.col("home_tokens").alias("g_home"), F.col("away_tokens").alias("g_away")).distinct(), "matchups")
+    sides = lambda df: df.select(F.explode(F.array(*df.columns)).alias("words"))
+    alike = stored(similar_sets(sides(s), sides(g), least), "similar-sides")
+    some = None
+    for a in ("s_home", "s_away"):
+        for b in ("g_home", "g_away"):
+            found = s.join(alike.select(F.col("a").alias(a), "b"), a).join(g.withColumnRenamed(b, "b"), "b").withColumnRenamed("b", b).select("s_home", "s_away", "g_home", "g_away")
+            some = found if some is None else some.unionByName(found)
+    of = lambda x, y: (jaccard(F.col("s_home"), F.col(x)) + jaccard(F.col("s_away"), F.col(y))) / 2
+    both = some.distinct().withColumns({"__d": of("g_home", "g_away"), "__f": of("g_away", "g_home")})
+    return both.select("s_home", "s_away", "g_home", "g_away", F.greatest("__d", "__f").alias("alike"), (F.col("__f") > F.col("__d")).alias("flipped")).where(F.col("alike") >= least - 1e-12)
+
+
 def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least: float = 0.35, tie: str = "game_id", time: tuple[str, str] = ("start_ts", "start_ts")) -> DataFrame:
     """The game of the same block with the best score of at least least. Both have block and home_tokens and away_tokens, arrays of
-    different words. Returns key, tie, score, flipped.
+    different words. Returns key, tie, score, flipped. Of rows with one key and different sides or times the best counts.
 
-    Nearness in time alone gives 0.15 at most, so a score of at least 0.2 needs a shared word: candidates are found by an equi-join on block
-    and word, and their similarities follow from how many words they share and have.
+    Nearness in time adds 0.15 at most, so the names must be similar: that is found once for different names and pairs of sides (a
+    similarity join), whatever the number of rows. Per block and pair of sides, only pairs within what time can add of the best one stay;
+    and of a block's games with one pair of sides, only the last before and the first after an observation's time are scored.
     """
     if least < 0.2:
         raise ValueError("candidates need a shared word")
-
-    def words(df: DataFrame, name: str, to: str, time: str) -> DataFrame:
-        of_side = lambda side: F.transform(f"{side}_tokens", lambda w: F.struct(F.lit(side).alias("side"), w.alias("word")))
-        sides = F.concat(of_side("home"), of_side("away"))
-        rows = df.select(F.col(block).alias(f"{to}_block"), F.col(name).alias(to), F.col(time).alias(f"{to}_ts"), F.size("home_tokens").alias(f"{to}_home"), F.size("away_tokens").alias(f"{to}_away"), F.explode(sides).alias("__w"))
-        return rows.select(*[c for c in rows.columns if c != "__w"], F.col("__w.side").alias(f"{to}_side"), F.col("__w.word").alias(f"{to}_word"))
-
-    rows = words(snaps, key, "__s", time[0]).join(words(games, tie, "__g", time[1]), (F.col("__s_block") == F.col("__g_block")) & (F.col("__s_word") == F.col("__g_word")))
-    sides = [(a, b) for a in ("home", "away") for b in ("home", "away")]
-    shared = [F.count(F.when((F.col("__s_side") == a) & (F.col("__g_side") == b), 1)).alias(f"__{a}_{b}") for a, b in sides]
-    rows = rows.groupBy("__s", "__g", "__s_ts", "__g_ts", "__s_home", "__s_away", "__g_home", "__g_away").agg(*shared)
-    alike = {(a, b): F.col(f"__{a}_{b}") / (F.col(f"__s_{a}") + F.col(f"__g_{b}") - F.col(f"__{a}_{b}")) for a, b in sides}
-    of = lambda x, y: (F.coalesce(alike[x], F.lit(0.0)) + F.coalesce(alike[y], F.lit(0.0))) / 2
-    direct, flipped = of(("home", "home"), ("away", "away")), of(("home", "away"), ("away", "home"))
-    minutes = (F.unix_micros(F.col("__s_ts").cast("timestamp")) - F.unix_micros(F.col("__g_ts").cast("timestamp"))) / F.lit(6e7)
-    rows = rows.select(F.col("__s").alias(key), F.col("__g").alias(tie), F.round(fuzzy_score(direct, flipped, minutes), 9).alias("score"), (flipped > direct).alias("flipped")).where(F.col("score") >= least)
-    return rows.groupBy(key).agg(F.min_by(F.struct(tie, "score", "flipped"), F.struct(-F.col("score"), F.col(tie))).alias("m")).select(key, "m.*")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sides = [F.array_sort(c).alias(c) for c in ("home_tokens", "away_tokens")]
+    # both are read several times; sides go by number
+    s = snaps.where(F.col(block).isNotNull()).select(key, F.col(block).alias("__b"), *sides, micros(time[0]).alias("__ts")).withColumn("__s", F.xxhash64("home_tokens", "away_tokens"))
+    g = games.select(F.col(tie).alias("__t"), F.col(block).alias("__b"), *sides, micros(time[1]).alias("__ts")).withColumn("__g", F.xxhash64("home_tokens", "away_tokens"))
+    s, g = stored(s, "observations"), stored(g, "games")
+    alike = similar_matchups(s, g, (least - 0.15) / 0.85 - 1e-9)
+    alike = stored(alike.select(F.xxhash64("s_home", "s_away").alias("__s"), F.xxhash64("g_home", "g_away").alias("__g"), "alike", "flipped"), "alike")
+    pairs = stored(s.select("__b", "__s").distinct().join(g.select("__b", "__g").distinct(), "__b").join(alike, ["__s", "__g"]), "pairs")
+    best = pairs.groupBy("__b", "__s").agg(F.max("alike").alias("__best"))
+    pairs = pairs.join(best, ["__b", "__s"]).where(F.col("alike") >= F.col("__best") - TIME_SHARE - 1e-9).drop("__best")
+    # one point for each time of a block and pair of sides, of games and observations alike
+    asked = stored(s.join(pairs, ["__b", "__s"]).select(key, "__b", "__g", "__ts", "alike", "flipped"), "asked")
+    at = g.groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
+    points = asked.select("__b", "__g", "__ts").distinct().withColumn("__t", F.lit(None).cast(at.schema["__t"].dataType)).unionByName(at).groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
+    w = Window.partitionBy("__b", "__g")
+    game = F.when(F.col("__t").isNotNull() & F.col("__ts").isNotNull(), F.struct("__t", "__ts"))
+    ordered = w.orderBy(F.asc_nulls_first("__ts"))
+    near = points.select(
+        "__b", "__g", "__ts",
+        F.last(game, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("__before"),
+        F.first(game, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)).alias("__after"),
+        # a game without a time, or any game where the observation has none: nothing for time
+        F.min(F.when(F.col("__ts").isNull(), F.col("__t"))).over(w).alias("__undated"), F.min("__t").over(w).alias("__any"),
+    )
+    bonus = lambda c: F.coalesce(F.exp(-F.abs(F.col("__ts") - F.col(f"{c}.__ts")) / F.lit(6e7) / 60), F.lit(0.0))
+    scored = lambda c, t, more: F.when(t.isNotNull(), F.struct((-F.round(0.85 * F.col("alike") + 0.15 * more, 9)).alias("score"), t.alias(tie), "flipped"))
+    far = F.when(F.col("__ts").isNull(), F.col("__any")).otherwise(F.col("__undated"))
+    found = asked.join(near.withColumnRenamed("__ts", "__at"), (asked["__b"] == near["__b"]) & (asked["__g"] == near["__g"]) & F.col("__ts").eqNullSafe(F.col("__at")))
+    dated = lambda c: F.when(F.col("__ts").isNotNull(), F.col(f"{c}.__t"))
+    each = F.least(scored("b", dated("__before"), bonus("__before")), scored("a", dated("__after"), bonus("__after")), scored("u", far, F.lit(0.0)))
+    rows = found.select(key, each.alias("m")).where(-F.col("m.score") >= least)
+    return rows.groupBy(key).agg(F.min("m").alias("m")).select(key, f"m.{tie}", (-F.col("m.score")).alias("score"), "m.flipped")
 
 
 def nearest_meeting(probes: DataFrame, games: DataFrame, key: str, sides: tuple[str, str], date: str, tie: str = "game_id", least_date: int = 9999) -> DataFrame:
@@ -118,12 +173,15 @@ def backfill_cascade(probes: DataFrame, games: DataFrame, key: str, home: str =
     meeting. fuzzy has the time columns of probes and games, both of which then need home_tokens and away_tokens; without it there is no
     fuzzy pass. Returns key, tie, how."""
     x, y = F.least(home, away), F.greatest(home, away)
+    tokens = ["home_tokens", "away_tokens"] if fuzzy else []
+    probes = stored(probes.select(*dict.fromkeys([key, home, away, date, *tokens, *(fuzzy or ())[:1]])), "probes")
+    games = stored(games.select(*dict.fromkeys([tie, home, away, date, *tokens, *(fuzzy or ())[1:]])), "games")
     g = games.select(x.alias("__x"), y.alias("__y"), F.col(date).alias("__date"), F.col(tie))
     same = probes.select(key, x.alias("x"), y.alias("y"), date).join(g, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")) & (F.col(date) == F.col("__date")))
-    same = same.groupBy(key).agg(F.min(tie).alias(tie)).withColumn("how", F.lit("same day"))
+    same = stored(same.groupBy(key).agg(F.min(tie).alias(tie)).withColumn("how", F.lit("same day")), "same-day")
     rest = probes.join(same.select(key), key, "left_anti")
     if fuzzy:
-        scored = fuzzy_match(rest, games, key, date, tie=tie, time=fuzzy)
+        scored = stored(fuzzy_match(rest, games, key, date, tie=tie, time=fuzzy), "fuzzy")
         same = same.unionByName(scored.select(key, tie, F.lit("fuzzy").alias("how")))
         rest = rest.join(scored.select(key), key, "left_anti")
     near = nearest_meeting(rest, games, key, (home, away), date, tie)
@@ -168,41 +226,76 @@ def interval_join(snaps: DataFrame, starts: DataFrame, event: str, ts: str, star
 
 def greedy_one_to_one(candidates: DataFrame, block: str, left: str, right: str, score: str, least: float = 0.0) -> DataFrame:
     """J7, last pass: within a block the best pair by score is taken, both leave, and so on; ties by left, then right. Returns block,
-    left, right, score. Depends on order by nature, so a block (a date's unmatched rows) is one task's work."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows[score] >= least].sort_values([score, left, right], ascending=[False, True, True])
-        used_left, used_right, out = set(), set(), []
-        for r in rows.itertuples(index=False):
-            a, b = getattr(r, left), getattr(r, right)
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                out.append(r)
-        return pd.DataFrame(out, columns=rows.columns)
-
-    chosen = candidates.select(block, left, right, score)
-    return chosen.groupBy(block).applyInPandas(pick, chosen.schema)
-
-
-def fallback_match(snaps: DataFrame, games: DataFrame, key: str, tie: str = "game_id", block: str = "day") -> DataFrame:
-    """Three passes over what is unmatched: the same unordered pair on the same day; a day with one row left on either side; then
-    greedy by score. Returns key, tie, pass, score. Both have block, home_tokens, away_tokens."""
+    left, right, score; rights and lefts belong to one block.
+
+    In rounds over all blocks at once: a pair that is the best of both its sides is taken, and what its sides are in goes. As the order of
+    pairs is total, such a pair is also what one after the other would take, so the result is the same, and no block has to fit a task.
+    """
+    rows = stored(candidates.select(block, left, right, score).where(F.col(score) >= least).distinct(), "greedy")
+    done = None
+    order = F.struct(-F.col(score), left, right)
+    while True:
+        bests = [rows.groupBy(block, side).agg(F.min(order).alias("m")).select(block, F.col(f"m.{left}").alias(left), F.col(f"m.{right}").alias(right)) for side in (left, right)]
+        taken = stored(rows.join(bests[0], [block, left, right], "left_semi").join(bests[1], [block, left, right], "left_semi"), "taken")
+        if not taken.take(1):
+            return done if done is not None else taken
+        done = taken if done is None else done.unionByName(taken)
+        rows = stored(rows.join(taken.select(block, left), [block, left], "left_anti").join(taken.select(block, right), [block, right], "left_anti"), "greedy")
+
+
+def fallback_match(snaps: DataFrame, games: DataFrame, key: str, tie: str = "game_id", block: str = "day", time: tuple[str, str] | None = None) -> DataFrame:
+    """Three passes over what is unmatched: of the games of the same unordered pair on the same day the one with the best score; a day
+    with one observation and one unused game left; then greedy by score over unused games that share a word. Returns key, tie, pass, score.
+
+    Both have block, home_tokens, away_tokens and, with time, a column of times each, whose nearness is part of the score. Observations
+    that agree in all that (a listing seen many times) are matched once and share the game; their key is the smallest.
+    """
+    what = [block, "home_tokens", "away_tokens", *([time[0]] if time else [])]
+    s = snaps.where(F.col(block).isNotNull()).withColumns({c: F.array_sort(c) for c in ("home_tokens", "away_tokens")})
+    s = stored(s.select(key, *what), "observations")
+    once = s.groupBy(*what).agg(F.min(key).alias("__key"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+
     def pair(h: str, a: str) -> Column:
-        return F.array_join(F.array_sort(F.array(F.array_join(h, " "), F.array_join(a, " "))), "|")
-
-    s = snaps.select(key, block, "home_tokens", "away_tokens").withColumn("__pair", pair("home_tokens", "away_tokens"))
-    g = games.select(F.col(block).alias("__block"), F.col(tie), F.col("home_tokens").alias("__h"), F.col("away_tokens").alias("__a"), pair("home_tokens", "away_tokens").alias("__gp"))
-    exact = s.join(g, (F.col(block) == F.col("__block")) & (F.col("__pair") == F.col("__gp"))).groupBy(key).agg(F.min(tie).alias(tie))
-    exact = exact.select(key, tie, F.lit(0).alias("pass"), F.lit(1.0).alias("score"))
-    left = s.join(exact.select(key), key, "left_anti")
-    free = g.join(exact.select(tie), tie, "left_anti")
-    alone = lambda df, k, c: df.groupBy(k).agg(F.count(F.lit(1)).alias("__n"), F.min(c).alias(c)).where("__n = 1").drop("__n")
-    one = alone(left, block, key).join(alone(free.withColumnRenamed("__block", block), block, tie), block).select(key, tie, F.lit(1).alias("pass"), F.lit(None).cast("double").alias("score"))
-    rest, unused = left.join(one.select(key), key, "left_anti"), free.join(one.select(tie), tie, "left_anti")
-    rows = rest.join(unused, F.col(block) == F.col("__block"))
-    direct = (jaccard(F.col("home_tokens"), F.col("__h")) + jaccard(F.col("away_tokens"), F.col("__a"))) / 2
-    flipped = (jaccard(F.col("home_tokens"), F.col("__a")) + jaccard(F.col("away_tokens"), F.col("__h"))) / 2
-    scored = rows.select(block, key, tie, F.greatest(direct, flipped).alias("score")).where("score > 0")
-    greedy = greedy_one_to_one(scored, block, key, tie, "score").select(key, tie, F.lit(2).alias("pass"), "score")
-    return exact.unionByName(one).unionByName(greedy)
+        return F.array_sort(F.array(F.array_join(h, " "), F.array_join(a, " ")))
+
+    left = once.select("__key", block, F.col("home_tokens").alias("h"), F.col("away_tokens").alias("a"), pair("home_tokens", "away_tokens").alias("p"), (micros(time[0]) if time else F.lit(None).cast("long")).alias("t"))
+    g = games.select(F.col(block).alias("__b"), tie, F.array_sort("home_tokens").alias("gh"), F.array_sort("away_tokens").alias("ga"), (micros(time[1]) if time else F.lit(None).cast("long")).alias("gt"))
+    left, g = stored(left, "listings"), stored(g.withColumn("gp", pair("gh", "ga")), "games")
+    direct = (jaccard(F.col("h"), F.col("gh")) + jaccard(F.col("a"), F.col("ga"))) / 2
+    flipped = (jaccard(F.col("h"), F.col("ga")) + jaccard(F.col("a"), F.col("gh"))) / 2
+    names = F.greatest(direct, flipped)
+    score = F.round(fuzzy_score(direct, flipped, (F.col("t") - F.col("gt")) / F.lit(6e7)) if time else names, 9)
+    exact = left.join(g, (F.col(block) == F.col("__b")) & (F.col("p") == F.col("gp"))).select("__key", tie, score.alias("score"))
+    exact = exact.groupBy("__key").agg(F.min(F.struct((-F.col("score")).alias("s"), tie)).alias("m")).select("__key", f"m.{tie}", F.lit(0).alias("pass"), (-F.col("m.s")).alias("score"))
+    exact = stored(exact, "exact")
+    rest, free = left.join(exact, "__key", "left_anti"), g.join(exact, tie, "left_anti")
+    alone = lambda df, k, c: df.groupBy(F.col(k).alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.min(c).alias(c)).where("__n = 1").drop("__n")
+    one = stored(alone(rest, block, "__key").join(alone(free, "__b", tie), "__k").select("__key", tie, F.lit(1).alias("pass"), F.lit(None).cast("double").alias("score")), "remainder")
+    rest, free = rest.join(one, "__key", "left_anti"), free.join(one, tie, "left_anti")
+    # candidates share a word
+    word = lambda df, b, k, x, y: df.select(F.col(b).alias("__b"), k, F.explode(F.array_union(x, y)).alias("w"))
+    near = word(rest, block, "__key", "h", "a").join(word(free, "__b", tie, "gh", "ga"), ["__b", "w"]).select("__b", "__key", tie).distinct()
+    near = near.join(left.drop(block), "__key").join(g.drop("__b"), tie).select("__b", "__key", tie, score.alias("score"))
+    greedy = greedy_one_to_one(near, "__b", "__key", tie, "score").select("__key", tie, F.lit(2).alias("pass"), "score")
+    found = exact.unionByName(one).unionByName(greedy)
+    of = once.select("__key", *(F.col(c).alias(f"__{c}") for c in what))
+    named = s.join(of, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in what]).select(key, "__key")
+    return named.join(found, "__key").select(key, tie, "pass", "score")
+
+
+def unique_containment(names: DataFrame, dims: DataFrame, words: str, value: str) -> DataFrame:
+    """Word sets of names with the value of the one row of dims whose words are all among the name's, or the other way round; names with
+    none or several such rows are not returned. Both have an array column ``words``; returns words, value. Empty sets take no part.
+
+    Each set is indexed by its rarest word: a set within a name has it among the name's words, a set around a name has the name's.
+    """
+    sets = dims.select(F.array_sort(F.array_distinct(words)).alias("d"), value).where(F.size("d") > 0).groupBy("d").agg(F.count(F.lit(1)).alias("rows"), F.max(value).alias("value"))
+    n = names.select(F.array_sort(F.array_distinct(words)).alias("n")).where(F.size("n") > 0).distinct()
+    count = sets.select(F.explode("d").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    spread = lambda df, c, *more: df.select(c, *more, F.explode(c).alias("w"))
+    rarest = lambda df, c: spread(df, c).join(count, "w", "left").groupBy(c).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w")).alias("r")).where("r.often > 0").select(c, "r.w")
+    inside = spread(n, "n").join(rarest(sets, "d").join(sets, "d"), "w").where(F.size(F.array_except("d", "n")) == 0)
+    around = rarest(n, "n").join(spread(sets, "d", "rows", "value"), "w").where((F.size(F.array_except("n", "d")) == 0) & (F.size("d") > F.size("n")))
+    hits = inside.select("n", "rows", "value").unionByName(around.select("n", "rows", "value"))
+    return hits.groupBy("n").agg(F.sum("rows").alias("rows"), F.max("value").alias("value")).where("rows = 1").select(F.col("n").alias(words), F.col("value").alias(value))

@@ -107,15 +107,26 @@ def j5(v: Views):
     return m.fuzzy_match(snaps, games, "snap", "day").withColumn("score", F.round("score", 6))
 
 
+_SHIFTED = """
+sh as (select 's' || game_id as snap, day + cast(week % 3 as int) as d, start_ts + to_days(cast(week % 3 as int)) + interval 30 minute as ts, case when week % 2 = 1 then away_team else home_team end as home, case when week % 2 = 1 then home_team else away_team end as away,
+       case when week % 2 = 1 then away_name else home_name end as home_name, case when week % 2 = 1 then home_name else away_name end as away_name, game_id as own from gn)
+"""
+
+
 @query("j3_cascade_backfill", f"""
-with {_PROBE}, {_GT}, e as (select snap, min(game_id) as gid from pr join g on g.day = pr.day + (week % 3) and least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) group by snap),
-rest as (select * from pr where snap not in (select snap from e)),
-nr as (select snap, arg_min(game_id, (abs(datediff('day', g.day, rest.day + (week_p % 3))), game_id)) as gid from (select *, week as week_p from rest) rest join g on least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) group by snap)
-select snap, gid as game_id, 'same day' as how from e union all select snap, gid, 'nearest day' from nr""".replace("rest.day + (week_p % 3)", "rest.day + cast(week_p % 3 as int)").replace("pr.day + (week % 3)", "pr.day + cast(pr.week % 3 as int)"))
+with {_NAMED}, {_SHIFTED}, e as (select snap, min(g.game_id) as gid from sh join gn g on g.day = d and least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) group by snap),
+r1 as (select *, {_toks('home_name')} as h, {_toks('away_name')} as a from sh where snap not in (select snap from e)),
+gt as (select game_id, day, start_ts, {_toks('home_name')} as gh, {_toks('away_name')} as ga from gn),
+k as (select snap, gt.game_id, round(0.85 * greatest(({_jac('h', 'gh')} + {_jac('a', 'ga')}) / 2, ({_jac('h', 'ga')} + {_jac('a', 'gh')}) / 2) + 0.15 * exp(-abs(epoch_us(ts) - epoch_us(start_ts)) / 6e7 / 60), 9) as score from r1 join gt on gt.day = d),
+f as (select snap, arg_min(game_id, (-score, game_id)) as gid from k where score >= 0.35 group by snap),
+nr as (select snap, arg_min(g.game_id, (abs(datediff('day', g.day, d)), g.game_id)) as gid from r1 join gn g on least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) where snap not in (select snap from f) group by snap)
+select snap, gid as game_id, 'same day' as how from e union all select snap, gid, 'fuzzy' from f union all select snap, gid, 'nearest day' from nr""")
 def j3(v: Views):
-    probes = _probes(v).withColumn("day", F.date_add("day", F.col("week") % 3)).withColumnsRenamed({"home": "home_team", "away": "away_team"})
-    games = v.games.select("game_id", F.to_date("start_ts").alias("day"), "home_team", "away_team")
-    return m.backfill_cascade(probes, games, "snap")
+    named, shift, odd = _named(v), F.col("week") % 3, F.col("week") % 2 == 1
+    games = _tokened(named, "game_id", "day", "start_ts", "home_team", "away_team")
+    turned = {f"{a}_{c}": F.when(odd, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")) for c in ("team", "name") for a, b in (("home", "away"), ("away", "home"))}
+    moved = named.select(F.concat(F.lit("s"), "game_id").alias("snap"), F.date_add("day", shift).alias("day"), (F.col("start_ts") + F.make_interval(days=shift.cast("int"), mins=F.lit(30))).alias("start_ts"), *(c.alias(n) for n, c in turned.items()))
+    return m.backfill_cascade(_tokened(moved, "snap", "day", "start_ts", "home_team", "away_team"), games, "snap", fuzzy=("start_ts", "start_ts"))
 
 
 @query("j6_nearest_meeting", f"with {_GT}, q as (select p_partkey as probe, (select min(n_name) from {{nation}}) as h, n_name as a, date '1995-06-15' as d from {{part}} join {{nation}} on n_nationkey = p_partkey % 25), c as (select probe, abs(datediff('day', day, d)) as days_off, game_id, row_number() over (partition by probe order by abs(datediff('day', day, d)), game_id) as n from q join g on least(h, a) = least(home_team, away_team) and greatest(h, a) = greatest(home_team, away_team)) select probe, cast(days_off as int) as days_off, game_id as matched_game_id from c where n = 1")
@@ -143,9 +154,11 @@ def j4b(v: Views):
 @query("j7_fallback_match")
 def j7(v: Views):
     named = _named(v)
-    games = _tokened(named, "game_id", "day")
-    snaps = named.select(F.concat(F.lit("s"), "game_id").alias("snap"), "day", x.tokens(F.col("home_team")).alias("home_tokens"), x.tokens(F.col("away_name")).alias("away_tokens"))
-    return m.fallback_match(snaps, games, "snap").withColumn("score", F.round("score", 6))
+    games = _tokened(named, "game_id", "day", "start_ts")
+    # names in full every third week: the same pair; else one side is short
+    home = F.when(F.col("week") % 3 == 0, F.col("home_name")).otherwise(F.col("home_team"))
+    snaps = named.select(F.concat(F.lit("s"), "game_id").alias("snap"), "day", (F.col("start_ts") + F.expr("interval 20 minutes")).alias("start_ts"), x.tokens(home).alias("home_tokens"), x.tokens(F.col("away_name")).alias("away_tokens"))
+    return m.fallback_match(snaps, games, "snap", time=("start_ts", "start_ts")).withColumn("score", F.round("score", 6))
 
 
 @query("j8_interval_join", "select e.snap_id, s.sid from {snapshots} e join (select snap_id as sid, event_key, snapshot_ts as st from {snapshots} where event_type = 'purchase') s on s.event_key = e.event_key and snapshot_ts between st - interval 30 minute and st + interval 15 minute")
@@ -226,16 +239,32 @@ def f17(v: Views):
     return v.venues.select("venue_id", x.venue_key(F.col("venue")).alias("venue_key"), x.venue_key_loose(F.col("venue")).alias("loose_key"))
 
 
+#: Stadiums with some names twice and some schools unknown, a table of alternates, and games whose venues are spelt so that each step is needed.
+_STADIUMS = """select case when p_partkey % 50 = 0 then 'Twin Field' when p_partkey % 4 = 1 then concat(p_name, ' no', p_partkey, ' Park') else concat(p_name, ' no', p_partkey) end as venue,
+    case when p_brand like 'Brand#1%' then p_brand end as school, p_size * 1000 as capacity from {part} where p_partkey % 3 <> 2"""
+_ALTERNATES = "select concat(p_name, ' alt', p_partkey, ' Arena') as venue, p_size * 100 as capacity from {part} where p_partkey % 3 = 2"
+_HOSTED = """select p_partkey as id, p_brand as home_team, concat('Brand#', p_partkey % 25) as away_team, p_size % 5 = 0 as neutral_site,
+    case when p_partkey % 3 = 2 and p_partkey % 2 = 0 then concat(p_name, ' alt', p_partkey, ' Arena') when p_partkey % 3 = 2 and p_partkey % 4 = 1 then concat(p_name, ' Alt', p_partkey, ' Center')
+         when p_partkey % 3 = 2 then 'Nowhere Ground' when p_partkey % 50 = 0 then 'Twin Field' when p_partkey % 4 = 0 then concat(p_name, ' No', p_partkey) when p_partkey % 4 = 1 then concat(p_name, ' no', p_partkey, ' Stadium')
+         when p_partkey % 4 = 2 then concat('no', p_partkey, ' ', substring(p_name, 1, position(' ' in p_name) - 1)) else concat('Grand ', p_name, ' no', p_partkey, ' north') end as venue from {part}"""
+
+
+def _one(table: str, key: str) -> str:
+    return f"(select {key} as k, max(capacity) as c from {table} group by 1 having count(*) = 1 and k <> '')"
+
+
 @query("j17_capacity_cascade", f"""
-with vv as (select *, p_type as long_name from {{venues}} join {{part}} on p_partkey = venue_id),
-a as (select {_key('long_name')} as k, max(capacity) as c from vv group by 1 having count(*) = 1), b as (select {_loose('long_name')} as k, max(capacity) as c from vv group by 1 having count(*) = 1 and {_loose('any_value(long_name)')} <> ''),
-s as (select school, max(capacity) as c from vv group by 1),
-g as (select p_partkey as id, p_type || case when p_size % 2 = 0 then ' Stadium' else '' end as venue, p_brand as home, p_size % 5 = 0 as neutral from {{part}})
-select id, coalesce(a.c, b.c, case when not neutral then s.c end) as capacity from g left join a on a.k = {_key('venue')} left join b on b.k = {_loose('venue')} left join s on s.school = g.home""")
+with st as ({_STADIUMS}), al as ({_ALTERNATES}), g as ({_HOSTED}), w as (select list_distinct(string_split({_key('venue')}, ' ')) as s, capacity from st),
+t as (select distinct venue, list_filter(list_distinct(string_split({_loose('venue')}, ' ')), lambda x: x <> '') as tk from g),
+sub as (select venue, max(capacity) as c from t join w on len(tk) > 0 and (list_has_all(s, tk) or list_has_all(tk, s)) group by venue having count(*) = 1),
+sc as (select school, max(capacity) as c from st where school is not null group by 1)
+select id, coalesce(a.c, b.c, sub.c, d.c, e.c, case when not neutral_site then h.c end, case when not neutral_site then w2.c end) as capacity,
+       cast(case when a.c is not null then 1 when b.c is not null then 2 when sub.c is not null then 3 when d.c is not null then 4 when e.c is not null then 5 when not neutral_site and h.c is not null then 6 when not neutral_site and w2.c is not null then 7 end as int) as capacity_from
+from g left join {_one('st', _key('venue'))} a on a.k = {_key('g.venue')} left join {_one('st', _loose('venue'))} b on b.k = {_loose('g.venue')} left join sub on sub.venue = g.venue
+left join {_one('al', _key('venue'))} d on d.k = {_key('g.venue')} left join {_one('al', _loose('venue'))} e on e.k = {_loose('g.venue')} left join sc h on h.school = home_team left join sc w2 on w2.school = away_team""")
 def j17(v: Views):
-    venues = v.venues.join(v.part, F.col("p_partkey") == F.col("venue_id")).select(F.col("p_type").alias("venue"), "school", "capacity")
-    games = v.part.select(F.col("p_partkey").alias("id"), F.concat("p_type", F.when(F.col("p_size") % 2 == 0, " Stadium").otherwise("")).alias("venue"), F.col("p_brand").alias("home_team"), (F.col("p_size") % 5 == 0).alias("neutral_site"))
-    return e.capacity_cascade(games, venues, x.venue_key, x.venue_key_loose).select("id", "capacity")
+    made = [v.spark.sql(text, part=v.part) for text in (_HOSTED, _STADIUMS, _ALTERNATES)]
+    return e.capacity_cascade(made[0], made[1], x.venue_key, x.venue_key_loose, made[2]).select("id", "capacity", "capacity_from")
 
 
 @query("a11_school_capacity", "select school, max(capacity) as capacity from {venues} group by school")

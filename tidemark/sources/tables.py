@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,25 @@ from tidemark.operators.dedupe import keep_last
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (one machine), below a temporary one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a master within one process (tests, one machine) gets a temporary
+    folder, which goes when the process ends; a cluster has to name a folder that all its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared store and read again: iterations neither repeat it nor depend on the executors that made it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(path_of: DataFrame | str, schema: str, spark: SparkSession | None = None) -> DataFrame:
     """A CSV table with a header by a given schema; no inference pass. What does not fit becomes null; NaN becomes null."""
     spark = spark or SparkSession.active()
