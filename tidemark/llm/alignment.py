@@ -89,7 +89,7 @@ class Pair:
         return cls._made[a, b]
 
     def _a_ids(self, text: str) -> list[int]:
-        return self.a.encode(text, add_special_tokens=False).ids
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _b_ids(self, text: str) -> list[int]:
         """Ids of a text that begins with a space, which B adds itself."""
