@@ -117,13 +117,17 @@ def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least:
     s, g = stored(s, "observations"), stored(g, "games")
     alike = similar_matchups(s, g, (least - 0.15) / 0.85 - 1e-9)
     alike = stored(alike.select(F.xxhash64("s_home", "s_away").alias("__s"), F.xxhash64("g_home", "g_away").alias("__g"), "alike", "flipped"), "alike")
-    pairs = stored(s.select("__b", "__s").distinct().join(g.select("__b", "__g").distinct(), "__b").join(alike, ["__s", "__g"]), "pairs")
-    best = pairs.groupBy("__b", "__s").agg(F.max("alike").alias("__best"))
-    pairs = pairs.join(best, ["__b", "__s"]).where(F.col("alike") >= F.col("__best") - TIME_SHARE - 1e-9).drop("__best")
-    # one point for each time of a block and pair of sides, of games and observations alike
+    # the best similarity of each block and pair of sides: first among games that could not be outdone by a game of any block, then, where there
+    # are none, among all
+    there, wanted = stored(g.select("__b", "__g").distinct(), "there"), stored(s.select("__b", "__s").distinct(), "wanted")
+    top = alike.groupBy("__s").agg(F.max("alike").alias("__top"))
+    highest = lambda ask, some: ask.join(some, "__s").join(there, ["__b", "__g"]).groupBy("__b", "__s").agg(F.max("alike").alias("__best"))
+    first = stored(highest(wanted, alike.join(top, "__s").where(F.col("alike") >= F.col("__top") - TIME_SHARE - 1e-9).drop("__top")), "best")
+    best = first.unionByName(highest(wanted.join(first, ["__b", "__s"], "left_anti"), alike))
+    pairs = best.join(alike, "__s").where(F.col("alike") >= F.col("__best") - TIME_SHARE - 1e-9).join(there, ["__b", "__g"]).drop("__best")
     asked = stored(s.join(pairs, ["__b", "__s"]).select(key, "__b", "__g", "__ts", "alike", "flipped"), "asked")
     at = g.groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
-    points = asked.select("__b", "__g", "__ts").distinct().withColumn("__t", F.lit(None).cast(at.schema["__t"].dataType)).unionByName(at).groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
+    points = asked.select("__b", "__g", "__ts").withColumn("__t", F.lit(None).cast(at.schema["__t"].dataType)).unionByName(at).groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
     w = Window.partitionBy("__b", "__g")
     game = F.when(F.col("__t").isNotNull() & F.col("__ts").isNotNull(), F.struct("__t", "__ts"))
     ordered = w.orderBy(F.asc_nulls_first("__ts"))

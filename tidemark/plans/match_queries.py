@@ -8,6 +8,7 @@ from tidemark.operators import enrich as e, filters as p, match as m
 from tidemark.plans.history_queries import _PREV, _TG, _tg
 from tidemark.plans.registry import query
 from tidemark.plans.views import ASOF, Views
+from tidemark.sources.tables import stored
 
 STOP = "('university','state','college','the','of','and','at','football','st','saint','')"
 
@@ -84,7 +85,7 @@ def _named(v: Views):
     """Games with longer names of sides (nation, region) and observations that know one side in short and an hour that is off."""
     n = v.nation.select(F.col("n_name").alias("nn"), "n_regionkey").join(v.region.select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).select("nn", F.concat_ws(" ", "nn", "r_name").alias("full"))
     g = v.games.join(n.withColumnsRenamed({"nn": "h", "full": "home_name"}), F.col("home_team") == F.col("h")).join(n.withColumnsRenamed({"nn": "a", "full": "away_name"}), F.col("away_team") == F.col("a"))
-    return g.withColumn("day", F.to_date("start_ts"))
+    return stored(g.withColumn("day", F.to_date("start_ts")), "named")  # games and observations both come from it
 
 
 _NAMED = """
