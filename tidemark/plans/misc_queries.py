@@ -460,47 +460,64 @@ def a24(v: Views):
     return mo.partial_dependence(model, rows.where("is_test"), "hours_left", [24.0, 168.0, 500.0])
 
 
-# streams, run to their end over the events file
+# streams over the events in several files, one micro-batch each, some rows of which come late
+
+
+def _stream(v: Views, late: bool = True):
+    return st.open_stream(v.spark, st.landed(v.spark, v.sf_dir, "events", late=late))
 
 
 @query("x1_stream_dedup", "select distinct user_id as event_key, event_type, epoch_us(time_bucket(interval 6 hour, ts)) as bucket_us from {events}")
 def x1(v: Views):
-    return st.run_to_end(v.spark, v.sf_dir, "events", st.dedup_buckets)
+    return st.appended(st.dedup_buckets(_stream(v)))
 
 
 @query("x2_stream_upsert", "select event_key, event_type, snap_id from (select *, row_number() over (partition by event_key, event_type order by snapshot_ts desc, snap_id desc) as n from {snapshots}) where n = 1")
 def x2(v: Views):
-    return st.upsert_to_end(v.spark, v.sf_dir, ["event_key", "event_type"], ["snapshot_ts", "snap_id"]).select("event_key", "event_type", "snap_id")
+    rows = _stream(v).select(F.col("event_id").alias("snap_id"), F.col("user_id").alias("event_key"), "event_type", F.col("ts").alias("snapshot_ts"))
+    return st.upserted(rows, ["event_key", "event_type"], ["snapshot_ts", "snap_id"]).select("event_key", "event_type", "snap_id")
 
 
 @query("x3_six_hour_windows", "select user_id as event_key, epoch_us(time_bucket(interval 6 hour, ts)) as from_us, min(value) as low, round(avg(value), 6) as mean, count(*) as n from {events} group by all")
 def x3(v: Views):
-    out = st.run_to_end(v.spark, v.sf_dir, "events", lambda s: st.windowed(s, "6 hours"))
+    out = st.upserted(st.windowed(_stream(v), "6 hours"), ["event_key", "from_us"], mode="update")
     return out.withColumn("mean", F.round("mean", 6))
 
 
 @query("x4_daily_windows", "select user_id as event_key, epoch_us(time_bucket(interval 1 day, ts)) as from_us, min(value) as low, round(avg(value), 6) as mean, count(*) as n from {events} group by all")
 def x4(v: Views):
-    out = st.run_to_end(v.spark, v.sf_dir, "events", lambda s: st.windowed(s, "1 day"))
+    out = st.upserted(st.windowed(_stream(v), "1 day"), ["event_key", "from_us"], mode="update")
     return out.withColumn("mean", F.round("mean", 6))
 
 
 @query("x5_stream_enriched", "select event_id, c_name from {events} join {customer} on c_custkey = user_id")
 def x5(v: Views):
     dim = v.customer.select(F.col("c_custkey").alias("user_id"), "c_name")
-    return st.run_to_end(v.spark, v.sf_dir, "events", lambda s: s.join(dim, "user_id").select("event_id", "c_name"), mode="append")
+    return st.appended(_stream(v).join(dim, "user_id").select("event_id", "c_name"))
 
 
 @query("x6_stream_interval_join", "select a.event_id, b.event_id as start_id from {events} a join {events} b on b.user_id = a.user_id and b.event_type = 'purchase' and a.ts between b.ts - interval 30 minute and b.ts + interval 15 minute")
 def x6(v: Views):
-    return st.run_to_end(v.spark, v.sf_dir, "events", st.near_starts, mode="append")
+    return st.appended(st.near_starts(_stream(v, late=False)))
 
 
 @query("x7_running_min", "select user_id as event_key, min(case when event_type <> 'error' then value end) as low, count(*) as n from {events} group by user_id")
 def x7(v: Views):
-    return st.run_to_end(v.spark, v.sf_dir, "events", st.running_min)
+    return st.upserted(st.running_min(_stream(v)), ["event_key"], mode="update")
+
+
+@query("x7_price_alerts", """
+with p as (select event_id as snap_id, user_id as event_key, ts, value as price from {events} where event_type <> 'error' and value is not null and ts <= timestamp '2024-01-10 18:00:00' + to_days(cast(user_id % 40 as integer))),
+f as (select event_key, predicted_price / 2 as floor from {predictions}),
+w as (select p.*, floor, lag(price) over o as last, min(price) over (partition by p.event_key order by ts, snap_id rows between unbounded preceding and 1 preceding) as low_before from p left join f on f.event_key = p.event_key window o as (partition by p.event_key order by ts, snap_id))
+select event_key, snap_id, price, low_before, price <= low_before as at_low, coalesce(price <= floor, false) as at_floor from w where price < last and (price <= low_before or coalesce(price <= floor, false))""")
+def x7_alerts(v: Views):
+    price = F.when(F.col("event_type") != "error", F.nanvl("value", F.lit(None).cast("double")))
+    start = F.lit("2024-01-10 18:00:00").cast("timestamp") + F.make_interval(days=(F.col("user_id") % 40).cast("int"))
+    rows = _stream(v, late=False).select(F.col("event_id").alias("snap_id"), F.col("user_id").alias("event_key"), "ts", price.alias("price"), start.alias("start_ts"))
+    return st.appended(st.price_alerts(rows, v.predictions.select("event_key", (F.col("predicted_price") / 2).alias("floor"))))
 
 
 @query("x8_late_rows", "select event_id from {events} where ts <= timestamp '2024-01-10 18:00:00' + to_days(cast(user_id % 40 as integer))")
 def x8(v: Views):
-    return st.run_to_end(v.spark, v.sf_dir, "events", st.before_start, mode="append")
+    return st.appended(st.before_start(_stream(v)))
