@@ -29,6 +29,17 @@ def best_poll(rankings: DataFrame, preference: list[str], by: list[str]) -> Data
     return ranked.join(best, by).where("__pref = __best").drop("__pref", "__best")
 
 
+def closest_poll(polls: DataFrame, by: list[str], date: str, week: str, asof: Column, preference: list[str]) -> DataFrame:
+    """of each group's polls (poll, week, date) the one whose date is nearest to asof; a date after asof counts as none, and polls
+    with a date come first. Of equally near ones, or where none has a date, the highest week, then the more preferred poll. asof may be made
+    of the group's columns. Rows of one poll and week are one candidate."""
+    rank = F.coalesce(*(F.when(F.col("poll") == p, i) for i, p in enumerate(preference)), F.lit(len(preference)))
+    known = F.when(F.col(date) <= asof, F.col(date))
+    order = F.struct(known.isNull().alias("undated"), F.abs(F.datediff(asof, known)).alias("off"), (-F.col(week)).alias("week"), rank.alias("rank"), F.col("poll"), known.alias("date"))
+    best = polls.groupBy(*by).agg(F.min(order).alias("b"))
+    return best.select(*by, "b.poll", (-F.col("b.week")).alias(week), F.col("b.date").alias(date))
+
+
 def side_lookup(games: DataFrame, dim: DataFrame, keys: dict[str, Column], value: str, to: str, home: str = "home_team", away: str = "away_team") -> DataFrame:
     """A dimension's value for both sides: dim has team, value and the key columns; keys give what a game has for them."""
     for side, team in (("home", home), ("away", away)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.times import hours_between
+from tidemark.operators.quantile import quantile
 
 BUCKETS = [0, 20, 50, 100, 200]
 
@@ -49,9 +50,10 @@ def mae_by_bucket(df: DataFrame, true: str, predicted: str, edges: list[int] = B
 
 def timing_metrics(df: DataFrame, signed: str = "timing_signed_hours") -> DataFrame:
     """Mean and median of hours off, counts within 6, 12 and 24 hours, bias, share of late ones."""
-    h = F.abs(F.col(signed))
-    return df.where(F.col(signed).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(h).alias("mean_abs_hours"), F.percentile(h, F.lit(0.5)).alias("median_abs_hours"),
+    h, df = F.abs(F.col(signed)), df.where(F.col(signed).isNotNull())
+    middle = F.lit(quantile(df, h, 0.5)).cast("double")
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(h).alias("mean_abs_hours"), F.first(middle).alias("median_abs_hours"),
         *(F.count_if(h <= k).alias(f"within_{k}h") for k in (6, 12, 24)),
         F.avg(signed).alias("bias_hours"), F.avg((F.col(signed) > 0).cast("double")).alias("late_share"),
     )

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.times import hourly_grid
 from tidemark.operators.evaluate import regression_metrics
-from tidemark.sources.tables import scratch
+from tidemark.operators.targets import event_weights, group_time_split, prune_by_importance
+from tidemark.sources.tables import scratch, stored
 
 
 def grid_argmin(events: DataFrame, event: str, start: str, days: int, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -42,6 +43,41 @@ def gap_model(numbers: list[str], categories: list[str], label: str, weight: str
     return Pipeline(stages=stages)
 
 
+def with_missing_flags(df: DataFrame, numbers: list[str]) -> tuple[DataFrame, list[str]]:
+    """M1: for each number a column that tells whether it is missing, and the names of those columns."""
+    return df.withColumns({f"{c}_missing": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double") for c in numbers}), [f"{c}_missing" for c in numbers]
+
+
+def fit_gap_model(
+    rows: DataFrame, numbers: list[str], categories: list[str], label: str, event: str = "event_key", start: str = "start_ts", price: str = "lowest_price", validation: float = 0.1,
+    cutoff: float | None = 0.95, pinned: tuple[str, ...] = (), **settings,
+) -> tuple[PipelineModel, list[str]]:
+    """M1 whole: missing flags; weights that balance events and favour low prices; the last share of the training events as validation, on
+    which boosting stops early; and, with a cutoff, a second fit on the features that a first one found to matter (pinned ones always).
+
+    Returns the model and its features. The training rows are written once, as all passes read them."""
+    rows, flags = with_missing_flags(rows, numbers)
+    rows = group_time_split(event_weights(rows, price, event), validation, event, start).withColumnRenamed("is_test", "is_validation")
+    rows, numbers, categories = stored(rows, "training"), [*numbers, *flags], list(categories)
+    how = dict(weight="weight", validation="is_validation", **settings)
+    model = gap_model(numbers, categories, label, **how).fit(rows)
+    if cutoff is not None:
+        found = importances(model, rows).withColumn("feature", F.regexp_replace("feature", "_(im|te_n)$", "")).groupBy("feature").agg(F.sum("importance").alias("importance"))
+        kept = {r.feature for r in prune_by_importance(found, cutoff, list(pinned)).where("kept").collect()}  # a row a feature
+        fewer = [c for c in numbers if c in kept], [c for c in categories if c in kept]
+        if fewer[0] and fewer != (numbers, categories):
+            numbers, categories = fewer
+            model = gap_model(numbers, categories, label, **how).fit(rows)
+    return model, [*numbers, *categories]
+
+
+def monotone_by_event(scored: DataFrame, event: str, hours: str, predicted: str) -> DataFrame:
+    """Scores that do not fall as there are more hours left: each event's running largest one, from the fewest hours on. It is what a
+    monotone constraint of the learner would give; rows of equal hours share a score."""
+    w = Window.partitionBy(event).orderBy(hours).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return scored.withColumn(predicted, F.max(predicted).over(w))
+
+
 def price_model(numbers: list[str], categories: list[str], label: str, trees: int = 300, depth: int = 5) -> Pipeline:
     """M2: a random forest; numbers by the median, categories one-hot with unseen values kept."""
     stages: list = [Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}_im" for c in numbers])]
@@ -97,6 +133,7 @@ def sweep(train: DataFrame, test: DataFrame, settings: dict[str, Pipeline], labe
     for name, pipeline in settings.items():
         row = training_report(pipeline.fit(train).transform(test), label, "prediction").withColumn("run", F.lit(name))
         out = row if out is None else out.unionByName(row)
+    train.unpersist()  # reports read the test rows only
     return rank_runs(out)
 
 

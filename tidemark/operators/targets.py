@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.times import hours_between
 from tidemark.operators.history import EVENT, PRICE, TIE, TS, future_min, price_of
+from tidemark.operators.quantile import quantile
 
 
 def gap_targets(df: DataFrame, asof: str, price: str = PRICE, ts: str = TS, start: str = "start_ts", event: str = EVENT, tie: str = TIE) -> DataFrame:
@@ -27,10 +28,9 @@ def gap_targets(df: DataFrame, asof: str, price: str = PRICE, ts: str = TS, star
 
 
 def clip_at_quantile(df: DataFrame, column: str, share: float = 0.995, approximate: bool = False) -> DataFrame:
-    """Values above the quantile become the quantile (exact with linear interpolation, or a sketch for very large tables)."""
-    q = F.percentile_approx(column, share, 10_000) if approximate else F.percentile(F.col(column), F.lit(share))
-    limit = df.agg(q.alias("__q"))
-    return df.join(F.broadcast(limit), F.lit(True), "cross").withColumn(column, F.when(F.col(column).isNotNull(), F.least(F.col(column), F.col("__q")))).drop("__q")
+    """Values above the quantile become the quantile (exact with linear interpolation, or, in one pass, a sketch's)."""
+    limit = df.agg(F.percentile_approx(column, share, 10_000)).first()[0] if approximate else quantile(df, F.col(column), share)
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.least(F.col(column), F.lit(limit))))
 
 
 def prune_by_importance(features: DataFrame, cutoff: float, pinned: list[str]) -> DataFrame:
@@ -61,7 +61,6 @@ def group_time_split(df: DataFrame, share: float, event: str = EVENT, start: str
 
 def event_weights(df: DataFrame, price: str = PRICE, event: str = EVENT, floor: float = 10.0, power: float = 1.5) -> DataFrame:
     """One over the event's rows, times a weight that falls with the price; a missing price counts as the median."""
-    middle = df.agg(F.percentile(price_of(price), F.lit(0.5)).alias("__median"))
+    middle = F.lit(quantile(df, price_of(price), 0.5)).cast("double")
     n = df.groupBy(event).agg(F.count(F.lit(1)).alias("__n"))
-    out = df.join(n, event).join(F.broadcast(middle), F.lit(True), "cross")
-    return out.withColumn("weight", 1 / F.col("__n") * F.pow(1 / F.greatest(F.coalesce(price_of(price), F.col("__median")), F.lit(floor)), F.lit(power))).drop("__n", "__median")
+    return df.join(n, event).withColumn("weight", 1 / F.col("__n") * F.pow(1 / F.greatest(F.coalesce(price_of(price), middle), F.lit(floor)), F.lit(power))).drop("__n")

@@ -156,12 +156,12 @@ _PREV = "last_value(point_diff ignore nulls) over (partition by team order by st
 
 @query("w8_previous_completed", f"with {_TG} select game_id, team, {_PREV} from tg")
 def w8(v: Views):
-    return h.previous_completed(_tg(v), "point_diff", ["team"], ["start_ts", "game_id"]).select("game_id", "team", "prev_point_diff")
+    return h.previous_completed(_tg(v), "point_diff", ["team"], ["start_ts", "game_id"], ["season", "week"]).select("game_id", "team", "prev_point_diff")
 
 
 @query("j11_previous_diff_both_sides", f"with {_TG}, p as (select *, {_PREV} from tg) select game_id, max(case when side = 'H' then prev_point_diff end) as home_last_point_diff, max(case when side = 'A' then prev_point_diff end) as away_last_point_diff from p group by game_id")
 def j11(v: Views):
-    prev = h.previous_completed(_tg(v), "point_diff", ["team"], ["start_ts", "game_id"])
+    prev = h.previous_completed(_tg(v), "point_diff", ["team"], ["start_ts", "game_id"], ["season", "week"])
     return e.per_side(prev, "game_id", "prev_point_diff", "last_point_diff")
 
 
@@ -246,9 +246,9 @@ def d8(v: Views):
     return d.opponents_in_order(v.games, "home_team", "away_team", "start_ts").select("home_team", F.array_join("opponents", ",").alias("opponents"))
 
 
-@query("d9_last_completed", f"with {_TG} select team, game_id, point_diff from (select *, row_number() over (partition by team order by start_ts desc, game_id desc) as n from tg where point_diff is not null and start_ts <= timestamp '1994-06-01 00:00:00') where n = 1")
+@query("d9_last_completed", f"with {_TG} select team, game_id, point_diff from (select *, row_number() over (partition by team order by start_ts desc, game_id desc) as n from tg where point_diff is not null and start_ts <= timestamp '1996-06-01 00:00:00') where n = 1")
 def d9(v: Views):
-    return d.last_completed(_tg(v), "team", "start_ts", "game_id", "point_diff", "1994-06-01 00:00:00").select("team", "game_id", "point_diff")
+    return d.last_completed(_tg(v), "team", "start_ts", "game_id", "point_diff", "1996-06-01 00:00:00").select("team", "game_id", "point_diff")
 
 
 @query("w11_group_time_split", "with e as (select event_key, min(start_ts) as s from {snapshots} group by event_key), n as (select greatest(1, cast(floor(count(*) * 0.2) as bigint)) as n from e where s is not null), k as (select event_key, row_number() over (order by s desc, event_key desc) as r from e where s is not null) select snap_id, r <= n as is_test from {snapshots} s join k on k.event_key = s.event_key, n")

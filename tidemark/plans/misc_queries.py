@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as x, times as tm
 from tidemark.functions.times import micros
-from tidemark.operators import evaluate as ev, filters as p, model as mo, quality as q
+from tidemark.operators import enrich as e, evaluate as ev, filters as p, model as mo, quality as q
 from tidemark.plans.registry import query
 from tidemark.plans.views import ASOF, Views
 from tidemark.sources import extract as ex, tables as io
@@ -49,9 +49,13 @@ def f6(v: Views):
     return v.snapshots.select("snap_id", x.synthetic_id(F.col("event_key"), F.col("event_type")).alias("sid"))
 
 
-@query("f16_poll_label", "select p_partkey, case when lower(p_type) like '%playoff%' or lower(p_type) like '%cfp%' then 'CFP' when lower(p_type) like '%ap%' then 'AP' when lower(p_type) like '%coaches%' then 'Coaches' else trim(p_type) end as label from {part}")
+#: Names of polls as sources spell them.
+_POLLS = "case p_partkey % 7 when 0 then concat('Playoff committee ', p_type) when 1 then concat(p_type, ' CFP') when 2 then 'AP Top 25' when 3 then concat('USA coaches ', p_size) when 4 then '' when 5 then null else concat(' ', p_type, ' ') end"
+
+
+@query("f16_poll_label", f"select p_partkey, case when coalesce(n, '') = '' then 'Unknown' when lower(n) like '%playoff%' or lower(n) like '%cfp%' then 'CFP' when lower(n) like '%ap%' then 'AP' when lower(n) like '%coaches%' then 'Coaches' else trim(n) end as label from (select p_partkey, {_POLLS} as n from {{part}})")
 def f16(v: Views):
-    return v.part.select("p_partkey", x.poll_label(F.col("p_type")).alias("label"))
+    return v.part.select("p_partkey", x.poll_label(F.expr(_POLLS)).alias("label"))
 
 
 @query("f18_clean_school", "select p_partkey, p_name as school from {part}")
@@ -141,6 +145,17 @@ def f19(v: Views):
     return v.games.select("game_id", tm.poll_date(F.date_format("start_ts", "MMM d"), season, F.lit("1998-06-01")).cast("string").alias("poll_day"))
 
 
+@query("f19_closest_poll", """
+with c as (select distinct season, poll, week, case when week % 5 <> 0 then cast(make_date(season, 1, 1) + cast(week * 7 + 3 as int) as date) end as d, make_date(season, 7, 1) as a from {rankings}),
+k as (select *, case when d <= a then d end as kd from c),
+r as (select *, row_number() over (partition by season order by kd is null, abs(datediff('day', kd, a)), week desc, poll <> 'CFP') as n from k)
+select season, poll, week, strftime(kd, '%Y-%m-%d') as poll_day from r where n = 1""")
+def f19_closest(v: Views):
+    date = F.when(F.col("week") % 5 != 0, F.date_add(F.make_date("season", F.lit(1), F.lit(1)), F.col("week") * 7 + 3))
+    found = e.closest_poll(v.rankings.withColumn("date", date), ["season"], "date", "week", F.make_date("season", F.lit(7), F.lit(1)), ["CFP", "AP"])
+    return found.select("season", "poll", "week", F.col("date").cast("string").alias("poll_day"))
+
+
 @query("f23_gap_to_price", "select snap_id, round(lowest_price * (1 - least(greatest(exp(event_key % 10 / 10.0) - 1, 0), 1)), 6) as price, least(greatest((epoch_us(start_ts) - epoch_us(snapshot_ts)) / 3.6e9, 0), 500) as horizon from {snapshots} where lowest_price is not null")
 def f23(v: Views):
     rows = v.snapshots.where("lowest_price is not null")
@@ -295,15 +310,22 @@ def s12(v: Views):
     return ex.metrics_on_first(v.snapshots, "event_key", ["snapshot_ts", "snap_id"], {"listing_count": F.lit(7)}).select("snap_id", "listing_count")
 
 
-@query("s14_page_name", "select page_id, coalesce(nullif(trim(split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), ' | ', 1)), ''), nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ''), '') as name from {pages} where regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''")
+#: A third of the pages has no title, another one no heading either.
+_TITLED = "case page_id % 3 when 0 then html when 1 then regexp_replace(html, '<title>[^<]*</title>', '') else regexp_replace(html, '<title>[^<]*</title>|<h1[^>]*>[^<]*</h1>', '') end"
+
+
+@query("s14_page_name", f"select page_id, coalesce(nullif(trim(split_part(regexp_extract(h, '<title>([^<]*)</title>', 1), ' | ', 1)), ''), nullif(trim(regexp_extract(h, '<h1[^>]*>([^<]*)</h1>', 1)), ''), '~') as name from (select page_id, {_TITLED} as h from {{pages}})".replace("regexp_replace(html, '<title>[^<]*</title>|<h1[^>]*>[^<]*</h1>', '')", "regexp_replace(html, '<title>[^<]*</title>|<h1[^>]*>[^<]*</h1>', '', 'g')"))
 def s14(v: Views):
-    named = v.pages.where(F.regexp_extract("html", "<title>([^<]*)</title>", 1) != "")
-    return named.select("page_id", ex.page_name(F.lit(None).cast("string"), F.col("html"), F.col("url")).alias("name"))
+    # a page without title and heading is named by its link; here all links have the slug ~
+    return v.pages.select("page_id", ex.page_name(F.lit(None).cast("string"), F.expr(_TITLED), F.lit("https://example.org/~")).alias("name"))
+
+
+_OFFERED = "case page_id % 4 when 0 then 'n/a' when 1 then cast(page_id as string) when 2 then concat(page_id, '.25') end"
 
 
-@query("s15_offers_to_snapshots", "select page_id as offer_id, cast(null as double) as lowest_price, epoch_us(timestamp '2024-02-01 00:00:00') as collected_us from {pages}")
+@query("s15_offers_to_snapshots", f"select page_id as offer_id, try_cast({_OFFERED} as double) as lowest_price, epoch_us(timestamp '2024-02-01 00:00:00') as collected_us from {{pages}}")
 def s15(v: Views):
-    offers = v.pages.select(F.col("page_id").alias("offer_id"), F.lit("n/a").alias("low_price"))
+    offers = v.pages.select(F.col("page_id").alias("offer_id"), F.expr(_OFFERED).alias("low_price"))
     out = ex.offers_to_snapshots(offers, {"low_price": "lowest_price"}, ASOF)
     return out.select("offer_id", "lowest_price", micros(F.col("collected_at")).alias("collected_us"))
 
@@ -408,14 +430,15 @@ def _train_rows(v: Views):
     rows = t.gap_targets(v.snapshots, ASOF)
     rows = rows.withColumns({"hours_left": tm.hours_between(F.col("start_ts"), F.col("snapshot_ts")), "weekday": F.weekday("snapshot_ts").cast("double"), "gap_log": F.log1p("gap_pct")})
     rows = t.group_time_split(p.usable(rows, "gap_pct", "hours_left"), 0.2)
-    return rows.select("snap_id", "event_key", "lowest_price", "hours_left", "weekday", "event_type", "gap_log", "is_test").persist()
+    return io.stored(rows.select("snap_id", "event_key", "start_ts", "lowest_price", "hours_left", "weekday", "event_type", "gap_log", "is_test"), "examples")
 
 
 @query("m1_gap_model")
 def m1(v: Views):
     rows = _train_rows(v)
-    model = mo.gap_model(["lowest_price", "hours_left", "weekday"], ["event_type"], "gap_log").fit(rows.where("not is_test"))
-    return model.transform(rows.where("is_test")).select("snap_id", F.round("prediction", 6).alias("prediction"), F.round(ev.gap_to_price(F.col("lowest_price"), F.col("prediction")), 2).alias("predicted_price"))
+    model, _ = mo.fit_gap_model(rows.where("not is_test"), ["lowest_price", "hours_left", "weekday"], ["event_type"], "gap_log", pinned=("hours_left",))
+    test, _ = mo.with_missing_flags(rows.where("is_test"), ["lowest_price", "hours_left", "weekday"])
+    return mo.monotone_by_event(model.transform(test), "event_key", "hours_left", "prediction").select("snap_id", F.round("prediction", 6).alias("prediction"), F.round(ev.gap_to_price(F.col("lowest_price"), F.col("prediction")), 2).alias("predicted_price"))
 
 
 @query("m2_price_model")
