@@ -1,6 +1,11 @@
 """What the pipeline's stages must take out, on planted cases; what a query must store."""
 
-from pathlib import Path
+import math
+import struct
+import zlib
+
+import numpy as np
+import pytest
 
 import corpus_pipeline
 from tidemark.llm import telephony
@@ -33,18 +38,48 @@ def test_words_on_either_side_of_a_number_count(spark):
     assert [got[k] for k in range(6)] == ["[SSN] is my SSN", "ssn [SSN] but [SSN]", texts[2], "ä ssn" + far[3:] + "[SSN]", texts[4], None]
 
 
-def test_telephony_query_stores_its_resampled_sounds(spark, tmp_path):
+def test_telephony_query_returns_its_resampled_sounds(spark, tmp_path):
     texts = {1: "Hello", 2: None, 3: "wörld " * 400}
     spark.createDataFrame([(k, t, None, "a", 1) for k, t in texts.items()], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    base = Path(spark.conf.get("spark.checkpoint.dir"))
-    before = set(base.glob("pcm-*"))
-    got = {r.doc_id: r.feature for r in telephony.telephony_query(spark, str(tmp_path)).collect()}
-    (path,) = set(base.glob("pcm-*")) - before
-    rows = spark.read.parquet(str(path)).collect()
-    assert len(rows) == 3 and set(got) == set(texts)
+    rows = telephony.telephony_query(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == set(texts)
     for r in rows:
         data = telephony.payload((texts[r.doc_id] or "").encode())
-        samples = [telephony.decode([telephony.wav(data, kind)])[0] for kind in (telephony.MULAW, telephony.ALAW, telephony.ADPCM)]
+        samples = [telephony.decode([telephony.wav(data, kind)], telephony.QUERY_RATE)[0] for kind in (telephony.MULAW, telephony.ALAW, telephony.ADPCM)]
         for x, kept in zip(samples, (r.pcm_mulaw, r.pcm_alaw, r.pcm_adpcm)):
-            assert telephony.parse(bytes(kept)) == (telephony.PCM, 16000, x.astype("<i2").tobytes())
-        assert got[r.doc_id] == "|".join(map(telephony.describe, samples))
+            assert telephony.parse(bytes(kept)) == (telephony.PCM, telephony.QUERY_RATE, x.astype("<i2").tobytes())
+        assert r.feature == "|".join(map(telephony.describe, samples))
+
+
+def plain_resampled(signal, rate, target):
+    """Sample by sample: for each place of the new rate a weighted sum of twelve samples around it, in whole numbers."""
+    common = math.gcd(rate, target)
+    up, down, half = target // common, rate // common, 6
+    out = []
+    for k in range(-(-len(signal) * up // down)):
+        at, phase = divmod(k * down, up)
+        weights = []
+        for j in range(-half, half):
+            t = j + 1 - phase / up
+            width = min(1, up / down)
+            x = width * t
+            weights.append(width * (math.sin(math.pi * x) / (math.pi * x) if x else 1.0) * (0.5 + 0.5 * math.cos(math.pi * max(-1, min(1, t / half)))))
+        fixed = [round(w / sum(weights) * 16384) for w in weights]
+        fixed[max(range(2 * half), key=lambda j: abs(weights[j]))] += 16384 - sum(fixed)
+        total = sum(w * (int(signal[at + 1 + j]) if 0 <= at + 1 + j < len(signal) else 0) for w, j in zip(fixed, range(-half, half)))
+        out.append(max(-32768, min(32767, (total + 8192) >> 14)))
+    return out
+
+
+@pytest.mark.parametrize("target", [4000, 8000, 16000])
+def test_resampling_against_a_plain_form(target):
+    signals = [np.random.default_rng(k).integers(-32768, 32768, n).astype(np.int16) for k, n in enumerate((0, 1, 7, 64, 333))]
+    for signal, made in zip(signals, telephony.resample(signals, 8000, target), strict=True):
+        assert made.tolist() == plain_resampled(signal, 8000, target)
+
+
+def test_feature_against_a_plain_form():
+    for x in ([], [0], [-5, 3, 3, -1, 0, 7]):
+        size, turns = [abs(v) for v in x], sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        want = f"{len(x)}:{sum(size) // max(1, len(x))}:{max(size, default=0)}:{turns}:{zlib.crc32(struct.pack(f'<{len(x)}h', *x)):08x}"
+        assert telephony.describe(np.array(x, np.int16)) == want

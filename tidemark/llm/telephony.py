@@ -18,6 +18,8 @@ from tidemark.llm.common import binary_values, prepare, stored, tidy
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, TARGET, BLOCK = 8000, 16000, 64
+#: The rate of the PCM that the query returns.
+QUERY_RATE = 4000
 #: Payload that is decoded at a time.
 RUN_BYTES = 2 << 20
 
@@ -224,7 +226,7 @@ SOUNDS = {"pcm_mulaw": MULAW, "pcm_alaw": ALAW, "pcm_adpcm": ADPCM}
 FACTS = FEATURES.rpartition(",")[0]
 
 
-def sounds(df: DataFrame) -> DataFrame:
+def sounds(df: DataFrame, target: int = TARGET) -> DataFrame:
     """What the media hold: digests of the payload and of the file, and the sounds that the payload is, each decoded, resampled and put
     into a 16-bit PCM WAV file in a binary column. The rows of a run of payloads leave together, so that few samples are held."""
     prepare(df.sparkSession)
@@ -235,24 +237,25 @@ def sounds(df: DataFrame) -> DataFrame:
             for s in runs(media):
                 data = [parse(m)[2] for m in media[s]]
                 facts = [(len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest()) for m, d in zip(media[s], data, strict=True)]
-                made = [pa.array([wav(x.astype("<i2").tobytes(), PCM, TARGET) for x in resample(expand(data, kind), RATE, TARGET)], pa.binary()) for kind in SOUNDS.values()]
+                made = [pa.array([wav(x.astype("<i2").tobytes(), PCM, target) for x in resample(expand(data, kind), RATE, target)], pa.binary()) for kind in SOUNDS.values()]
                 there = [c.slice(s.start, s.stop - s.start) for c in (ids, sizes)]
                 yield pa.RecordBatch.from_arrays([*there, *(pa.array(x) for x in zip(*facts, strict=True)), *made], names=[*(x.split()[0] for x in FACTS.split(", ")), *SOUNDS])
 
     return df.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), FACTS + "".join(f", {c} binary" for c in SOUNDS))
 
 
-def described(df: DataFrame) -> DataFrame:
-    """The rows of sounds with a feature of the samples in place of the sounds."""
+def described(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows of sounds with a feature of the samples in place of the sounds, or, with keep, before them."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             feature = ["|".join(describe(np.frombuffer(parse(x.as_py())[2], "<i2")) for x in row) for row in zip(*(b.column(c) for c in SOUNDS), strict=True)]
             names = [x.split()[0] for x in FACTS.split(", ")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(feature, pa.string())], names=[*names, "feature"])
+            more = list(SOUNDS) if keep else []
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(feature, pa.string()), *(b.column(n) for n in more)], names=[*names, "feature", *more])
 
-    return df.mapInArrow(tidy(run), FEATURES)
+    return df.mapInArrow(tidy(run), FEATURES + "".join(f", {c} binary" for c in SOUNDS if keep))
 
 
 def media_features(df: DataFrame) -> DataFrame:
@@ -261,6 +264,8 @@ def media_features(df: DataFrame) -> DataFrame:
 
 
 def telephony_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> stored media -> read back -> stored resampled PCM -> read back -> features."""
+    """documents -> stored media -> read back -> features and the resampled PCM, which is stored where the result is.
+
+    A text byte is four samples of the three sounds at the media's rate of 8 kHz. At half that rate they are eight bytes of PCM."""
     media = stored(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
-    return described(stored(sounds(media), "pcm"))
+    return described(sounds(media, QUERY_RATE), keep=True)
