@@ -155,9 +155,31 @@ def game_label(title: Column, home: Column, away: Column, key: Column) -> Column
 
 
 def schedule_lookup(probes: DataFrame, games: DataFrame, key: str, home: str = "home_team", away: str = "away_team", date: str = "day", tie: str = "game_id") -> DataFrame:
-    """A pair's game: the same date first, then the same way round, then by tie. Returns key, tie, same_date, swapped."""
+    """A pair's game: the same date first, then the same way round, then by tie. Returns key, tie, same_date, swapped.
+
+    A probe meets the first game of its pair, date and way round, and the first one of its pair and way round, not all games of its pair."""
     x, y = F.least(home, away), F.greatest(home, away)
-    g = games.select(x.alias("__x"), y.alias("__y"), F.col(home).alias("__home"), F.col(date).alias("__date"), tie)
-    rows = probes.select(key, x.alias("x"), y.alias("y"), F.col(home).alias("h"), F.col(date).alias("d")).join(g, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")))
-    order = F.struct((F.coalesce(F.col("d") != F.col("__date"), F.lit(True))).alias("other_date"), (F.col("h") != F.col("__home")).alias("swapped"), F.col(tie))
-    return rows.groupBy(key).agg(F.min(order).alias("m")).select(key, f"m.{tie}", (~F.col("m.other_date")).alias("same_date"), "m.swapped")
+    first = games.groupBy(x.alias("__x"), y.alias("__y"), F.col(home).alias("__home"), F.col(date).alias("__date")).agg(F.min(tie).alias("__tie")).where("__x <> __y")
+    ever = first.groupBy("__x", "__y", "__home").agg(F.min("__tie").alias("__tie"))
+    p = probes.select(key, x.alias("x"), y.alias("y"), F.col(home).alias("h"), F.col(date).alias("d"))
+    pair = (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))
+    order = lambda other: F.struct(F.lit(other).alias("other_date"), (F.col("h") != F.col("__home")).alias("swapped"), F.col("__tie").alias(tie)).alias("m")
+    rows = p.join(first, pair & (F.col("d") == F.col("__date"))).select(key, order(False)).unionByName(p.join(ever, pair).select(key, order(True)))
+    return rows.groupBy(key).agg(F.min("m").alias("m")).select(key, f"m.{tie}", (~F.col("m.other_date")).alias("same_date"), "m.swapped")
+
+
+def clock_text(time: Column) -> Column:
+    """An ``HH:mm`` text as 7:05 PM; null where it is none."""
+    at = F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.trim(time)), F.lit("yyyy-MM-dd H:mm"))
+    return F.date_format(at, "h:mm a")
+
+
+def clock_of(at: Column) -> Column:
+    """The time of day of a timestamp; null at midnight and at 03:00, which stand for an unknown time."""
+    return F.when(~F.date_format(at, "HH:mm").isin("00:00", "03:00"), F.date_format(at, "h:mm a"))
+
+
+def kickoff_text(by_id: list[Column], by_match: list[Column], own: list[Column]) -> Column:
+    """The time to show of a game: what the schedule has under its id, then under its sides and date, then what the row says itself, each a
+    chain of clock_text and clock_of columns; TBD where none of them tells."""
+    return F.coalesce(*by_id, *by_match, *own, F.lit("TBD"))

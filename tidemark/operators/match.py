@@ -65,6 +65,11 @@ def fuzzy_score(direct: Column, flipped: Column, minutes: Column, weight: float
 TIME_SHARE = 0.15 / 0.85
 
 
+def _number(home: str, away: str) -> Column:
+    """A number for a pair of word arrays; a hash of arrays alone does not tell where one ends."""
+    return F.xxhash64(home, F.size(home), away)
+
+
 def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Pairs of different word sets with a Jaccard similarity of at least ``least``: a, b, alike. Both inputs have one array column ``words``.
 
@@ -112,11 +117,11 @@ def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     sides = [F.array_sort(c).alias(c) for c in ("home_tokens", "away_tokens")]
     # both are read several times; sides go by number
-    s = snaps.where(F.col(block).isNotNull()).select(key, F.col(block).alias("__b"), *sides, micros(time[0]).alias("__ts")).withColumn("__s", F.xxhash64("home_tokens", "away_tokens"))
-    g = games.select(F.col(tie).alias("__t"), F.col(block).alias("__b"), *sides, micros(time[1]).alias("__ts")).withColumn("__g", F.xxhash64("home_tokens", "away_tokens"))
+    s = snaps.where(F.col(block).isNotNull()).select(key, F.col(block).alias("__b"), *sides, micros(time[0]).alias("__ts")).withColumn("__s", _number("home_tokens", "away_tokens"))
+    g = games.select(F.col(tie).alias("__t"), F.col(block).alias("__b"), *sides, micros(time[1]).alias("__ts")).withColumn("__g", _number("home_tokens", "away_tokens"))
     s, g = stored(s, "observations"), stored(g, "games")
     alike = similar_matchups(s, g, (least - 0.15) / 0.85 - 1e-9)
-    alike = stored(alike.select(F.xxhash64("s_home", "s_away").alias("__s"), F.xxhash64("g_home", "g_away").alias("__g"), "alike", "flipped"), "alike")
+    alike = stored(alike.select(_number("s_home", "s_away").alias("__s"), _number("g_home", "g_away").alias("__g"), "alike", "flipped"), "alike")
     # the best similarity of each block and pair of sides: first among games that could not be outdone by a game of any block, then, where there
     # are none, among all
     there, wanted = stored(g.select("__b", "__g").distinct(), "there"), stored(s.select("__b", "__s").distinct(), "wanted")
@@ -192,6 +197,17 @@ def backfill_cascade(probes: DataFrame, games: DataFrame, key: str, home: str =
     return same.unionByName(near.select(key, F.col(f"matched_{tie}").alias(tie), F.lit("nearest day").alias("how")))
 
 
+def fill_fields(snaps: DataFrame, games: DataFrame, key: str, fields: list[str], tie: str = "game_id", date: str = "day", time: tuple[str, str] = ("start_ts", "start_ts")) -> DataFrame:
+    """Fields of the game that the cascade of backfill_cascade finds (the same sides and day, then the best fuzzy score, then the nearest
+    meeting), where an observation lacks them. Observations that lack none are not looked up. Both need home_team, away_team and their tokens.
+    """
+    lacking = snaps.where(F.greatest(*(F.col(f).isNull() for f in fields), F.lit(False)))
+    found = backfill_cascade(lacking, games, key, date=date, tie=tie, fuzzy=time).select(F.col(key).alias("__key"), F.col(tie).alias("__tie"))
+    values = found.join(games.select(F.col(tie).alias("__of"), *(F.col(f).alias(f"__{f}") for f in fields)), F.col("__tie") == F.col("__of"))
+    out = snaps.join(values, F.col(key) == F.col("__key"), "left")
+    return out.withColumns({f: F.coalesce(f, f"__{f}") for f in fields}).drop("__key", "__tie", "__of", *(f"__{f}" for f in fields))
+
+
 def as_of(probes: DataFrame, known: DataFrame, by: list[str], ts: str, value: str, probe_key: str) -> DataFrame:
     """For each probe the last value that is not null at or before its time; known points of the same time count.
 

@@ -114,22 +114,6 @@ sh as (select 's' || game_id as snap, day + cast(week % 3 as int) as d, start_ts
 """
 
 
-@query("j3_cascade_backfill", f"""
-with {_NAMED}, {_SHIFTED}, e as (select snap, min(g.game_id) as gid from sh join gn g on g.day = d and least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) group by snap),
-r1 as (select *, {_toks('home_name')} as h, {_toks('away_name')} as a from sh where snap not in (select snap from e)),
-gt as (select game_id, day, start_ts, {_toks('home_name')} as gh, {_toks('away_name')} as ga from gn),
-k as (select snap, gt.game_id, round(0.85 * greatest(({_jac('h', 'gh')} + {_jac('a', 'ga')}) / 2, ({_jac('h', 'ga')} + {_jac('a', 'gh')}) / 2) + 0.15 * exp(-abs(epoch_us(ts) - epoch_us(start_ts)) / 6e7 / 60), 9) as score from r1 join gt on gt.day = d),
-f as (select snap, arg_min(game_id, (-score, game_id)) as gid from k where score >= 0.35 group by snap),
-nr as (select snap, arg_min(g.game_id, (abs(datediff('day', g.day, d)), g.game_id)) as gid from r1 join gn g on least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) where snap not in (select snap from f) group by snap)
-select snap, gid as game_id, 'same day' as how from e union all select snap, gid, 'fuzzy' from f union all select snap, gid, 'nearest day' from nr""")
-def j3(v: Views):
-    named, shift, odd = _named(v), F.col("week") % 3, F.col("week") % 2 == 1
-    games = _tokened(named, "game_id", "day", "start_ts", "home_team", "away_team")
-    turned = {f"{a}_{c}": F.when(odd, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")) for c in ("team", "name") for a, b in (("home", "away"), ("away", "home"))}
-    moved = named.select(F.concat(F.lit("s"), "game_id").alias("snap"), F.date_add("day", shift).alias("day"), (F.col("start_ts") + F.make_interval(days=shift.cast("int"), mins=F.lit(30))).alias("start_ts"), *(c.alias(n) for n, c in turned.items()))
-    return m.backfill_cascade(_tokened(moved, "snap", "day", "start_ts", "home_team", "away_team"), games, "snap", fuzzy=("start_ts", "start_ts"))
-
-
 @query("j6_nearest_meeting", f"with {_GT}, q as (select p_partkey as probe, (select min(n_name) from {{nation}}) as h, n_name as a, date '1995-06-15' as d from {{part}} join {{nation}} on n_nationkey = p_partkey % 25), c as (select probe, abs(datediff('day', day, d)) as days_off, game_id, row_number() over (partition by probe order by abs(datediff('day', day, d)), game_id) as n from q join g on least(h, a) = least(home_team, away_team) and greatest(h, a) = greatest(home_team, away_team)) select probe, cast(days_off as int) as days_off, game_id as matched_game_id from c where n = 1")
 def j6(v: Views):
     first = v.nation.agg(F.min("n_name").alias("home_team"))
@@ -145,11 +129,37 @@ def j4(v: Views):
     return found.join(games.select(F.col("game_id").alias("matched_game_id"), "week"), "matched_game_id").select("snap", "week")
 
 
-@query("j4b_field_backfill", f"with {_WAYS}, q as (select snap, arg_min(home_points, (o, game_id)) filter (where home_points is not null) as hp from c group by snap) select pr.snap, coalesce(case when week % 3 = 0 then cast(week as double) end, hp) as home_points from pr left join q on q.snap = pr.snap")
+def _shifted(v: Views, named):
+    """Observations of games, moved by up to two days and turned in odd weeks."""
+    shift, odd = F.col("week") % 3, F.col("week") % 2 == 1
+    turned = {f"{a}_{c}": F.when(odd, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")) for c in ("team", "name") for a, b in (("home", "away"), ("away", "home"))}
+    moved = named.select(F.concat(F.lit("s"), "game_id").alias("snap"), F.date_add("day", shift).alias("day"), (F.col("start_ts") + F.make_interval(days=shift.cast("int"), mins=F.lit(30))).alias("start_ts"), F.col("week").alias("own_week"), *(c.alias(n) for n, c in turned.items()))
+    return _tokened(moved, "snap", "day", "start_ts", "home_team", "away_team", "own_week")
+
+
+_FOUND = f"""
+{_NAMED}, {_SHIFTED}, e as (select snap, min(g.game_id) as gid from sh join gn g on g.day = d and least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) group by snap),
+r1 as (select *, {_toks('home_name')} as h, {_toks('away_name')} as a from sh where snap not in (select snap from e)),
+gt as (select game_id, day, start_ts, {_toks('home_name')} as gh, {_toks('away_name')} as ga from gn),
+k as (select snap, gt.game_id, round(0.85 * greatest(({_jac('h', 'gh')} + {_jac('a', 'ga')}) / 2, ({_jac('h', 'ga')} + {_jac('a', 'gh')}) / 2) + 0.15 * exp(-abs(epoch_us(ts) - epoch_us(start_ts)) / 6e7 / 60), 9) as score from r1 join gt on gt.day = d),
+f as (select snap, arg_min(game_id, (-score, game_id)) as gid from k where score >= 0.35 group by snap),
+nr as (select snap, arg_min(g.game_id, (abs(datediff('day', g.day, d)), g.game_id)) as gid from r1 join gn g on least(home, away) = least(home_team, away_team) and greatest(home, away) = greatest(home_team, away_team) where snap not in (select snap from f) group by snap),
+found as (select snap, gid, 'same day' as how from e union all select snap, gid, 'fuzzy' from f union all select snap, gid, 'nearest day' from nr)
+"""
+
+
+@query("j3_cascade_backfill", f"with {_FOUND} select snap, gid as game_id, how from found")
+def j3(v: Views):
+    named = _named(v)
+    return m.backfill_cascade(_shifted(v, named), _tokened(named, "game_id", "day", "start_ts", "home_team", "away_team"), "snap", fuzzy=("start_ts", "start_ts"))
+
+
+@query("j4b_field_backfill", f"with {_FOUND} select 's' || g.game_id as snap, coalesce(case when g.week % 4 = 0 then 'known' end, h.venue) as venue, coalesce(case when g.week % 4 < 2 then g.week end, h.week) as week from gn g left join found on snap = 's' || g.game_id left join gn h on h.game_id = gid")
 def j4b(v: Views):
-    games = v.games.select("game_id", F.to_date("start_ts").alias("day"), "home_team", "away_team", "home_points", "away_points")
-    snaps = _probes(v).withColumn("home_points", F.when(F.col("week") % 3 == 0, F.col("week").cast("double")))
-    return m.match_flipped(snaps, games, "snap", {"day": "day"}, ("home", "home_team"), ("away", "away_team"), ["home_points"], [("home_points", "away_points")], "game_id").select("snap", "home_points")
+    named = _named(v)
+    games = _tokened(named, "game_id", "day", "start_ts", "home_team", "away_team", "venue", "week")
+    snaps = _shifted(v, named).withColumns({"venue": F.when(F.col("own_week") % 4 == 0, F.lit("known")), "week": F.when(F.col("own_week") % 4 < 2, F.col("own_week"))})
+    return m.fill_fields(snaps, games, "snap", ["venue", "week"]).select("snap", "venue", "week")
 
 
 @query("j7_fallback_match")
@@ -411,3 +421,16 @@ def p18(v: Views):
 @query("p19_matched", "select game_id from {games} where trim(home_team) <> '' and trim(away_team) <> '' and home_points is not null")
 def p19(v: Views):
     return v.games.where(p.matched(F.col("home_team"), F.col("away_team"), F.col("home_points"))).select("game_id")
+
+
+@query("j24_kickoff_text", f"""
+with {_GT}, pr as (select game_id as id, case when hour(start_ts) = 0 then start_ts + to_hours(cast(week % 5 as int)) end as tm, week, home_team, away_team, day from g),
+t as (select id, case when week % 4 = 2 then '18:' || lpad(cast(week as varchar), 2, '0') when week % 4 = 3 then 'soon' end as id_text, case when week % 4 = 3 and week % 5 not in (0, 3) then tm end as id_at, case when week % 4 = 1 and week % 3 = 0 then '9:30' end as match_text, case when week % 4 in (0, 1) and week % 7 = 0 then '20:15' end as own_text from pr)
+select id, coalesce(case when id_text like '18:%' then cast(cast(substr(id_text, 1, 2) as int) - 12 as varchar) || ':' || substr(id_text, 4, 2) || ' PM' end, ltrim(strftime(id_at, '%-I:%M %p'), '0'), case when match_text is not null then '9:30 AM' end, case when own_text is not null then '8:15 PM' end, 'TBD') as kickoff from t""")
+def j24_text(v: Views):
+    at, week = F.col("start_ts") + F.make_interval(hours=(F.col("week") % 5).cast("int")), F.col("week")
+    # times under the id, as text or as a timestamp (midnight and three are unknown), times of a match, and the row's own
+    id_text = F.when(week % 4 == 2, F.concat(F.lit("18:"), F.lpad(week.cast("string"), 2, "0"))).when(week % 4 == 3, "soon")
+    id_at, match_text, own_text = F.when(week % 4 == 3, at), F.when((week % 4 == 1) & (week % 3 == 0), "9:30"), F.when((week % 4).isin(0, 1) & (week % 7 == 0), "20:15")
+    chain = e.kickoff_text([e.clock_text(id_text), e.clock_of(id_at)], [e.clock_text(match_text)], [e.clock_text(own_text)])
+    return v.games.select(F.col("game_id").alias("id"), chain.alias("kickoff"))
