@@ -349,7 +349,7 @@ class Transducer:
         return data, np.concatenate([[0], ends]), n, {int(back[k]): u for k, u in special.items()}
 
     def encode(self, text: str) -> list[int]:
-        flat, _ = self.encode_all(pa.array(text.split(), pa.large_string()))
+        flat, _ = self.encode_all(pc.ascii_split_whitespace(pa.array([text], pa.large_string())).flatten())
         return flat.tolist()
 
     def encode_stream(self, parts: Iterable[str], hold: int = 4096) -> Iterator[int]:

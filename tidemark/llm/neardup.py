@@ -10,7 +10,8 @@ with probability below 1e-6; pairs that they pass, and large nodes, join candida
 
 Links are then confirmed on full sets. A class of few sets is one task's work. In a larger one, blocks of its sets meet a few pivots at
 a time: sets that link to pivots join. If sets are left outside the class's largest component after two rounds, the class is cut finer by
-the sets' rarest shingles, of which linked sets share one, and only then sets outside the largest component become pivots in turn until
+the first of the sets' shingles in an order that puts those of a tenth of a block's sets last (others stand in the order of their hashes), of
+which linked sets share one, and only then sets outside the largest component become pivots in turn until
 every one of them has met all others; within that component no pair can add a link between components. So no link among candidates
 is lost, and pages of one template that are not linked do not meet each other.
 """
@@ -400,7 +401,7 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     """As _small_classes, for classes of any size: rows class, rep, text, size.
 
     After two rounds of pivots copies are together. Where more than FINER sets of a class stay outside (as pages of one template do), classes are cut finer before
-    more texts move: sets stay together only if one of the rarest shingles of the smaller one is among those of the larger one, which holds
+    more texts move: sets stay together only if one of the first shingles of the smaller one is among those of the larger one, which holds
     for every link. What is left meets in rounds as before.
     """
     rows = stored(_chunked(members), "large-classes")
