@@ -130,25 +130,24 @@ def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least:
     first = stored(highest(wanted, alike.join(top, "__s").where(F.col("alike") >= F.col("__top") - TIME_SHARE - 1e-9).drop("__top")), "best")
     best = first.unionByName(highest(wanted.join(first, ["__b", "__s"], "left_anti"), alike))
     pairs = best.join(alike, "__s").where(F.col("alike") >= F.col("__best") - TIME_SHARE - 1e-9).join(there, ["__b", "__g"]).drop("__best")
-    asked = stored(s.join(pairs, ["__b", "__s"]).select(key, "__b", "__g", "__ts", "alike", "flipped"), "asked")
+    asked = s.join(pairs, ["__b", "__s"]).select(key, "__b", "__g", "__ts", "alike", "flipped", F.lit(True).alias("__asked"))
     at = g.groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
-    points = asked.select("__b", "__g", "__ts").withColumn("__t", F.lit(None).cast(at.schema["__t"].dataType)).unionByName(at).groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
+    both = asked.withColumn("__t", F.lit(None).cast(at.schema["__t"].dataType)).unionByName(at.withColumn("__asked", F.lit(False)), allowMissingColumns=True)
+    # observations and games of a block and pair of sides in the order of time
     w = Window.partitionBy("__b", "__g")
+    ordered = w.orderBy(F.asc_nulls_first("__ts"), "__asked")
     game = F.when(F.col("__t").isNotNull() & F.col("__ts").isNotNull(), F.struct("__t", "__ts"))
-    ordered = w.orderBy(F.asc_nulls_first("__ts"))
-    near = points.select(
-        "__b", "__g", "__ts",
-        F.last(game, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("__before"),
-        F.first(game, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)).alias("__after"),
+    found = both.withColumns({
+        "__before": F.last(game, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+        "__after": F.first(game, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)),
         # a game without a time, or any game where the observation has none: nothing for time
-        F.min(F.when(F.col("__ts").isNull(), F.col("__t"))).over(w).alias("__undated"), F.min("__t").over(w).alias("__any"),
-    )
+        "__undated": F.min(F.when(F.col("__ts").isNull(), F.col("__t"))).over(w), "__any": F.min("__t").over(w),
+    }).where("__asked")
     bonus = lambda c: F.coalesce(F.exp(-F.abs(F.col("__ts") - F.col(f"{c}.__ts")) / F.lit(6e7) / 60), F.lit(0.0))
-    scored = lambda c, t, more: F.when(t.isNotNull(), F.struct((-F.round(0.85 * F.col("alike") + 0.15 * more, 9)).alias("score"), t.alias(tie), "flipped"))
+    scored = lambda t, more: F.when(t.isNotNull(), F.struct((-F.round(0.85 * F.col("alike") + 0.15 * more, 9)).alias("score"), t.alias(tie), "flipped"))
     far = F.when(F.col("__ts").isNull(), F.col("__any")).otherwise(F.col("__undated"))
-    found = asked.join(near.withColumnRenamed("__ts", "__at"), (asked["__b"] == near["__b"]) & (asked["__g"] == near["__g"]) & F.col("__ts").eqNullSafe(F.col("__at")))
     dated = lambda c: F.when(F.col("__ts").isNotNull(), F.col(f"{c}.__t"))
-    each = F.least(scored("b", dated("__before"), bonus("__before")), scored("a", dated("__after"), bonus("__after")), scored("u", far, F.lit(0.0)))
+    each = F.least(scored(dated("__before"), bonus("__before")), scored(dated("__after"), bonus("__after")), scored(far, F.lit(0.0)))
     rows = found.select(key, each.alias("m")).where(-F.col("m.score") >= least)
     return rows.groupBy(key).agg(F.min("m").alias("m")).select(key, f"m.{tie}", (-F.col("m.score")).alias("score"), "m.flipped")
 

@@ -202,13 +202,13 @@ _RK = "(select season, week, team, rank from {rankings} where poll = 'AP')"
 
 @query("j13_rank_by_week", f"with r as {_RK}, l as (select season, max(week) as lw from r group by season), g as (select gg.*, case when start_ts < timestamp '1995-06-01 00:00:00' then week else lw end as w from {{games}} gg left join l using (season)) select game_id, a.rank as home_rank, b.rank as away_rank, a.rank is not null and b.rank is not null as ranked_matchup from g left join r a on a.season = g.season and a.week = w and a.team = home_team left join r b on b.season = g.season and b.week = w and b.team = away_team")
 def j13(v: Views):
-    ranks = v.rankings.where("poll = 'AP'").select("season", "week", "team", "rank")
+    ranks = stored(v.rankings.where("poll = 'AP'").select("season", "week", "team", "rank"), "ranks")  # read for both sides and the last week
     return e.rank_by_week(v.games, ranks, "1995-06-01 00:00:00").select("game_id", "home_rank", "away_rank", "ranked_matchup")
 
 
 @query("j14_lagged_rank", f"with r as {_RK} select game_id, a.rank as home_rank, b.rank as away_rank from {{games}} g left join r a on a.season = g.season and a.week = greatest(g.week - 1, 0) and a.team = home_team left join r b on b.season = g.season and b.week = greatest(g.week - 1, 0) and b.team = away_team")
 def j14(v: Views):
-    ranks = v.rankings.where("poll = 'AP'").select("season", "week", "team", "rank")
+    ranks = stored(v.rankings.where("poll = 'AP'").select("season", "week", "team", "rank"), "ranks")
     return e.lagged_rank(v.games, ranks).select("game_id", "home_rank", "away_rank")
 
 

@@ -44,15 +44,19 @@ def run(job: DataFrame, write: Callable[[DataFrame, int], None], mode: str, stat
     """Run a stream over all files there are now, batch by batch; returns the progress of its batches. State is kept by RocksDB."""
     spark = job.sparkSession
     state = state or scratch(spark, "state")
-    with_setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(with_setting)
-    spark.conf.set(with_setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # changes of the state are written with each batch, whole snapshots of it now and then
+    settings = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {f"spark.sql.streaming.stateStore.{k}": v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = job.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
         query.awaitTermination()
         return [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
     finally:
-        spark.conf.set(with_setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def appended(job: DataFrame, progress: list | None = None) -> DataFrame:
