@@ -43,9 +43,7 @@ def listings(seed, n=40):
     return snaps, games
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_fuzzy_match_against_all_pairs(spark, seed):
-    snaps, games = listings(seed)
+def check_fuzzy(spark, snaps, games):
     want = {}
     for s in snaps:
         scored = [(-score(s, g, True), g[0]) for g in games if s[1] is not None and g[1] == s[1] and max(jaccard(set(s[2]), set(g[2])) + jaccard(set(s[3]), set(g[3])), jaccard(set(s[2]), set(g[3])) + jaccard(set(s[3]), set(g[2]))) > 0]
@@ -55,6 +53,22 @@ def test_fuzzy_match_against_all_pairs(spark, seed):
     assert {r.snap: (r.game_id, r.score) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_fuzzy_match_against_all_pairs(spark, seed):
+    check_fuzzy(spark, *listings(seed))
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.1])
+def test_fuzzy_match_of_few_pairs_seen_often(spark, missing):
+    """Pairs of sides with many observations and games of a day, at times near and far: bounds on time leave what can win."""
+    rng = random.Random(4)
+    sides = [["a"], ["a", "b"], ["a", "b", "c"], ["d", "e"]]
+    time = lambda far: None if rng.random() < missing else datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=rng.randrange(far))
+    rows = lambda c, n, far: [(f"{c}{i:03}", rng.choice("pq"), rng.choice(sides), rng.choice(sides), time(far)) for i in range(n)]
+    for far in (30, 900):
+        check_fuzzy(spark, rows("s", 150, far), rows("g", 30, far))
+
+
 def test_similar_sets_against_all_pairs(spark):
     rng = random.Random(3)
     sets = [sorted(rng.sample("abcdefghijkl", rng.randrange(7))) for _ in range(120)]

@@ -94,11 +94,8 @@ def similar_matchups(snaps: DataFrame, games: DataFrame, least: float) -> DataFr
     g = stored(games.select(F.col("home_tokens").alias("g_home"), F.col("away_tokens").alias("g_away")).distinct(), "matchups")
     sides = lambda df: df.select(F.explode(F.array(*df.columns)).alias("words"))
     alike = stored(similar_sets(sides(s), sides(g), least), "similar-sides")
-    some = None
-    for a in ("s_home", "s_away"):
-        for b in ("g_home", "g_away"):
-            found = s.join(alike.select(F.col("a").alias(a), "b"), a).join(g.withColumnRenamed(b, "b"), "b").withColumnRenamed("b", b).select("s_home", "s_away", "g_home", "g_away")
-            some = found if some is None else some.unionByName(found)
+    spread = lambda df, to: df.select("*", F.explode(F.array_distinct(F.array(*df.columns))).alias(to))
+    some = spread(s, "a").join(alike.select("a", "b"), "a").join(spread(g, "b"), "b").select("s_home", "s_away", "g_home", "g_away")
     of = lambda x, y: (jaccard(F.col("s_home"), F.col(x)) + jaccard(F.col("s_away"), F.col(y))) / 2
     both = some.distinct().withColumns({"__d": of("g_home", "g_away"), "__f": of("g_away", "g_home")})
     return both.select("s_home", "s_away", "g_home", "g_away", F.greatest("__d", "__f").alias("alike"), (F.col("__f") > F.col("__d")).alias("flipped")).where(F.col("alike") >= least - 1e-12)
@@ -109,8 +106,8 @@ def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least:
     different words. Returns key, tie, score, flipped. Of rows with one key and different sides or times the best counts.
 
     Nearness in time adds 0.15 at most, so the names must be similar: that is found once for different names and pairs of sides (a
-    similarity join), whatever the number of rows. Per block and pair of sides, only pairs within what time can add of the best one stay;
-    and of a block's games with one pair of sides, only the last before and the first after an observation's time are scored.
+    similarity join), whatever the number of rows. Per block and pair of sides, only pairs stay that can still win, given the similarity and
+    the first and last times of both; and of a block's games with one pair of sides, only the last before and the first after an observation's time are scored.
     """
     if least < 0.2:
         raise ValueError("candidates need a shared word")
@@ -122,14 +119,27 @@ def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least:
     s, g = stored(s, "observations"), stored(g, "games")
     alike = similar_matchups(s, g, (least - 0.15) / 0.85 - 1e-9)
     alike = stored(alike.select(_number("s_home", "s_away").alias("__s"), _number("g_home", "g_away").alias("__g"), "alike", "flipped"), "alike")
-    # the best similarity of each block and pair of sides: first among games that could not be outdone by a game of any block, then, where there
-    # are none, among all
-    there, wanted = stored(g.select("__b", "__g").distinct(), "there"), stored(s.select("__b", "__s").distinct(), "wanted")
+    # pairs of a block's sides that can win: first among those that time alone can put before the most similar pair of all blocks. Where a block
+    # has a game of that similarity nothing else can win; only what else is there meets all similar pairs
+    span = lambda df, side: df.groupBy("__b", side).agg(F.min("__ts").alias(f"{side}0"), F.max("__ts").alias(f"{side}1"), F.max(F.col("__ts").isNull()).alias(f"{side}?"))
+    there, wanted = stored(span(g, "__g"), "there"), stored(span(s, "__s"), "wanted")
+    near = lambda gap: 0.85 * F.col("alike") + 0.15 * F.coalesce(F.exp(-gap / F.lit(6e7) / 60), F.lit(0.0))
+    # what any time between the first and the last of both sides leaves possible: every observation reaches __low, none gets above __high
+    low = F.when(F.col("__s?"), 0.85 * F.col("alike")).otherwise(near(F.greatest(F.abs(F.col("__s1") - F.col("__g0")), F.abs(F.col("__g1") - F.col("__s0")))))
+    high = near(F.greatest(F.lit(0), F.col("__g0") - F.col("__s1"), F.col("__s0") - F.col("__g1")))
+    high = F.when(F.col("__s0").isNull() | F.col("__g0").isNull(), 0.85 * F.col("alike")).otherwise(high)
     top = alike.groupBy("__s").agg(F.max("alike").alias("__top"))
-    highest = lambda ask, some: ask.join(some, "__s").join(there, ["__b", "__g"]).groupBy("__b", "__s").agg(F.max("alike").alias("__best"))
-    first = stored(highest(wanted, alike.join(top, "__s").where(F.col("alike") >= F.col("__top") - TIME_SHARE - 1e-9).drop("__top")), "best")
-    best = first.unionByName(highest(wanted.join(first, ["__b", "__s"], "left_anti"), alike))
-    pairs = best.join(alike, "__s").where(F.col("alike") >= F.col("__best") - TIME_SHARE - 1e-9).join(there, ["__b", "__g"]).drop("__best")
+    block = Window.partitionBy("__b", "__s")
+
+    def possible(ask: DataFrame, some: DataFrame) -> DataFrame:
+        rows = ask.join(some, "__s").join(there, ["__b", "__g"]).withColumns({"__low": low, "__high": high})
+        rows = rows.withColumns({"__best": F.max("alike").over(block), "__sure": F.max("__low").over(block)})
+        return rows.where(F.col("__high") >= F.greatest("__sure", F.lit(least)) - 1e-8)
+
+    first = possible(wanted, alike.join(top, "__s").where(F.col("alike") >= F.col("__top") - TIME_SHARE - 1e-9)).where(F.col("__best") == F.col("__top"))
+    first = stored(first.select("__b", "__s", "__g", "alike", "flipped"), "first")
+    others = possible(wanted.join(first, ["__b", "__s"], "left_anti"), alike)
+    pairs = first.unionByName(others.select(*first.columns))
     asked = s.join(pairs, ["__b", "__s"]).select(key, "__b", "__g", "__ts", "alike", "flipped", F.lit(True).alias("__asked"))
     at = g.groupBy("__b", "__g", "__ts").agg(F.min("__t").alias("__t"))
     both = asked.withColumn("__t", F.lit(None).cast(at.schema["__t"].dataType)).unionByName(at.withColumn("__asked", F.lit(False)), allowMissingColumns=True)
@@ -139,7 +149,7 @@ def fuzzy_match(snaps: DataFrame, games: DataFrame, key: str, block: str, least:
     game = F.when(F.col("__t").isNotNull() & F.col("__ts").isNotNull(), F.struct("__t", "__ts"))
     found = both.withColumns({
         "__before": F.last(game, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
-        "__after": F.first(game, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)),
+        "__after": F.last(game, ignorenulls=True).over(w.orderBy(F.desc_nulls_last("__ts"), F.desc("__asked")).rowsBetween(Window.unboundedPreceding, 0)),
         # a game without a time, or any game where the observation has none: nothing for time
         "__undated": F.min(F.when(F.col("__ts").isNull(), F.col("__t"))).over(w), "__any": F.min("__t").over(w),
     }).where("__asked")
