@@ -53,25 +53,32 @@ def test_against_brute_force_with_small_and_large_nodes_and_classes(spark):
         assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
 
 
-def pages(n, body=250, own=45, copies=0):
-    """n pages of one template, at a similarity of about 0.7, and copies of every tenth with another word."""
+def pages(n, body=250, own=45, copies=0, vocabulary=0):
+    """n pages of one template, at a similarity of about 0.7, and copies of every tenth with another word. A page's words are its own, or
+    from a vocabulary of that many with frequencies by Zipf's law."""
+    rng = np.random.default_rng(11)
+    shares = 1 / np.arange(1, vocabulary + 1)
     out = []
     for k in range(n):
-        t = [f"t{i}" for i in range(body)] + [f"own{k}x{i}" for i in range(own)]
+        words = [f"v{i}" for i in rng.choice(vocabulary, own, p=shares / shares.sum())] if vocabulary else [f"own{k}x{i}" for i in range(own)]
+        t = [f"t{i}" for i in range(body)] + words
         out += [" ".join(t)] + [" ".join([*t[:-1], f"c{c}"]) for c in range(copies if k % 10 == 0 else 0)]
     return out
 
 
-def test_classes_are_cut_finer_without_losing_links(spark, monkeypatch):
-    for name, value in {"PIVOTS": 2, "CHUNK": 16, "PART": 4, "FINER": 3}.items():
+@pytest.mark.parametrize("paired", [neardup.PAIRED, 2])
+def test_classes_are_cut_finer_without_losing_links(spark, monkeypatch, paired):
+    for name, value in {"PIVOTS": 2, "CHUNK": 16, "PART": 4, "FINER": 3, "PAIRED": paired}.items():
         monkeypatch.setattr(neardup, name, value)
-    texts = corpus(7) + pages(60, 60, 12, copies=2) + pages(30, 20, 1)
+    # 0.72 shared with the template, copies, pages that hardly differ, and pages whose words come from few
+    texts = corpus(7) + pages(60, 60, 12, copies=2) + pages(30, 20, 1) + pages(60, 60, 12, copies=2, vocabulary=40)
     want = brute(list(enumerate(texts)), 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), width=2, class_limit=4).collect()}
     assert got == want
 
 
-def test_template_pages_do_not_meet_each_other(spark, monkeypatch):
+@pytest.mark.parametrize("vocabulary", [0, 20_000])
+def test_template_pages_do_not_meet_each_other(spark, monkeypatch, vocabulary):
     sent, whole = [], neardup._against_pivots
 
     def counted(rows, *more):
@@ -83,7 +90,7 @@ def test_template_pages_do_not_meet_each_other(spark, monkeypatch):
     totals = []
     for n in (400, 800):
         sent.clear()
-        assert all(r.kept for r in neardup.near_duplicates(docs(spark, pages(n)), width=2).collect())
+        assert all(r.kept for r in neardup.near_duplicates(docs(spark, pages(n, vocabulary=vocabulary)), width=2).collect())
         totals.append(sum(sent))
     assert 0 < totals[1] <= 2.1 * totals[0]
 

@@ -9,11 +9,12 @@ it becomes one candidate class unseen, as does one that is still large at the la
 with probability below 1e-6; pairs that they pass, and large nodes, join candidate classes, which are only a first cut.
 
 Links are then confirmed on full sets. A class of few sets is one task's work. In a larger one, blocks of its sets meet a few pivots at
-a time: sets that link to pivots join. If sets are left outside the class's largest component after two rounds, the class is cut finer by
-the first of the sets' shingles in an order that puts those of a tenth of a block's sets last (others stand in the order of their hashes), of
-which linked sets share one, and only then sets outside the largest component become pivots in turn until
-every one of them has met all others; within that component no pair can add a link between components. So no link among candidates
-is lost, and pages of one template that are not linked do not meet each other.
+a time: sets that link to pivots join. If few sets are left outside the class's largest component after two rounds, they become pivots in turn
+until every one of them has met all others; within that component no pair can add a link between components. If many are left, sets meet in
+pairs that share several of their first shingles, in an order by count in the class (those of a tenth of a block's sets last): two linked sets
+share so many within places that follow from their sizes. Shingles that more than a few hundred sets share make no pairs; sets whose first
+shared shingle may be one of them meet straight or, if they are many, are cut into classes by it and meet in rounds. So no link among candidates is lost, and pages of one
+template that are not linked do not meet each other, though their own words come from one vocabulary.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import binary_values, mix, prepare, shingle_hashes, stored, tidy, word_hashes
 from tidemark.llm.components import components, smallest
@@ -40,6 +41,10 @@ PIVOTS, CHUNK, PART = 32, 1024, 256
 SHARED = 0.1
 #: Up to so many sets outside its largest component a class needs few more rounds; with more it is cut finer first.
 FINER = 1024
+#: A shingle that up to so many sets of a class share pairs them; a pair needs so many shared ones among the first.
+PAIRED, AGREE = 256, 3
+#: Sets with a common shingle at a low place meet all others of their class straight if they are this part of them at most.
+FEW = 8
 #: Up to so many sets in classes (8 bytes each) are sent to all tasks that read texts.
 BROADCAST_SETS = 1_000_000
 
@@ -365,44 +370,122 @@ def _frequent(rows: DataFrame, width: int) -> DataFrame:
     return found.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x")).select(F.col("class").alias("of"), F.col("x.token").alias("frequent"))
 
 
-def _prefixes(rows: DataFrame, frequent: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (class, token, rep, low): the first shingles of each set in an order with rare ones first. Of two sets that reach the share, the
-    smaller one has a shingle among its first with low that is among the first of the larger one."""
+def _own_shingles(rows: DataFrame, frequent: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (class, rep, uid, n, own, tail) for each different set: its size, its shingles that are not frequent, and as many frequent ones,
+    rarest first, as its first shingles need beyond those. uid names the set where one rep stands for several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, known = None, np.zeros(0, np.uint64)
+        before, known, rank, last, seen = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), None, set()
         for key, told, reps, sets in _by_block(batches, width):
             if key != before:
-                before, known = key, np.zeros(0, np.uint64)
+                before, known, last = key, np.zeros(0, np.uint64), None
             if told is not None:
-                order = np.argsort(told)
-                known, rank = told[order], order + 1
+                rank = np.argsort(told)
+                known = told[rank]
                 continue
             out = []
             for rep, x in zip(reps, sets, strict=True):
-                place = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    place = np.where(known[at] == x, rank[at], 0)
-                first = x[np.argsort(place, kind="stable")]
-                n = len(x)
-                probe, low = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
-                out += [(key[0], t, rep, i < low) for i, t in enumerate(first[:probe].view(np.int64).tolist())]
+                if rep != last:
+                    last, seen = rep, set()
+                uid = int((mix(np.array([rep], np.int64).view(np.uint64)) ^ mix(x).sum(dtype=np.uint64)).view(np.int64)[0])
+                if uid in seen:
+                    continue
+                seen.add(uid)
+                at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+                common = known[at] == x if len(known) else np.zeros(len(x), bool)
+                n, own = len(x), x[~common]
+                more = max(0, n - -(-percent * n // 100) + 1 - len(own))
+                tail = x[common][np.argsort(rank[at[common]], kind="stable")[:more]] if more else x[:0]
+                out.append((rep, uid, n, own.view(np.int64), tail.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.bool_()], strict=True)], names=["class", "token", "rep", "low"])
+                reps_, uids, sizes, *lists = zip(*out, strict=True)
+                arrays = [pa.array(c, pa.int64()) for c in ([key[0]] * len(out), reps_, uids, sizes)]
+                arrays += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c))) for c in lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["class", "rep", "uid", "n", "own", "tail"])
 
     none = F.lit(None).cast("array<long>")
     lists = rows.select("class", "chunk").distinct().join(frequent, F.col("class") == F.col("of")).select("class", "chunk", "frequent", F.lit(None).cast("long").alias("rep"), F.lit("").alias("text"))
-    both = lists.unionByName(rows.select("class", "chunk", none.alias("frequent"), "rep", "text")).repartition("class", "chunk").sortWithinPartitions("class", "chunk", F.asc_nulls_first("rep"))
-    return both.mapInArrow(tidy(run), "class long, token long, rep long, low boolean")
+    both = lists.unionByName(rows.select("class", "chunk", none.alias("frequent"), "rep", "text")).repartition("class", "chunk").sortWithinPartitions("class", "chunk", F.asc_nulls_first("rep"), "text")
+    return both.mapInArrow(tidy(run), "class long, rep long, uid long, n long, own array<long>, tail array<long>")
+
+
+def _firsts(sets: DataFrame, told: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The first shingles of each set of _own_shingles() in order of their count in the class, frequent ones last.
+
+    (class, token, uid, rep, n, pos, count, component, out, begin): those that other sets hold too, with their place among all of the set's and
+    the place where common ones (frequent, or of more than PAIRED sets) begin; and (class, token, rep, low, out): common ones at places
+    where the first shingle that a linked pair shares can stand, low where it can in the smaller set. told: node, component, out.
+    """
+    probe, low = F.expr(f"n - ({percent} * n + 99) div 100 + 1"), F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    tokens = sets.select("class", "uid", F.explode("own").alias("token"))
+    tokens = tokens.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("class", "token"))).where("count > 1")
+    info = stored(sets.select("class", F.col("uid").alias("of"), "rep", "n", F.size("own").cast("long").alias("alone"), "tail").join(told, F.col("rep") == F.col("node")).drop("node"), "set-sizes")
+    of = Window.partitionBy("uid")
+    placed = tokens.join(info.drop("class", "tail"), F.col("uid") == F.col("of"))
+    # shingles of one set only come first and need no row
+    placed = placed.withColumn("pos", F.col("alone") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("count", "token")) - 1).where(F.col("pos") < probe + AGREE - 1)
+    begin = F.coalesce(F.min(F.when(F.col("count") > PAIRED, F.col("pos"))).over(of), "alone")
+    placed = stored(placed.select("class", "token", "uid", "rep", "n", "pos", "count", "component", "out", begin.alias("begin")), "first-shingles")
+    common = placed.where(F.col("count") > PAIRED).where(F.col("pos") < probe).select("class", "token", "rep", (F.col("pos") < low).alias("low"), "out")
+    tails = info.select("class", "rep", "n", "alone", "out", F.posexplode("tail").alias("at", "token"))
+    return placed, common.unionByName(tails.select("class", "token", "rep", (F.col("alone") + F.col("at") < low).alias("low"), "out"))
+
+
+def _pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of reps, the smaller set first, that links not known yet can join: of two linked sets the places among all shingles of the
+    first AGREE that they share are bounded by their sizes, so a pair counts the shared ones within these bounds. Fewer do only where
+    common ones may be the rest. Pairs within a component, or of sets that need not meet, are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _groups(batches, 2):
+            if not b.num_rows:
+                continue
+            of, token, n, pos, uid, rep, component = (b.column(k).to_numpy() for k in range(7))
+            begin, out = b.column(7).to_numpy(), b.column(8).to_numpy(zero_copy_only=False)
+            group = np.cumsum(np.concatenate([[0], (of[1:] != of[:-1]) | (token[1:] != token[:-1])]))
+            for i, j in _pairs_within(group, n, percent / 100):
+                least = -(-percent * (n[i] + n[j]) // (100 + percent))
+                end_i, end_j = n[i] - least + AGREE, n[j] - least + AGREE
+                keep = (component[i] != component[j]) & (out[i] | out[j]) & (pos[i] < end_i) & (pos[j] < end_j)
+                i, j, least, behind = i[keep], j[keep], least[keep], ((begin[i] < end_i) & (begin[j] < end_j))[keep]
+                if len(i):
+                    # equally large sets in the order of their names, so that all of a pair's rows agree
+                    swap = (n[i] == n[j]) & (uid[i] > uid[j])
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    columns = [uid[i], uid[j], rep[i], rep[j], np.minimum(least, AGREE), behind]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ua", "ub", "a", "b", "need", "behind"])
+
+    few = placed.where(F.col("count") <= PAIRED).select("class", "token", "n", "pos", "uid", "rep", "component", "begin", "out")
+    found = few.repartition("class", "token").sortWithinPartitions("class", "token", "n").mapInArrow(tidy(run), "ua long, ub long, a long, b long, need long, behind boolean")
+    counted = found.groupBy("ua", "ub", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"), F.max("behind").alias("behind"))
+    return counted.where("c >= need or behind").select("a", "b").distinct()
+
+
+def _confirmed(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of reps that are links on full sets: rows rep, text. Each a is the pivot of blocks of its b."""
+    of = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    of = stored(of, "pair-pivots")
+    pivots = rows.select("rep", "text").join(of, F.col("rep") == F.col("of")).select(F.col("of").alias("class"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "rep", "text")
+    with_blocks = pairs.join(of, F.col("a") == F.col("of")).select(F.col("of").alias("class"), F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
+    meet = rows.select("rep", "text").join(with_blocks, F.col("rep") == F.col("b")).select("class", "chunk", F.lit(1).alias("kind"), "rep", "text")
+    return _against_pivots(pivots.unionByName(meet).withColumn("part", F.lit(0)), width, percent)
+
+
+def _low_sets_meet_all(rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets at low places and all of their class: sets class, rep, low, n, lows (counts in the class); rows rep, text."""
+    sets = sets.withColumns({"chunks": F.ceil(F.col("n") / CHUNK), "parts": F.ceil(F.col("lows") / PART)}).select("class", F.col("rep").alias("k"), "low", "chunks", "parts")
+    pivots = sets.where("low").select("class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("k", F.lit(8)), F.col("parts")).alias("part"), F.lit(0).alias("kind"), "k")
+    meet = sets.select("class", F.pmod(F.xxhash64("k"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "k")
+    return _against_pivots(rows.select("rep", "text").join(pivots.unionByName(meet), F.col("rep") == F.col("k")).drop("k"), width, percent)
 
 
 def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     """As _small_classes, for classes of any size: rows class, rep, text, size.
 
-    After two rounds of pivots copies are together. Where more than FINER sets of a class stay outside (as pages of one template do), classes are cut finer before
-    more texts move: sets stay together only if one of the first shingles of the smaller one is among those of the larger one, which holds
-    for every link. What is left meets in rounds as before.
+    After two rounds of pivots copies are together. Where more than FINER sets of a class stay outside (as pages of one template do), first shingles
+    decide before more texts move, rarest in the class first: two sets meet only if they share AGREE of them within the places that a link
+    leaves (_pairs). Where the first shingle that they share is a common one, the sets that have it at a low place meet all that have it, or, if
+    these are many, sets are cut finer by such shingles and meet in rounds as before.
     """
     rows = stored(_chunked(members), "large-classes")
     state = rows.select("class", F.col("rep").alias("node"), F.col("rep").alias("component"), F.lit(False).alias("met"))
@@ -420,11 +503,27 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     outside = outside.join(open_, F.col("class") == F.col("of"), "left_semi")
     edges = edges.unionByName(state.select(F.col("node").alias("a"), F.col("component").alias("b")))
     rows = rows.join(open_, F.col("class") == F.col("of"), "left_semi")
-    firsts = stored(_prefixes(rows, _frequent(rows, width), width, percent), "first-shingles")
-    marked = firsts.join(outside.select(F.col("class").alias("of"), "node"), (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node")), "left")
-    held = marked.groupBy("class", "token").agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("low"), F.max(F.col("node").isNotNull()).alias("out"), F.min("rep").alias("leader"))
+    told = state.join(outside.select(F.col("node").alias("o")).distinct(), F.col("node") == F.col("o"), "left").select("node", "component", F.col("o").isNotNull().alias("out"))
+    placed, firsts = _firsts(stored(_own_shingles(rows, _frequent(rows, width), width, percent), "own-shingles"), told, percent)
+    pairs = stored(_pairs(placed, percent), "pairs")
+    if pairs.limit(1).count():
+        edges = edges.unionByName(stored(_confirmed(rows, pairs, width, percent), "links"))
+    # what only common shingles join
+    firsts = stored(firsts, "common-shingles")
+    held = firsts.groupBy("class", "token").agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("low"), F.max("out").alias("out"), F.min("rep").alias("leader"))
     held = stored(held.where("n > 1 and low and out").select(F.col("class").alias("of"), F.col("token").alias("t"), "leader"), "shared-shingles")
-    together = firsts.join(held, (F.col("class") == F.col("of")) & (F.col("token") == F.col("t"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
+    if held.limit(1).count() == 0:
+        return edges
+    common = stored(firsts.join(held, (F.col("class") == F.col("of")) & (F.col("token") == F.col("t"))).select("class", "rep", "low", "leader"), "common-sets")
+    # the smaller set of a link has the shingle at a low place: where few sets have, they are the pivots of all
+    sets = common.groupBy("class", "rep").agg(F.max("low").alias("low"))
+    counts = sets.groupBy(F.col("class").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.count_if("low").alias("lows"))
+    counts = stored(counts.withColumn("straight", F.col("lows") <= F.greatest(F.lit(FINER), F.col("n") / FEW)), "low-sets")
+    edges = edges.unionByName(stored(_low_sets_meet_all(rows, sets.join(counts.where("straight"), F.col("class") == F.col("of")), width, percent), "links"))
+    left = counts.where("not straight").select("of")
+    if left.limit(1).count() == 0:
+        return edges
+    together = common.join(left, F.col("class") == F.col("of"), "left_semi").select(F.col("rep").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
     finer = stored(components(stored(together, "finer-edges")).select("node", F.col("component").alias("finer")), "finer")
     sizes = finer.groupBy("finer").agg(F.count(F.lit(1)).alias("n"))
     moved = finer.join(sizes, "finer").select("finer", F.col("node").alias("k"), "n")
