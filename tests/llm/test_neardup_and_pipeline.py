@@ -118,6 +118,40 @@ def test_components(spark, monkeypatch, one_task):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 4), (3, 3)], "a long, b long").mapInArrow(run, "a long, b long")
+    assert sorted(tuple(r) for r in components.components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert made.value == 4
+
+
+def test_steps_over_few_sets_do_not_run_a_task_for_each_shuffle_partition(spark, monkeypatch):
+    for name, value in {"FINER": 3, "PIVOTS": 2}.items():
+        monkeypatch.setattr(neardup, name, value)
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    texts = pages(60, 60, 12, copies=2)
+    sc.setJobGroup("few-sets", "near-duplicates of few sets")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), width=2, node_limit=20, class_limit=4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute(list(enumerate(texts)), 2)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-sets") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 2500
+
+
 def test_postings_find_all_links():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.choice(50, int(rng.integers(1, 40)))).astype(np.uint64) for _ in range(60)]

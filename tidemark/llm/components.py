@@ -8,10 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import stored
-
-#: Edges (16 bytes each) that one task contracts at once; more go in rounds over all tasks.
-ONE_TASK = 50_000
+from tidemark.llm.common import ONE_TASK, stored
 
 
 def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -33,13 +30,15 @@ def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a batch as stars around its components' smallest nodes."""
+    """Edges of a batch as stars around its components' smallest nodes; of edges from nodes to themselves those of smallest nodes."""
     for b in batches:
         ends = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
         nodes, place = np.unique(ends, return_inverse=True)
         place = place.reshape(2, -1)
         label = smallest(place[0], place[1], len(nodes))
-        out = np.flatnonzero(label != np.arange(len(nodes)))
+        loop = np.zeros(len(nodes), bool)
+        loop[place[0][place[0] == place[1]]] = True
+        out = np.flatnonzero((label != np.arange(len(nodes))) | loop)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[label[out]])], names=["u", "v"])
 
 
@@ -50,6 +49,16 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _forest(iter(pa.Table.from_batches(rows).combine_chunks().to_batches()))
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All nodes of a task's edges with their component."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        table = pa.Table.from_batches(rows)
+        nodes, place = np.unique(np.stack([table.column(0).to_numpy(), table.column(1).to_numpy()]), return_inverse=True)
+        place = place.reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[smallest(place[0], place[1], len(nodes))])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for each node of edges, whose two first columns are nodes (long, not null).
 
@@ -59,11 +68,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    alone = edges.where("u = v").select("u")
-    e = stored(edges.where("u <> v").mapInArrow(_forest, "u long, v long"), "edges")
-    before = None
+    # edges are made once, those from nodes to themselves with the others
+    first = stored(edges.mapInArrow(_forest, "u long, v long"), "edges")
+    e, alone, before = first.where("u <> v"), first.where("u = v").select("u"), None
+    loops = alone.count()
     while True:
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state[0] + loops <= ONE_TASK:
+            whole = e.unionByName(alone.select("u", F.col("u").alias("v"))).coalesce(1)
+            return stored(whole.mapInArrow(_labelled, "node long, component long"), "components")
         if state == before or not state[0]:
             break
         if state[0] <= ONE_TASK:

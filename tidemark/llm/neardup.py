@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import binary_values, mix, prepare, shingle_hashes, stored, tidy, word_hashes
+from tidemark.llm.common import TASK_ROWS, at_once, binary_values, mix, prepare, shingle_hashes, stored, tasks, tidy, word_hashes
 from tidemark.llm.components import components, smallest
 
 PLACES = 128
@@ -45,6 +45,8 @@ FINER = 1024
 PAIRED, AGREE = 256, 3
 #: Sets with a common shingle at a low place meet all others of their class straight if they are this part of them at most.
 FEW = 8
+#: Rows with a sketch, and rows with a text, that a task compares.
+SKETCHES, TEXTS = 20_000, 1024
 #: Up to so many sets in classes (8 bytes each) are sent to all tasks that read texts.
 BROADCAST_SETS = 1_000_000
 
@@ -140,24 +142,30 @@ def _pairs_within(node: np.ndarray, n: np.ndarray, share: float) -> Iterator[tup
 
 
 def candidate_edges(reps: DataFrame, share: float, trees: int, node_limit: int, depth: int) -> DataFrame:
-    """Edges (a, b) among reps (rep, n, sig) whose components hold every pair that the trees bring together and the sketches pass."""
+    """Edges (a, b) among reps (rep, n, sig, sketch) whose components hold every pair that the trees bring together and the sketches pass."""
+    spark, bound = reps.sparkSession, 2 * trees * reps.count()
     spread = share - 5.5 * (share * (1 - share) / PLACES) ** 0.5
     least = int(np.floor(spread * PLACES))
     roots = [c for t in range(trees) for c in _children(F.lit(t).cast("long"))]
     rows = reps.select("rep", F.explode(F.array(*roots)).alias("node"), F.lit(None).cast("long").alias("parent"))
-    leaves, dense = [], []
+    leaves, dense, most = [], [], bound
     for d in range(depth):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader"), F.max("parent").alias("above")).where("size > 1")
-        sizes = stored(sizes.withColumnRenamed("node", "of"), "node-sizes")
-        held = stored(rows.drop("parent").join(sizes, F.col("node") == F.col("of")).drop("of"), "nodes")
+        sizes = at_once(stored(sizes.withColumnRenamed("node", "of"), "node-sizes", rows=bound), bound)
+        held = stored(rows.drop("parent").join(sizes, F.col("node") == F.col("of")).drop("of"), "nodes", rows=bound)
         leaves.append(held.where(F.col("size") <= node_limit).select("node", "rep"))
         stays = (F.col("size") > node_limit) & (F.lit(True) if d == depth - 1 else F.coalesce(2 * F.col("size") >= F.col("above"), F.lit(False)))
         dense.append(held.where(stays).select(F.col("rep").alias("a"), F.col("leader").alias("b")))
         large = (F.col("size") > node_limit) & ~stays
-        if d == depth - 1 or sizes.where(large).limit(1).count() == 0:
+        left = 0 if d == depth - 1 else sizes.where(large).agg(F.sum("size")).first()[0] or 0
+        if not left:
             break
-        more = held.where(large).select("node", "size", F.col("rep").alias("of")).join(reps, F.col("of") == F.col("rep"))
+        further = held.where(large).select("node", "size", F.col("rep").alias("of"))
+        # signatures of sets that are in no large node stay where they are
+        more = (F.broadcast(further) if left <= TASK_ROWS else further).join(reps, F.col("of") == F.col("rep"))
         rows = more.select("rep", F.explode(F.array(*_children(F.col("node")))).alias("child"), F.col("size").alias("parent")).withColumnRenamed("child", "node")
+        bound = 2 * left
+        rows, most = at_once(stored(rows, "nodes", rows=bound), bound), most + bound
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
@@ -179,7 +187,7 @@ def candidate_edges(reps: DataFrame, share: float, trees: int, node_limit: int,
             out = np.flatnonzero(label != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[label[out]])], names=["a", "b"])
 
-    dealt = rows.join(sketch, F.col("rep") == F.col("of")).select("node", "n", "rep", "sketch").repartition("node").sortWithinPartitions("node", "n")
+    dealt = rows.join(sketch, F.col("rep") == F.col("of")).select("node", "n", "rep", "sketch").repartition("node").coalesce(tasks(spark, most, SKETCHES)).sortWithinPartitions("node", "n")
     edges = dealt.mapInArrow(tidy(compare), "a long, b long")
     for more in dense:
         edges = edges.unionByName(more)
@@ -196,8 +204,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _small_classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what links connect, in classes of few sets: rows class, rep, text."""
+def _small_classes(rows: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what links connect, in classes of few sets: at most n rows class, rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _groups(batches):
@@ -219,7 +227,7 @@ def _small_classes(rows: DataFrame, width: int, percent: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
-    return rows.select("class", "rep", "text").repartition("class").sortWithinPartitions("class", "rep").mapInArrow(tidy(run), "a long, b long")
+    return rows.select("class", "rep", "text").repartition("class").coalesce(tasks(rows.sparkSession, n, TEXTS)).sortWithinPartitions("class", "rep").mapInArrow(tidy(run), "a long, b long")
 
 
 class Postings:
@@ -258,8 +266,8 @@ class Postings:
             at = end
 
 
-def _against_pivots(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links of sets with the pivots of their block: rows class, chunk, part, kind (0: pivot), rep, text."""
+def _against_pivots(rows: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """Confirmed links of sets with the pivots of their block: about n rows class, chunk, part, kind (0: pivot), rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivots, names, ready = None, [], [], None
@@ -285,7 +293,7 @@ def _against_pivots(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 at = end
 
     keys = ["class", "chunk", "part"]
-    return rows.select(*keys, "kind", "rep", "text").repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(tidy(run), "a long, b long")
+    return rows.select(*keys, "kind", "rep", "text").repartition(*keys).coalesce(tasks(rows.sparkSession, n, TEXTS)).sortWithinPartitions(*keys, "kind").mapInArrow(tidy(run), "a long, b long")
 
 
 def _chunked(members: DataFrame) -> DataFrame:
@@ -297,9 +305,11 @@ def _met(rows: DataFrame, state: DataFrame, width: int, percent: int, rounds: in
     """Rounds in which sets meet pivots: state (class, node, component, met) after so many rounds, or after all that are needed, and the
     sets (class, node) that are outside the largest component of their class and have not met all others."""
     links, n = None, state.count()
+    state = at_once(state, n)
     while True:
         counts = state.groupBy("class", "component").agg(F.count(F.lit(1)).alias("n"))
         main = stored(counts.groupBy("class").agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("class").alias("of"), F.col("m.component").alias("main")), "main", rows=n)
+        main = at_once(main, n)
         outside = state.join(main, F.col("class") == F.col("of")).where((F.col("component") != F.col("main")) & ~F.col("met"))
         if rounds == 0:
             return state, outside.select("class", "node")
@@ -307,24 +317,26 @@ def _met(rows: DataFrame, state: DataFrame, width: int, percent: int, rounds: in
         left = outside.groupBy(F.col("class").alias("in")).agg(F.count(F.lit(1)).alias("left"))
         salt = F.when(F.col("left") <= salts, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(salts)), F.lit(salts)))
         chosen = outside.select("class", "node").join(left, F.col("class") == F.col("in")).groupBy("class", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node")).alias("p"))
-        chosen = stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node")), "pivots", rows=n)
-        if chosen.limit(1).count() == 0:
-            return state, chosen.withColumnRenamed("of", "class")
+        chosen = at_once(stored(chosen.select(F.col("class").alias("of"), F.col("p.node").alias("node")), "pivots", rows=n), n)
         parts = stored(chosen.groupBy(F.col("of").alias("for")).agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "parts", rows=n)
+        most = parts.agg(F.max("parts")).first()[0]
+        if not most:
+            return state, chosen.withColumnRenamed("of", "class")
         held = rows.join(parts, F.col("class") == F.col("for"))
         pivots = held.join(chosen, (F.col("class") == F.col("of")) & (F.col("rep") == F.col("node"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         pivots = pivots.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(8)), F.col("parts")))
         meet = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         both = pivots.select("class", "chunk", "part", F.lit(0).alias("kind"), "rep", "text").unionByName(meet.select("class", "chunk", "part", F.lit(1).alias("kind"), "rep", "text"))
-        found = stored(_against_pivots(both, width, percent), "links")
+        found = stored(_against_pivots(both, width, percent, n * most), "links")
         # what was one component stays one
         links = (links if links is not None else state.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(found)
-        now = components(links).select(F.col("node").alias("k"), F.col("component").alias("c"))
+        now = at_once(components(links), n).select(F.col("node").alias("k"), F.col("component").alias("c"))
         state = stored(
             state.join(now, F.col("node") == F.col("k"), "left").join(chosen.select(F.col("node").alias("p")).distinct(), F.col("node") == F.col("p"), "left")
             .select("class", "node", F.coalesce("c", "component").alias("component"), (F.col("met") | F.col("p").isNotNull()).alias("met")),
             "state", rows=n,
         )
+        state = at_once(state, n)
         salts *= 8
         rounds = rounds and rounds - 1
 
@@ -365,7 +377,8 @@ def _frequent(rows: DataFrame, width: int) -> DataFrame:
         if key is not None:
             yield out()
 
-    blocks = rows.select("class", "chunk", F.lit(None).cast("array<long>").alias("frequent"), "rep", "text").repartition("class", "chunk").sortWithinPartitions("class", "chunk")
+    blocks = rows.select("class", "chunk", F.lit(None).cast("array<long>").alias("frequent"), "rep", "text").repartition("class", "chunk")
+    blocks = blocks.coalesce(tasks(rows.sparkSession, rows.count(), TEXTS)).sortWithinPartitions("class", "chunk")
     found = blocks.mapInArrow(tidy(run), "class long, token long, n long").groupBy("class", "token").agg(F.sum("n").alias("n"))
     return found.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x")).select(F.col("class").alias("of"), F.col("x.token").alias("frequent"))
 
@@ -405,7 +418,8 @@ def _own_shingles(rows: DataFrame, frequent: DataFrame, width: int, percent: int
 
     none = F.lit(None).cast("array<long>")
     lists = rows.select("class", "chunk").distinct().join(frequent, F.col("class") == F.col("of")).select("class", "chunk", "frequent", F.lit(None).cast("long").alias("rep"), F.lit("").alias("text"))
-    both = lists.unionByName(rows.select("class", "chunk", none.alias("frequent"), "rep", "text")).repartition("class", "chunk").sortWithinPartitions("class", "chunk", F.asc_nulls_first("rep"), "text")
+    both = lists.unionByName(rows.select("class", "chunk", none.alias("frequent"), "rep", "text")).repartition("class", "chunk")
+    both = both.coalesce(tasks(rows.sparkSession, rows.count(), TEXTS)).sortWithinPartitions("class", "chunk", F.asc_nulls_first("rep"), "text")
     return both.mapInArrow(tidy(run), "class long, rep long, uid long, n long, own array<long>, tail array<long>")
 
 
@@ -456,7 +470,7 @@ def _pairs(placed: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ua", "ub", "a", "b", "need", "behind"])
 
     few = placed.where(F.col("count") <= PAIRED).select("class", "token", "n", "pos", "uid", "rep", "component", "begin", "out")
-    found = few.repartition("class", "token").sortWithinPartitions("class", "token", "n").mapInArrow(tidy(run), "ua long, ub long, a long, b long, need long, behind boolean")
+    found = few.repartition("class", "token").coalesce(tasks(placed.sparkSession, placed.count(), SKETCHES)).sortWithinPartitions("class", "token", "n").mapInArrow(tidy(run), "ua long, ub long, a long, b long, need long, behind boolean")
     counted = found.groupBy("ua", "ub", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"), F.max("behind").alias("behind"))
     return counted.where("c >= need or behind").select("a", "b").distinct()
 
@@ -468,15 +482,16 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     pivots = rows.select("rep", "text").join(of, F.col("rep") == F.col("of")).select(F.col("of").alias("class"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "rep", "text")
     with_blocks = pairs.join(of, F.col("a") == F.col("of")).select(F.col("of").alias("class"), F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
     meet = rows.select("rep", "text").join(with_blocks, F.col("rep") == F.col("b")).select("class", "chunk", F.lit(1).alias("kind"), "rep", "text")
-    return _against_pivots(pivots.unionByName(meet).withColumn("part", F.lit(0)), width, percent)
+    return _against_pivots(pivots.unionByName(meet).withColumn("part", F.lit(0)), width, percent, pairs.count())
 
 
-def _low_sets_meet_all(rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between sets at low places and all of their class: sets class, rep, low, n, lows (counts in the class); rows rep, text."""
+def _low_sets_meet_all(rows: DataFrame, sets: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """Links (a, b) between sets at low places and all of their class: sets class, rep, low, n, lows (counts in the class); rows rep, text.
+    n: about how many texts meet."""
     sets = sets.withColumns({"chunks": F.ceil(F.col("n") / CHUNK), "parts": F.ceil(F.col("lows") / PART)}).select("class", F.col("rep").alias("k"), "low", "chunks", "parts")
     pivots = sets.where("low").select("class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("k", F.lit(8)), F.col("parts")).alias("part"), F.lit(0).alias("kind"), "k")
     meet = sets.select("class", F.pmod(F.xxhash64("k"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "k")
-    return _against_pivots(rows.select("rep", "text").join(pivots.unionByName(meet), F.col("rep") == F.col("k")).drop("k"), width, percent)
+    return _against_pivots(rows.select("rep", "text").join(pivots.unionByName(meet), F.col("rep") == F.col("k")).drop("k"), width, percent, n)
 
 
 def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -519,7 +534,10 @@ def _large_classes(members: DataFrame, width: int, percent: int) -> DataFrame:
     sets = common.groupBy("class", "rep").agg(F.max("low").alias("low"))
     counts = sets.groupBy(F.col("class").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.count_if("low").alias("lows"))
     counts = stored(counts.withColumn("straight", F.col("lows") <= F.greatest(F.lit(FINER), F.col("n") / FEW)), "low-sets")
-    edges = edges.unionByName(stored(_low_sets_meet_all(rows, sets.join(counts.where("straight"), F.col("class") == F.col("of")), width, percent), "links"))
+    straight = counts.where("straight")
+    meetings = straight.agg(F.sum(F.col("n") * F.ceil(F.col("lows") / PART))).first()[0] or 0
+    if meetings:
+        edges = edges.unionByName(stored(_low_sets_meet_all(rows, sets.join(straight, F.col("class") == F.col("of")), width, percent, meetings), "links"))
     left = counts.where("not straight").select("of")
     if left.limit(1).count() == 0:
         return edges
@@ -547,19 +565,21 @@ def near_duplicates(
     """
     prepare(df.sparkSession)
     docs = stored(sketched(df, width, id_col, text_col), "signatures")
-    sets = stored(docs.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).withColumnsRenamed({"h1": "k1", "h2": "k2"}), "sets")
     low = F.concat(*(F.substring("sig", 4 * p + 1, 1) for p in range(PLACES)))
-    same = (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-    # repeated rows have one signature
-    reps = stored(docs.join(sets, same).select("rep", "n", "sig", low.alias("sketch")).dropDuplicates(["rep", "sketch"]), "representatives")
+    # equal sets have one signature
+    sets = docs.where("n > 0 and doc_id is not null").groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = stored(sets.withColumn("sketch", low).coalesce(tasks(df.sparkSession, docs.count(), SKETCHES)), "sets")
+    reps = sets.select("rep", "n", "sig", "sketch")
     classes = stored(components(candidate_edges(reps, percent / 100, trees, node_limit, depth)), "classes")
-    sizes = stored(classes.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "class-sizes").withColumnRenamed("component", "class")
+    n = classes.count()
+    classes = at_once(classes, n)
+    sizes = stored(classes.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "class-sizes", rows=n).withColumnRenamed("component", "class")
     members = classes.select(F.col("node").alias("rep"), F.col("component").alias("of")).join(sizes, F.col("of") == F.col("class")).drop("of")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # texts of other sets stay where they are
-    members = F.broadcast(members) if classes.count() <= BROADCAST_SETS else members
+    members = F.broadcast(members) if n <= BROADCAST_SETS else members
     members = stored(texts.join(members, F.col("rep") == F.col("id")).select("class", "rep", "text", "size"), "members")
-    links = _small_classes(members.where(F.col("size") <= class_limit), width, percent)
+    links = _small_classes(members.where(F.col("size") <= class_limit), width, percent, n)
     large = members.where(F.col("size") > class_limit)
     if large.limit(1).count():
         links = links.unionByName(_large_classes(large, width, percent))
