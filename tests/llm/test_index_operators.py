@@ -64,6 +64,24 @@ def test_repeats_against_counting_all_strings(spark, monkeypatch, alphabet, leng
     assert found(df, length, batches=3) == want and 0 < sum(r[2] for r in want) < sum(r[1] for r in want)
 
 
+def test_anchors_with_many_contexts_are_not_taken_apart_into_all_strings(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MEET", 2)
+    rows_of, whole = {}, repeats.stored
+
+    def counted(df, name, *more):
+        out = whole(df, name, *more)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    random.seed(3)
+    base, letters = "".join(random.choices("abcdefgh", k=300)), lambda n: "".join(random.choices("xyz", k=n))
+    # a passage between words of each text's own, parts of it from any place on, and texts that agree in a few bytes more
+    rows = [(k, letters(80) + base + letters(80)) for k in range(60)] + [(100 + k, letters(30) + base[3 * k :][:110] + "x" * (k % 4) + letters(30)) for k in range(60)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 80) == without_repeats(rows, 80)
+    assert 0 < rows_of["strings"] + rows_of.get("blocks", 0) < 20 * rows_of["contexts"]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string"), 400) == []
 
