@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import agree
 from tidemark.llm import boilerplate, bpe, exactdedup, ngramlm, packing, pii, records, registry, telephony, toxicity
+from tidemark.llm.common import ChunkEncoder
 
 P = pytest.importorskip("public_tokenizers")
 VOCAB = P.path("word_bpe_49k.json")
@@ -194,6 +195,25 @@ def test_packing_query_against_pieces(spark, tmp_path, odd_ids):
     assert len(places) == -(-sum(r.length for r in got) // 4096)
 
 
+def test_chunks_in_other_case_or_before_other_marks_are_one():
+    words = [a + b for a in ("été", "straße", "word", "ñu", "x9") for b in ("", "s", "û")]
+    texts = [" ".join(f(w) + m for w in words for f in (str, str.title) for m in ("", ".", ",", "!?", "###", ",%%%", "'"))]
+    encoder = ChunkEncoder(VOCAB)
+    assert encoder.encode(pa.array(texts))[0].tolist() == tokenizer().encode(texts[0], add_special_tokens=False).ids
+    assert len(encoder.known) <= len(words) + 7  # 210 different chunks
+
+
+def test_chunks_equal_the_library_on_odd_text():
+    texts = ["dogs' it's' 's, 'S. 'start x'll-' DON'T!!! <|ENDOFTEXT|> abc<|endoftext|>d, a<| |b <|.", "e\u0301. E\u0301, e\u0338 =\u0338 ab<\u0338. a-\u0301-",
+             "İstanbul, ΣΑΣ. ǅ ŉ, ﬁ. K. Å. ª. º, µ. ²., ½! ×, ÷. 3×. Þ×÷ «à» ¿Qué? Œuvre.", "a\x00. b\x01, \x7f. x\x1f, y\x85z. q\xa0r", "…a… …, a’s it’s, кот, КОТ! 中文。, e\u200d. 😀, a😀.",
+             "é" * 11_000 + ", " + "x" * 12_000 + "."]
+    rng, letters = np.random.default_rng(3), list("aAbZéÉßÿŸÀ×÷ñ0 9.,'’!-#<|>\t\u0301\u0338µªsStTlLΣкЖ中\x00\x7f\x85\xa0\xad")
+    texts += ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 3000)]
+    library = tokenizer()
+    for text, ids in zip(texts, ChunkEncoder(VOCAB).encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pack_rows_without_length_ties_and_empty(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 5, "x"), (2, None, "y"), (3, 0, "z"), (4, 3, "w")], "k int, length int, offset string")
     got = packing.pack(df, ["k"], capacity=8).collect()

@@ -150,7 +150,7 @@ def pack(df: DataFrame, order: list[str], length: str = "length", capacity: int
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, remembered: int = 400_000) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, remembered: int = 800_000) -> DataFrame:
     """Each text's ids and end_id as pieces of at most capacity ids; only longer ones are cut, and the last piece may be shorter.
 
     A null text counts as empty (one piece with end_id alone); a null id stays null. keep_ids adds the ids (little-endian unsigned 32-bit). remembered: chunks
@@ -175,7 +175,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
     return rows.mapInArrow(tidy(cut), PIECES + ", ids binary" * keep_ids)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, remembered: int = 400_000) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, remembered: int = 800_000) -> DataFrame:
     return pack(pieces(docs, tokenizer, end_id, capacity, remembered=remembered), ["doc_id", "piece", "ids_crc32"], capacity=capacity)
 
 
