@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidemark.sources.tables import stored
 
 ASOF = "2024-02-01 00:00:00"
 
@@ -54,6 +56,10 @@ _NEEDS = {"predictions": ["snapshots"], "rankings": ["games"]}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Suppliers of which each task can hold all, as two numbers each.
+FEW = 1_000_000
+
+
 class Views:
     """v.games, v.events, ...: a view or a table as a DataFrame."""
 
@@ -68,6 +74,41 @@ class Views:
         text = _TEXT[name].replace("{days}", "make_interval(0, 0, 0, cast(user_id % 40 as int))")
         return self.spark.sql(text, **{t: getattr(self, t) for t in [*TABLES, *_TEXT] if "{" + t + "}" in text})
 
+    def kept_games(self, *columns: str) -> DataFrame:
+        """Columns of games, for queries that read them more than once: rows as of the view, stored as numbers and put together when read.
+
+        The view's plan shuffles the lines for copies, orders, customers, suppliers and parts in turn. Here lines go to their orders once, which
+        is also where copies meet; orders have found their customers before. Parts only have to be there unless the venue is asked for, so only part
+        numbers are compared with them.
+        """
+        lines = self.lineitem.where("l_partkey is not null")
+        keys = [F.col(f"l_{k}") for k in ("orderkey", "partkey", "suppkey", "linenumber")]
+        of = {"home_points": ["l_linestatus", "l_quantity"], "away_points": ["l_linestatus", "l_discount"], "neutral_site": ["l_returnflag"]}
+        more = dict.fromkeys(c for name in columns for c in of.get(name, []))
+        first = Window.partitionBy(*keys).orderBy("l_shipdate", "l_quantity", "l_extendedprice")
+        lines = lines.select(*keys, *dict.fromkeys(["l_shipdate", "l_quantity", "l_extendedprice", *more])).repartition("l_orderkey")
+        lines = lines.withColumn("copy", F.row_number().over(first)).where("copy = 1").select(*keys, *dict.fromkeys(["l_shipdate", *more]))
+        away = self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+        home = self.supplier.select("s_suppkey", "s_nationkey")
+        home = F.broadcast(home) if home.count() <= FEW else home
+        kept = lines.join(away, F.col("l_orderkey") == F.col("o_orderkey")).join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+        kept = stored(kept.where("s_nationkey <> c_nationkey").drop("o_orderkey", "s_suppkey"), "lines")
+        if "venue" in columns:
+            parts = self.part.select("p_partkey", F.struct("p_name").alias("p"))
+            kept = stored(kept.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey"), "lines-of-parts")
+        else:
+            times = self.part.groupBy("p_partkey").agg(F.count(F.lit(1)).cast("int").alias("times"))
+            odd = kept.select("l_partkey").distinct().join(times, F.col("l_partkey") == F.col("p_partkey"), "left").where("times is null or times > 1")
+            odd = stored(odd.select(F.col("l_partkey").alias("odd"), F.coalesce("times", F.lit(0)).alias("times")), "odd-parts")
+            if odd.take(1):
+                kept = kept.join(odd, F.col("l_partkey") == F.col("odd"), "left").withColumn("times", F.coalesce("times", F.lit(1))).where("times > 0")
+                kept = stored(kept.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("odd", "times", "time"), "lines-of-parts")
+            kept = kept.withColumn("p", F.struct(F.lit(None).cast("string").alias("p_name")))
+        for c in ("l_linestatus", "l_quantity", "l_discount", "l_returnflag"):
+            kept = kept if c in kept.columns else kept.withColumn(c, F.lit(None).cast(self.lineitem.schema[c].dataType))
+        names = "join {nation} ns on ns.n_nationkey = l.s_nationkey join {nation} nc on nc.n_nationkey = l.c_nationkey"
+        return self.spark.sql(_GAMES[: _GAMES.index("from (select")] + "from {kept} l " + names, kept=kept, nation=self.nation).select(*columns)
+
 
 def sql(query: str) -> str:
     """query with the views that it names as CTEs, for DuckDB; views are written {name}."""
