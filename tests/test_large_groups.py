@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import test_matching as plain
-from tidemark.operators import match
+from tidemark.operators import enrich, history, match
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -130,3 +130,30 @@ def test_nearest_meeting_of_keys_seen_with_several_days(spark):
     probes = same_probes(spark, 2).selectExpr("'k' as snap", "'X' as home_team", "'G' as away_team", "date_add(to_date(day), 3) as day")
     out = match.nearest_meeting(probes, same_games(spark, 2), "snap", ("home_team", "away_team"), "day")
     assert [tuple(r) for r in out.collect()] == [("k", 3, "g00")]
+
+
+def exchanges(df) -> int:
+    """Shuffles in df's plan."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+def league(spark, n=60):
+    rows = [(f"g{i:02}", 2024, i // 20, DAY + datetime.timedelta(days=i // 4), "AB"[i % 2], "BA"[i % 2], float(i) if i % 3 else None, 1.0) for i in range(n)]
+    return spark.createDataFrame(rows, "game_id string, season int, week int, start_ts timestamp, home_team string, away_team string, home_points double, away_points double")
+
+
+def before(spark, n=60):
+    """Previous completed differences of a league's games, as told one after the other, and as found over games dealt out by week."""
+    games, last, want = league(spark, n), {}, {}
+    for r in sorted(games.collect(), key=lambda r: (r.start_ts, r.game_id)):
+        want[r.game_id] = (last.get(r.home_team), last.get(r.away_team))
+        if r.home_points is not None:
+            last[r.home_team], last[r.away_team] = r.home_points - 1, 1 - r.home_points
+    sides = lambda g: enrich.team_games(g, ["game_id", "season", "week", "start_ts"])
+    return want, history.previous_completed(sides(games), "point_diff", ["team"], ["start_ts", "game_id"], ["season", "week"], dealt=sides(games.repartition("season", "week")))
+
+
+def test_previous_completed_shuffles_games_once(spark):
+    want, out = before(spark)
+    assert {(r.game_id, r.side): r.prev_point_diff for r in out.collect()} == {(g, s): w[i] for g, w in want.items() for i, s in enumerate("HA")}
+    assert exchanges(out) == 1

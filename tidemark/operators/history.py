@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.times import hours_between
+from tidemark.sources.tables import stored
 
 EVENT, TS, PRICE, TIE = "event_key", "snapshot_ts", "lowest_price", "snap_id"
 
@@ -98,11 +99,12 @@ def favourites(snaps: DataFrame, chosen: DataFrame, predictions: DataFrame, pric
     )
 
 
-def previous_completed(team_games: DataFrame, value: str, partition: list[str], order: list[str], stretch: list[str]) -> DataFrame:
+def previous_completed(team_games: DataFrame, value: str, partition: list[str], order: list[str], stretch: list[str], dealt: DataFrame | None = None) -> DataFrame:
     """The last value that is not null before each row, as prev_<value>.
 
     Two levels: within a stretch of time (columns that grow with the order, such as season and week) by a window over the stretch's rows, and
     from earlier stretches by a window over their last values, of which there is one a stretch. So no window orders all rows of a team.
+    dealt: the same rows, if they are dealt out by stretch already (games before they become two rows each); the window then shuffles nothing.
     """
     asc = [F.col(c).asc_nulls_last() for c in order]
     place = F.struct(*(c for name in order for c in (F.col(name).isNull(), F.col(name))))
@@ -110,8 +112,9 @@ def previous_completed(team_games: DataFrame, value: str, partition: list[str],
     lasts = team_games.where(F.col(value).isNotNull()).groupBy(*partition, *stretch).agg(F.max_by(value, place).alias("__last"))
     stretches = team_games.select(*partition, *stretch).distinct().join(lasts, [*partition, *stretch], "left")
     before = Window.partitionBy(*partition).orderBy(*stretch).rowsBetween(Window.unboundedPreceding, -1)
-    carried = stretches.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-    out = team_games.withColumn("__within", F.last(value, ignorenulls=True).over(within)).join(carried, [*partition, *stretch], "left")
+    carried = stored(stretches.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last"), "carried")
+    rows = team_games if dealt is None else dealt
+    out = rows.withColumn("__within", F.last(value, ignorenulls=True).over(within)).join(carried, [*partition, *stretch], "left")
     return out.withColumn(f"prev_{value}", F.coalesce("__within", "__carried")).drop("__within", "__carried")
 
 

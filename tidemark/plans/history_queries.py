@@ -6,6 +6,7 @@ from tidemark.functions.times import hours_between, micros
 from tidemark.operators import dedupe as d, enrich as e, evaluate as ev, filters as p, history as h, targets as t
 from tidemark.plans.registry import query
 from tidemark.plans.views import ASOF, Views
+from tidemark.sources.tables import stored
 
 HOURS = "(epoch_us({a}) - epoch_us({b})) / 3600000000.0"
 
@@ -154,9 +155,16 @@ def _tg(v: Views):
 _PREV = "last_value(point_diff ignore nulls) over (partition by team order by start_ts, game_id rows between unbounded preceding and 1 preceding) as prev_point_diff"
 
 
+def _previous(v: Views):
+    """W8 over stored games, which are dealt out by week as one row each."""
+    games = v.kept_games("game_id", "season", "week", "start_ts", "home_team", "away_team", "home_points", "away_points")
+    sides = lambda g: e.team_games(g, ["game_id", "season", "week", "start_ts"])
+    return h.previous_completed(sides(games), "point_diff", ["team"], ["start_ts", "game_id"], ["season", "week"], dealt=sides(games.repartition("season", "week")))
+
+
 @query("w8_previous_completed", f"with {_TG} select game_id, team, {_PREV} from tg")
 def w8(v: Views):
-    return h.previous_completed(_tg(v), "point_diff", ["team"], ["start_ts", "game_id"], ["season", "week"]).select("game_id", "team", "prev_point_diff")
+    return _previous(v).select("game_id", "team", "prev_point_diff")
 
 
 @query("j11_previous_diff_both_sides", f"with {_TG}, p as (select *, {_PREV} from tg) select game_id, max(case when side = 'H' then prev_point_diff end) as home_last_point_diff, max(case when side = 'A' then prev_point_diff end) as away_last_point_diff from p group by game_id")
