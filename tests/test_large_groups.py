@@ -157,3 +157,10 @@ def test_previous_completed_shuffles_games_once(spark):
     want, out = before(spark)
     assert {(r.game_id, r.side): r.prev_point_diff for r in out.collect()} == {(g, s): w[i] for g, w in want.items() for i, s in enumerate("HA")}
     assert exchanges(out) == 1
+
+
+def test_both_sides_come_back_without_a_shuffle(spark):
+    want, out = before(spark)
+    both = enrich.per_side(out, "game_id", "prev_point_diff", "last", along=["season", "week"])
+    assert {r.game_id: (r.home_last, r.away_last) for r in both.collect()} == want and both.columns == ["game_id", "home_last", "away_last"]
+    assert exchanges(both) == 1

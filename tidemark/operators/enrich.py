@@ -16,9 +16,11 @@ def team_games(games: DataFrame, keys: list[str], home: str = "home_team", away:
     return games.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*").withColumn("point_diff", F.col("points_for") - F.col("points_against"))
 
 
-def per_side(rows: DataFrame, game: str, value: str, to: str) -> DataFrame:
-    """A team-game value back on its game, as home_ and away_ columns: one grouping instead of two joins."""
-    return rows.groupBy(game).agg(F.max(F.when(F.col("side") == "H", F.col(value))).alias(f"home_{to}"), F.max(F.when(F.col("side") == "A", F.col(value))).alias(f"away_{to}"))
+def per_side(rows: DataFrame, game: str, value: str, to: str, along: list[str] | None = None) -> DataFrame:
+    """A team-game value back on its game, as home_ and away_ columns: one grouping instead of two joins. along names columns that a game
+    has one value of; rows that lie dealt out by them stay where they are."""
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col(value)))
+    return rows.groupBy(game, *(along or [])).agg(side("H").alias(f"home_{to}"), side("A").alias(f"away_{to}")).drop(*(along or []))
 
 
 def best_poll(rankings: DataFrame, preference: list[str], by: list[str]) -> DataFrame:

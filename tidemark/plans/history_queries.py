@@ -169,8 +169,7 @@ def w8(v: Views):
 
 @query("j11_previous_diff_both_sides", f"with {_TG}, p as (select *, {_PREV} from tg) select game_id, max(case when side = 'H' then prev_point_diff end) as home_last_point_diff, max(case when side = 'A' then prev_point_diff end) as away_last_point_diff from p group by game_id")
 def j11(v: Views):
-    prev = h.previous_completed(_tg(v), "point_diff", ["team"], ["start_ts", "game_id"], ["season", "week"])
-    return e.per_side(prev, "game_id", "prev_point_diff", "last_point_diff")
+    return e.per_side(_previous(v), "game_id", "prev_point_diff", "last_point_diff", along=["season", "week"])
 
 
 _REC = f"""
