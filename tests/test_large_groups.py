@@ -164,3 +164,15 @@ def test_both_sides_come_back_without_a_shuffle(spark):
     both = enrich.per_side(out, "game_id", "prev_point_diff", "last", along=["season", "week"])
     assert {r.game_id: (r.home_last, r.away_last) for r in both.collect()} == want and both.columns == ["game_id", "home_last", "away_last"]
     assert exchanges(both) == 1
+
+
+def test_records_come_by_one_join_a_side(spark):
+    games = league(spark)
+    out = enrich.with_records(games, history.record_before_week(enrich.team_games(games, ["season", "week"])))
+    got = {r.game_id: (r.home_wins, r.home_losses, r.away_wins, r.away_losses) for r in out.collect()}
+    won = lambda team, week: sum((h > 1) + 0.5 * (h == 1) if r.home_team == team else (h < 1) + 0.5 * (h == 1) for r in games.collect() if (h := r.home_points) is not None and r.week < week)
+    wins = {(t, w): float(won(t, w)) for t in "AB" for w in range(3)}
+    assert got == {r.game_id: (wins[r.home_team, r.week], wins[r.away_team, r.week], wins[r.away_team, r.week], wins[r.home_team, r.week]) for r in games.collect()}
+    own = games.select("game_id", "season", "week", "home_team", "away_team")
+    bare = enrich.with_records(own, spark.createDataFrame([], "season int, team string, week int, wins double, losses double"))
+    assert bare._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 2

@@ -135,9 +135,10 @@ def mark_rivalry(games: DataFrame, pairs: DataFrame, home: str = "home_team", aw
 
 
 def with_records(games: DataFrame, records: DataFrame) -> DataFrame:
-    """Wins and losses before the week, both sides; the key has the season."""
-    for value in ("wins", "losses"):
-        games = side_lookup(games, records, {"season": F.col("season"), "week": F.col("week")}, value, value)
+    """Wins and losses before the week, both sides; the key has the season. One join a side brings both."""
+    for side in ("home", "away"):
+        r = records.select(F.col("season").alias("__season"), F.col("week").alias("__week"), F.col("team").alias("__team"), *(F.col(c).alias(f"{side}_{c}") for c in ("wins", "losses")))
+        games = games.join(r, (F.col("season") == F.col("__season")) & (F.col("week") == F.col("__week")) & (F.col(f"{side}_team") == F.col("__team")), "left").drop("__season", "__week", "__team")
     return games
 
 

@@ -195,8 +195,9 @@ def a12(v: Views):
 
 @query("j20_records_on_games", f"with {_REC} select g.game_id, a.wins as home_wins, a.losses as home_losses, b.wins as away_wins, b.losses as away_losses from {{games}} g left join rec a on a.season = g.season and a.week = g.week and a.team = home_team left join rec b on b.season = g.season and b.week = g.week and b.team = away_team")
 def j20(v: Views):
-    out = e.with_records(v.games, h.record_before_week(_tg(v)))
-    return out.select("game_id", "home_wins", "home_losses", "away_wins", "away_losses")
+    games = v.kept_games("game_id", "season", "week", "home_team", "away_team", "home_points", "away_points")
+    records = stored(h.record_before_week(e.team_games(games, ["season", "week"])), "records")
+    return e.with_records(games, records).select("game_id", "home_wins", "home_losses", "away_wins", "away_losses")
 
 
 @query("w13_worst_first", "select game_id, round(abs(home_points - away_points), 6) as miss from {games} order by miss desc nulls last, game_id limit 50")
